@@ -133,40 +133,55 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang")
     return Profiles(names, centre, p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12))
 
 
-def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, margin) of every row; ``keep`` names columns that pass through."""
+def label(texts: list[str], p: Profiles) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and margin over the second language of each text."""
+    codes, counts = trigram_counts(texts, np.arange(len(texts)), len(texts))
+    if not p.names:
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    v = bundle(codes, counts)
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - p.centre
+    cos = (v @ p.prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    top, none = np.sort(cos, axis=1), counts.sum(1) == 0
+    margin = top[:, -1] - (top[:, -2] if len(p.names) > 1 else -1)
+    names = ["und" if x else p.names[i] for x, i in zip(none, cos.argmax(1), strict=True)]
+    return names, np.where(none, 0, np.clip((1 + top[:, -1]) / 2, 0, 1)), np.where(none, 0, margin)
+
+
+def _labelled(column: pa.Array, p: Profiles) -> tuple[list[str], np.ndarray, np.ndarray]:
+    texts = [t or "" for t in column.to_pylist()]
+    names, scores, margins = [], [np.zeros(0)], [np.zeros(0)]
+    for a, b in pieces(texts, 200_000):
+        for i in range(a, b, 64):
+            x, s, m = label(texts[i : min(b, i + 64)], p)
+            names += x
+            scores.append(s)
+            margins.append(m)
+    return names, np.concatenate(scores), np.concatenate(margins)
+
+
+def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, margin) of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    def label(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        p = shared.value
-        codes, counts = trigram_counts(texts, np.arange(len(texts)), len(texts))
-        v = bundle(codes, counts)
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        if not p.names:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        v = v / np.maximum(size, 1e-12) - p.centre
-        cos = (v @ p.prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        best = cos.argmax(1)
-        top = np.sort(cos, axis=1)
-        margin = top[:, -1] - (top[:, -2] if len(p.names) > 1 else -1)
-        none = counts.sum(1) == 0
-        names = ["und" if x else p.names[i] for x, i in zip(none, best, strict=True)]
-        return names, np.where(none, 0, np.clip((1 + top[:, -1]) / 2, 0, 1)), np.where(none, 0, margin)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores, margins = _labelled(batch.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(margins)], names=[id_col, "lang_pred", "score", "margin"])
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, lang_pred string, score double, margin double")
+
+
+def admit(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", languages: tuple[str, ...] | None = None, least_score: float = 0.0) -> DataFrame:
+    """The rows, with all columns, that have a language: one of ``languages`` if given, with at least ``least_score``."""
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("__text")).to_pylist()]
-            names, scores, margins = [], [np.zeros(0)], [np.zeros(0)]
-            for a, b in pieces(texts, 200_000):
-                for i in range(a, b, 64):
-                    x, s, m = label(texts[i : min(b, i + 64)])
-                    names += x
-                    scores.append(s)
-                    margins.append(m)
-            own = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "__text"]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(margins))], names=[f.name for f in batch.schema if f.name != "__text"] + ["lang_pred", "score", "margin"])
-
-    rows = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "__text")
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, margin double")
+            names, scores, _ = _labelled(batch.column(at), shared.value)
+            good = [x != "und" and (languages is None or x in languages) and s >= least_score for x, s in zip(names, scores, strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -175,3 +175,14 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     linked = named.join(rooted.select("fp"), "fp", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(linked, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(ids, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row of each group, the one that names it, with all columns; rows without an id stay as they are."""
+    found = groups(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, words=words)
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id"))
+    counts = kept.groupBy("__id").count().agg(F.max("count")).first()[0]
+    rows = docs.join(kept.distinct(), F.col(id_col) == F.col("__id"), "left_semi")
+    if counts and counts > 1:  # the same id occurs more than once
+        rows = rows.dropDuplicates([id_col])
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))
