@@ -30,6 +30,8 @@ from .common import checkpoint, shared_dir, small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50_256
+#: Up to so many counts (some 3 MB) may be sent to every executor.
+BROADCAST_ROWS = 100_000
 #: Fixed value: how this public vocabulary splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -116,4 +118,6 @@ def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ra
     if written.isEmpty():
         return written.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"))
     counted = scan(spark, folder).withColumn("file", F.regexp_extract("path", r"part-(\d+)\.bin$", 1).cast("int"))
-    return written.join(counted, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
+    # the planner cannot know how much the scan finds: a few documents are broadcast by their count, more are merged
+    few = written.count() <= BROADCAST_ROWS
+    return written.join(counted.hint("broadcast" if few else "merge"), ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
