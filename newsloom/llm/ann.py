@@ -25,12 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-_RESULT = "query_id long, vec_id long, score double"
+_PART = "query_id long, ids array<long>, scores array<double>"
+_RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,7 @@ def _cut(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def _ranked_in_blocks(rows: DataFrame, dim: int, k: int) -> DataFrame:
-    """Candidates (query_id, vec_id, score) of rows (key, probe, id, v) that meet under a key."""
+    """The k best (query_id, ids, scores) that each task finds among rows (key, probe, id, v) that meet under a key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, xs, x = None, [], [], None
         held, n = [], 0
@@ -136,7 +137,9 @@ def _ranked_in_blocks(rows: DataFrame, dim: int, k: int) -> DataFrame:
                 held, n = [got], len(got[0])
                 if n > most // 2:
                     held, n = [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], names=["query_id", "vec_id", "score"])
+                    cuts = np.flatnonzero(np.append(True, got[0][1:] != got[0][:-1]))
+                    lists = [pa.ListArray.from_arrays(np.append(cuts, len(got[0])).astype(np.int32), pa.array(v)) for v in got[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0][cuts]), *lists], names=["query_id", "ids", "scores"])
 
         for batch in batches:
             key, probe, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -158,7 +161,30 @@ def _ranked_in_blocks(rows: DataFrame, dim: int, k: int) -> DataFrame:
         if n:
             yield from emit(-1)
 
-    return rows.repartition("key").sortWithinPartitions("key", "probe", "id").mapInArrow(run, _RESULT)
+    return rows.repartition("key").sortWithinPartitions("key", "probe", "id").mapInArrow(run, _PART)
+
+
+def _merged(parts: DataFrame, k: int) -> DataFrame:
+    """The k best (query_id, rank, vec_id, score) of all tasks' finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def ranked(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(s)], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            held.append((np.repeat(batch.column(0).to_numpy(), sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()))
+            q, v, s = _cut(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
+            open_ = q == q[-1] if len(q) else np.zeros(0, bool)  # rows are sorted: only the last query can go on
+            held = [(q[open_], v[open_], s[open_])]
+            yield ranked(q[~open_], v[~open_], s[~open_])
+        if held:
+            yield ranked(*held[0])
+
+    return parts.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, _RESULT)
 
 
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings | None = None) -> DataFrame:
@@ -170,7 +196,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
     square = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     common = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("square"), F.count_if("query").alias("queries")).orderBy(F.desc("n"), "dim").first()
     if common is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], _RESULT)
     dim, n = common["dim"], common["n"]
     hashing = Hashing(s, dim, math.sqrt(common["square"]))
     chunks = math.ceil(n / s.chunk_rows)
@@ -190,18 +216,12 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
         return opened.select(F.col("bucket"), salt(probe).alias("chunk"), F.lit(int(probe)).alias("probe"), "id", "v").select(F.xxhash64("bucket", "chunk").alias("key"), "probe", "id", "v")
 
     found = _ranked_in_blocks(dealt(rows, False).unionAll(dealt(rows.where("query"), True)), dim, s.k)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def top(some: DataFrame) -> DataFrame:
-        best = some.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
-
-    found = checkpoint(top(found))
+    found = checkpoint(_merged(found, s.k))
     enough = found.where(F.col("rank") == s.k).select(F.col("query_id").alias("id"))
     short = checkpoint(rows.where("query").join(enough, "id", "left_anti").select("id", "v"))
     if short.isEmpty():
         return found
     whole = rows.select(F.xxhash64(salt(False)).alias("key"), F.lit(0).alias("probe"), "id", "v")
     rest = short.select(salt(True).alias("chunk"), "id", "v").select(F.xxhash64("chunk").alias("key"), F.lit(1).alias("probe"), "id", "v")
-    exact = top(_ranked_in_blocks(whole.unionAll(rest), dim, s.k))
+    exact = _merged(_ranked_in_blocks(whole.unionAll(rest), dim, s.k), s.k)
     return found.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionAll(exact)
