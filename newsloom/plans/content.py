@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
@@ -12,7 +12,11 @@ from ..operators.latest import latest_by, leading_streak, top_per_group, winner,
 from ..sources.tables import ITEMS_AS_OF, ITEMS_SQL, LOG_SQL, items, load, log
 from .registry import query
 
-AS_OF = F.lit(ITEMS_AS_OF).cast("date")
+
+
+def as_of() -> Column:
+    """The reference day."""
+    return F.lit(ITEMS_AS_OF).cast("date")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT item_id, coalesce(route, 'unclassified') AS route, source_id, title, published, status FROM items WHERE status <> 'trash' ORDER BY published DESC, item_id DESC LIMIT 200")
@@ -47,7 +51,7 @@ def unclassified_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT route, count(*) AS sources, count(*) FILTER (WHERE n >= 5) AS ready, CAST(sum(inbox) AS BIGINT) AS inbox, max(newest) AS newest, round(100.0 * CAST(count(*) FILTER (WHERE n >= 5) AS DOUBLE) / count(*), 1) AS ready_pct FROM per GROUP BY route""")
 def route_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of each route, how many deliver, and what waits in the inbox."""
-    recent = (F.col("status") == "inbox") & (F.col("published") > F.date_sub(AS_OF, 365))
+    recent = (F.col("status") == "inbox") & (F.col("published") > F.date_sub(as_of(), 365))
     per = items(spark, sf_dir).groupBy(F.coalesce("route", F.lit("unclassified")).alias("route"), "source_id").agg(F.count("*").alias("n"), F.max("published").alias("newest"), F.count_if(recent).alias("inbox"))
     ready = F.count_if(F.col("n") >= 5)
     return per.groupBy("route").agg(F.count("*").alias("sources"), ready.alias("ready"), F.sum("inbox").alias("inbox"), F.max("newest").alias("newest"), F.round(F.lit(100.0) * ready / F.count("*"), 1).alias("ready_pct"))
@@ -349,9 +353,9 @@ def retention_keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHEN route = 'news' AND date_diff('day', published, DATE '{ITEMS_AS_OF}') > 300 THEN 'stale' WHEN date_diff('day', published, DATE '{ITEMS_AS_OF}') > 400 THEN 'stale' WHEN route IS NULL THEN 'off_topic' ELSE 'admitted' END AS reason FROM items""")
 def ingest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item with the first rule that refuses it; refused rows stay, with their reason."""
-    age = F.datediff(AS_OF, "published")
+    age = F.datediff(as_of(), "published")
     rules = [
-        ("placeholder_title", F.col("title").rlike("^(untitled|test)")), ("short_title", F.length("title") < 12), ("future_date", F.col("published") > AS_OF),
+        ("placeholder_title", F.col("title").rlike("^(untitled|test)")), ("short_title", F.length("title") < 12), ("future_date", F.col("published") > as_of()),
         ("stale", ((F.col("route") == "news") & (age > 300)) | (age > 400)), ("off_topic", F.col("route").isNull()),
     ]
     return items(spark, sf_dir).select("item_id", first_match(rules, "admitted").alias("reason"))
@@ -368,7 +372,7 @@ def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, CASE WHEN status = 'inbox' AND date_diff('day', published, DATE '{ITEMS_AS_OF}') > 180 AND route IS NOT NULL THEN 'hold' ELSE status END AS status_after FROM items""")
 def stale_inbox_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old inbox items are put on hold; items without a route are evergreen and stay."""
-    old = (F.col("status") == "inbox") & (F.datediff(AS_OF, "published") > 180) & F.col("route").isNotNull()
+    old = (F.col("status") == "inbox") & (F.datediff(as_of(), "published") > 180) & F.col("route").isNotNull()
     return items(spark, sf_dir).select("item_id", F.when(old, "hold").otherwise(F.col("status")).alias("status_after"))
 
 

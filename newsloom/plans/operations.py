@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import backoff_minutes
@@ -12,7 +12,11 @@ from ..operators.latest import leading_streak
 from ..sources.tables import EVENTS_AS_OF, LOG_SQL, load, log
 from .registry import query
 
-AS_OF = F.lit(EVENTS_AS_OF).cast("date")
+
+
+def as_of() -> Column:
+    """The reference day."""
+    return F.lit(EVENTS_AS_OF).cast("date")
 
 
 @query(f"""WITH {LOG_SQL}, g AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, max(day) AS last_day FROM log GROUP BY user_id),
@@ -24,7 +28,7 @@ def source_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("day").alias("last_day"))
     s = leading_streak(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], F.col("event_type") != "error")
     rate = F.col("errors") / F.col("n")
-    rules = [("failing", F.col("streak") >= 3), ("overdue", F.datediff(AS_OF, "last_day") >= 5), ("small_sample", F.col("n") < 10), ("reject", rate >= 0.3), ("watch", rate >= 0.25)]
+    rules = [("failing", F.col("streak") >= 3), ("overdue", F.datediff(as_of(), "last_day") >= 5), ("small_sample", F.col("n") < 10), ("reject", rate >= 0.3), ("watch", rate >= 0.25)]
     return g.join(s, "user_id").select("user_id", first_match(rules, "keep").alias("status"))
 
 

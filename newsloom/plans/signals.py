@@ -10,14 +10,18 @@ from ..sources.tables import EVENTS_AS_OF, ITEMS_SQL, LOG_SQL, items, log
 from .registry import query
 
 WINDOWS = (7, 30, 90)
-AS_OF = F.lit(EVENTS_AS_OF).cast("date")
+
+
+def as_of() -> Column:
+    """The reference day."""
+    return F.lit(EVENTS_AS_OF).cast("date")
 _WINDOWS_SQL = f"""w AS (SELECT l.*, k % 5 AS sub, d.days, CASE WHEN day > DATE '{EVENTS_AS_OF}' - d.days THEN 0 ELSE 1 END AS prior FROM log l CROSS JOIN (VALUES (7), (30), (90)) d(days) WHERE day > DATE '{EVENTS_AS_OF}' - 2 * d.days AND day <= DATE '{EVENTS_AS_OF}')"""
 
 
-def windowed(observations: DataFrame, day: str = "day", as_of: Column = AS_OF) -> DataFrame:
+def windowed(observations: DataFrame, day: str = "day", today: Column | None = None) -> DataFrame:
     """Each observation once for every window (days) that it or the equal window before it holds; prior is 1 for the latter."""
     opened = observations.withColumn("days", F.explode(F.array(*(F.lit(d) for d in WINDOWS))))
-    age = F.datediff(as_of, day)
+    age = F.datediff(as_of() if today is None else today, day)
     return opened.where((age >= 0) & (age < 2 * F.col("days"))).withColumn("prior", F.when(age < F.col("days"), 0).otherwise(1))
 
 
@@ -38,13 +42,12 @@ def signal_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregated(rows, ["concept", "family", "sub"])
 
 
-@query(f"""WITH {LOG_SQL}, t AS (SELECT user_id % 40 AS concept, k % 3 AS sub, count(DISTINCT value) AS kinds, min(value) AS v, count(*) AS n FROM log WHERE day = DATE '2024-01-20' GROUP BY ALL)
-SELECT concept, sub, n, CASE WHEN kinds = 1 THEN 'measured' ELSE 'unknown' END AS state, CASE WHEN kinds = 1 THEN v END AS value FROM t""")
+@query(f"""WITH {LOG_SQL}, t AS (SELECT user_id % 40 AS concept, k % 3 AS sub, day, count(DISTINCT value) AS kinds, min(value) AS v, count(*) AS n FROM log GROUP BY ALL)
+SELECT concept, sub, day, n, CASE WHEN kinds = 1 THEN 'measured' ELSE 'unknown' END AS state, CASE WHEN kinds = 1 THEN v END AS value FROM t""")
 def unambiguous_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value only where all observations agree; missing is never zero."""
-    t = log(spark, sf_dir).where(F.col("day") == F.lit("2024-01-20").cast("date"))
     one = F.countDistinct("value") == 1
-    return t.groupBy((F.col("user_id") % 40).alias("concept"), (F.col("k") % 3).alias("sub")).agg(F.count("*").alias("n"), F.when(one, "measured").otherwise("unknown").alias("state"), F.when(one, F.min("value")).alias("value"))
+    return log(spark, sf_dir).groupBy((F.col("user_id") % 40).alias("concept"), (F.col("k") % 3).alias("sub"), "day").agg(F.count("*").alias("n"), F.when(one, "measured").otherwise("unknown").alias("state"), F.when(one, F.min("value")).alias("value"))
 
 
 @query(f"""WITH {LOG_SQL}, f AS (SELECT user_id % 40 AS concept, event_type AS family, count(DISTINCT k) AS origins, count(DISTINCT day) AS days FROM log GROUP BY ALL),
@@ -70,7 +73,7 @@ def concept_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selectors whose newest observation is older than the window's own length."""
     last = F.max("day")
-    return log(spark, sf_dir).groupBy("user_id", F.col("event_type").alias("family")).agg(last.alias("last_day"), (F.date_add(last, 7) < AS_OF).alias("stale_7"), (F.date_add(last, 30) < AS_OF).alias("stale_30"))
+    return log(spark, sf_dir).groupBy("user_id", F.col("event_type").alias("family")).agg(last.alias("last_day"), (F.date_add(last, 7) < as_of()).alias("stale_7"), (F.date_add(last, 30) < as_of()).alias("stale_30"))
 
 
 @query(f"""WITH {LOG_SQL} SELECT user_id % 40 AS concept, count(*) AS mentions, count(DISTINCT k) AS units, count(DISTINCT user_id) AS actors, count(DISTINCT event_type) AS families, concat_ws(',', CASE WHEN count(DISTINCT event_type) > 3 THEN 'convergence' END, CASE WHEN count(DISTINCT k) > 60 THEN 'breadth' END, CASE WHEN count(*) > 250 THEN 'volume' END) AS reasons FROM log GROUP BY 1""")

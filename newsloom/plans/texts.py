@@ -28,10 +28,10 @@ def text_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.char_length(t).cast("long").alias("chars"), words.cast("long").alias("words"), ends.cast("long").alias("sentences"), first_match(rules, "ok").alias("contract"))
 
 
-@query(f"""SELECT doc_id, translate(lower(replace(substr(text, 1, 200), 'İ', 'i')), '{T.ACCENTED}', '{T.PLAIN}') AS folded FROM documents""")
-def folded_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 characters, as listings show them, without case and accents."""
-    return load(spark, sf_dir, "documents").select("doc_id", T.fold(F.substring("text", 1, 200)).alias("folded"))
+@query(f"""SELECT doc_id, translate(lower(replace(text, 'İ', 'i')), '{T.ACCENTED}', '{T.PLAIN}') AS folded FROM documents""")
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without case and accents."""
+    return load(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(translate(lower(replace(text, 'İ', 'i')), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9]+')) AS w FROM documents)
@@ -135,19 +135,25 @@ def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Related titles from different sources: pairs that share a rare title word, compared by the share of common words.
+    """Different titles of which at least half the words are common: class representatives and how many items each stands for.
 
-    Words in more than 40 titles name no relation and open no block, as in the definition; so no block grows with the table.
+    Equal word sets are one class before any join. Words are ordered by rarity over all classes; a pair with a
+    share of one half must meet in the rarest half (and one) of either side, so only those words open blocks.
     """
-    t = load(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(T.tokens(F.substring("text", 1, 80))).alias("words"))
-    w = t.select("doc_id", F.explode("words").alias("word"))
-    rare = w.groupBy("word").count().where("count between 2 and 40").select("word")
-    blocks = w.join(rare, "word")
-    pairs = blocks.alias("a").join(blocks.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("left_id"), F.col("b.doc_id").alias("right_id")).distinct()
-    l, r = (t.select(F.col("doc_id").alias(f"{s}_id"), F.col("source").alias(f"{s}_source"), F.col("words").alias(f"{s}_words")) for s in ("left", "right"))  # noqa: E741
-    both = pairs.join(l, "left_id").join(r, "right_id").where("left_source <> right_source")
+    least = 0.5
+    t = load(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.split_part("text", F.lit("\n"), F.lit(1))))).alias("words")).where(F.size("words") > 0)
+    classes = t.groupBy("words").agg(F.min("doc_id").alias("id"), F.count("*").alias("items"))
+    w = classes.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counts = w.groupBy("word").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
+    prefix = w.join(counts, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("word", "id", "n")
+    l, r = prefix.select("word", F.col("id").alias("left_id"), F.col("n").alias("ln")), prefix.select("word", F.col("id").alias("right_id"), F.col("n").alias("rn"))  # noqa: E741
+    near = (F.col("left_id") < F.col("right_id")) & (F.least("ln", "rn") >= F.lit(least) * F.greatest("ln", "rn"))
+    pairs = l.join(r, "word").where(near).select("left_id", "right_id").distinct()
+    side = lambda s: classes.select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words"), F.col("items").alias(f"{s}_items"))
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     share = F.size(F.array_intersect("left_words", "right_words")) / F.size(F.array_union("left_words", "right_words"))
-    return both.select("left_id", "right_id", F.round(share, 4).alias("similarity")).where("similarity >= 0.5")
+    return both.select("left_id", "right_id", "left_items", "right_items", share.alias("share")).where(F.col("share") >= least).select("left_id", "right_id", "left_items", "right_items", F.round("share", 4).alias("similarity"))
 
 
 @query("SELECT event_id, user_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type THEN true ELSE false END AS changed FROM events")

@@ -14,19 +14,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content items: documents with their labels as editorial state."""
+    """Content items: documents with their labels as editorial state; the first line is the title."""
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     route = F.when(F.col("lang") == "en", "news").when(F.col("lang") == "fr", "research").when(F.col("lang") == "de", "notice")
     status = F.when(F.col("quality").isNull(), "inbox").when(F.col("toxic") == 1, "hold").when(F.col("quality") == 1, "production").otherwise("trash")
     return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("item_id"), route.alias("route"), F.col("source").alias("source_id"), F.lower(F.trim(F.substring("text", 1, 48))).alias("title"), "text",
+        F.col("doc_id").alias("item_id"), route.alias("route"), F.col("source").alias("source_id"), F.lower(F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("title"), "text",
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 400).cast("int")).alias("published"), "n_chars", "quality", "toxic", status.alias("status"),
     )
 
 
 ITEMS_SQL = """items AS (
   SELECT d.doc_id AS item_id, CASE lang WHEN 'en' THEN 'news' WHEN 'fr' THEN 'research' WHEN 'de' THEN 'notice' END AS route,
-    source AS source_id, lower(trim(substr(text, 1, 48))) AS title, text,
+    source AS source_id, lower(trim(split_part(text, chr(10), 1))) AS title, text,
     DATE '2024-01-01' + CAST(d.doc_id % 400 AS INTEGER) AS published, n_chars, quality, toxic,
     CASE WHEN l.doc_id IS NULL THEN 'inbox' WHEN toxic = 1 THEN 'hold' WHEN quality = 1 THEN 'production' ELSE 'trash' END AS status
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
