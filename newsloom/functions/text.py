@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,16 +24,34 @@ def tokens(c: Column, least: int = 3, most: int = 24) -> Column:
 
 
 def stem(w: Column) -> Column:
-    """A light stemmer: ies, ing, ed, es, s; then a doubled consonant becomes one."""
+    """A light stemmer: the first ending that applies goes, then a doubled last consonant becomes one, but for ll, ss, zz and ff."""
+    n = F.length(w)
+    short = lambda k: F.substring(w, 1, n - k)
     cut = (
-        F.when((F.length(w) > 5) & w.endswith("ies"), F.concat(F.substring(w, 1, F.length(w) - 3), F.lit("y")))
-        .when((F.length(w) > 6) & w.endswith("ing"), F.substring(w, 1, F.length(w) - 3))
-        .when((F.length(w) > 5) & w.endswith("ed"), F.substring(w, 1, F.length(w) - 2))
-        .when((F.length(w) > 5) & w.endswith("es"), F.substring(w, 1, F.length(w) - 2))
-        .when((F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, 1, F.length(w) - 1))
+        F.when((n > 4) & w.endswith("ies"), F.concat(short(3), F.lit("y")))
+        .when((n > 5) & w.endswith("ing"), short(3))
+        .when((n > 4) & w.endswith("ed"), short(2))
+        .when((n > 4) & w.rlike("(ss|sh|ch|x|z)es$"), short(2))
+        .when((n > 3) & w.endswith("s") & ~w.rlike("(ss|us|is)$"), short(1))
         .otherwise(w)
     )
-    return F.regexp_replace(cut, r"([b-df-hj-np-tv-z])\1$", "$1")
+    doubled = (F.length(cut) > 3) & cut.rlike(r"([b-df-hj-np-tv-z])\1$") & ~cut.rlike("(ll|ss|zz|ff)$")
+    return F.when(doubled, F.substring(cut, 1, F.length(cut) - 1)).otherwise(cut)
+
+
+def near(words: Column, stems: Sequence[str]) -> Column:
+    """True if all stems stand in the words within a window two longer than their number, around some place of the first."""
+    if not stems:
+        return F.lit(False)
+    window = len(stems) + 2
+    at = lambda s: F.filter(F.transform(words, lambda w, i: F.when(w == s, i)), lambda i: i.isNotNull())
+    closest = lambda start, s: F.array_min(F.transform(at(s), lambda p: F.struct(F.abs(p - start).alias("d"), p.alias("p"))))["p"]
+
+    def fits(start: Column) -> Column:
+        places = F.array(*(closest(start, s) for s in stems))
+        return F.forall(places, lambda p: p.isNotNull() & (F.abs(p - start) < window)) & (F.array_max(places) - F.array_min(places) < window)
+
+    return F.array_contains(words, stems[0]) & F.exists(at(stems[0]), fits)
 
 
 def bigrams(words: Column) -> Column:
