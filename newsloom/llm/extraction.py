@@ -40,7 +40,7 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
-PATH, WORDS, MEASURES = 512, 64, 8
+PATH, WORDS, MEASURES = 512, 32, 8
 INPUT = PATH + WORDS + MEASURES
 HIDDEN = 16
 
@@ -371,7 +371,7 @@ def _dense(pages: list[tuple[list[Block], list[int]]], most: int = 40) -> tuple[
     return x, y, mask
 
 
-def fit(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", bound: int = 200, invented: int = 400, steps: int = 250, longest: int = 100_000) -> dict[str, np.ndarray]:
+def fit(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", bound: int = 200, invented: int = 1000, steps: int = 500, longest: int = 100_000) -> dict[str, np.ndarray]:
     """Weights from ``invented`` layouts and about ``bound`` pages of up to ``longest`` characters, trained in one task; the weights reach the driver."""
     rows = pages.where(F.char_length(html_col) <= longest).select(F.col(key_col).cast("string").alias("key"), F.col(html_col).alias("html"))
     rows = sampled(rows, "key", bound)

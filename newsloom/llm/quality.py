@@ -88,11 +88,11 @@ def features(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
 class Rates:
     """FTRL-proximal parameters and passes over a shard."""
 
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.02
+    l1: float = 0.005
     l2: float = 0.01
-    passes: int = 4
+    passes: int = 16
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rates: Rates) -> np.ndarray:
