@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; texts may be long, and a batch is held whole by a worker.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
