@@ -48,3 +48,21 @@ def period_bounds(c: Column) -> Column:
 def backoff_minutes(base: int, failures: Column, cap: int) -> Column:
     """base doubled for each failure after the first, at most cap; 0 without failures."""
     return F.when(failures <= 0, F.lit(0).cast("long")).otherwise(F.least(F.lit(cap).cast("double"), F.lit(float(base)) * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(30)))).cast("long"))
+
+
+def deadline(c: Column, published: Column) -> Column:
+    """The latest day named shortly after a word for a deadline; a day without a year falls on or after the publication."""
+    s = F.lower(F.regexp_replace(c, r"\s+", " "))
+    cue = r"(?:deadline|due|closes?|until|apply by|submit by|last day)[^.]{0,45}?"
+    numbers = F.transform(F.regexp_extract_all(s, F.lit(cue + r"([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})"), 1), lambda d: F.try_to_date(F.regexp_replace(d, "[/-]", "."), "d.M.yyyy"))
+    names = "|".join(MONTHS)
+    words = F.transform(F.regexp_extract_all(s, F.lit(cue + rf"([0-9]{{1,2}} (?:{names})[a-z]*(?: [0-9]{{4}})?)"), 1), lambda d: _worded(d, published))
+    return F.array_max(F.concat(numbers, words))
+
+
+def _worded(d: Column, published: Column) -> Column:
+    parts = F.split(d, " ")
+    month = F.array_position(F.array(*(F.lit(x) for x in MONTHS)), F.substring(parts[1], 1, 3))
+    on = lambda year: F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), parts[0]), "yyyy-M-d")
+    this = on(F.year(published))
+    return F.when(F.size(parts) > 2, on(F.get(parts, F.lit(2)))).when(this >= published, this).otherwise(on(F.year(published) + 1))

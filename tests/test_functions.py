@@ -134,3 +134,68 @@ def test_stream_equals_batch(spark, small):
 
     batch = {(str(r["w"]["start"].date()), r["family"]): r["n"] for r in weekly(load(spark, small, "events")).collect()}
     assert {(str(r["window_start"]), r["family"]): r["n"] for r in QUERIES["stream_signals"](spark, small).collect()} == batch
+
+
+@pytest.mark.parametrize("said, day", [("Deadline: 5.3.2026 and due 7/4/2026", "2026-04-07"), ("apply by 3 March", "2026-03-03"), ("closes 1 Jan", "2027-01-01"), ("closes 1 Jan 2030", "2030-01-01"), ("held on 3 March 2026", None), ("due 31.2.2026", None), ("", None)])
+def test_deadline(spark, said, day):
+    row = spark.createDataFrame([(said, datetime.date(2026, 2, 1))], "t string, p date")
+    assert row.select(dates.deadline(F.col("t"), F.col("p"))).first()[0] == (day and datetime.date.fromisoformat(day))
+
+
+def test_records(spark):
+    from newsloom.sources import records
+
+    rows = lambda j: spark.createDataFrame([(j,), (None,), ("{broken",)], "json string")
+    pmc = '{"resultList": {"result": [{"id": "1", "pmid": "11", "doi": "10.1/A", "title": "T  x", "firstPublicationDate": "2024-05-06"}, {"id": "2"}]}}'
+    got = records.europe_pmc(rows(pmc)).orderBy("position").collect()
+    assert [(r["external_id"], r["doi"], r["title"], r["published"]) for r in got] == [("1", "10.1/a", "T x", datetime.date(2024, 5, 6)), ("2", None, None, None)]
+    cross = '{"message": {"items": [{"DOI": "10.2/B", "title": ["U"], "container-title": ["J"], "issued": {"date-parts": [[2023, 4]]}}, {"DOI": "10.2/C"}]}}'
+    got = records.crossref(rows(cross)).orderBy("position").collect()
+    assert [(r["doi"], r["container"], r["published"]) for r in got] == [("10.2/b", "J", datetime.date(2023, 4, 1)), ("10.2/c", None, None)]
+    alex = '{"results": [{"id": "https://openalex.org/W9", "doi": "https://doi.org/10.3/D", "title": "V", "publication_date": "2022-01-02", "primary_location": {"source": {"display_name": "K"}}}]}'
+    r = records.openalex(rows(alex)).first()
+    assert (r["external_id"], r["doi"], r["container"]) == ("W9", "10.3/d", "K")
+    more = records.enrich(records.europe_pmc(rows(pmc)), spark.createDataFrame([("11", 3.5), ("11", 3.5)], "pmid string, ratio double"))
+    assert sorted(r["ratio"] or 0 for r in more.collect()) == [0, 3.5]
+
+
+def test_trial_signals(spark):
+    import json
+
+    from newsloom.sources import records
+
+    study = {"protocolSection": {"identificationModule": {"nctId": "N1"}, "statusModule": {"studyFirstPostDateStruct": {"date": "2024-01-02"}}, "conditionsModule": {"conditions": ["Flu", "flu", ""]}, "armsInterventionsModule": {"interventions": [{"type": "DRUG", "name": "Sugar"}, {"type": "DRUG", "name": "Real"}], "armGroups": [{"type": "PLACEBO_COMPARATOR", "interventionNames": ["Drug: Sugar"]}, {"type": "EXPERIMENTAL", "interventionNames": ["Drug: Real"]}]}}}
+    undated = {"protocolSection": {"identificationModule": {"nctId": "N2"}, "conditionsModule": {"conditions": ["x"]}}}
+    got = {(r["study_id"], r["family"], r["label"], r["role"]) for r in records.trial_signals(spark.createDataFrame([(json.dumps({"studies": [study, undated]}),)], "json string")).collect()}
+    assert got == {("N1", "condition", "Flu", "topic"), ("N1", "intervention", "Sugar", "control"), ("N1", "intervention", "Real", "topic")}
+
+
+def test_sinks(spark, tmp_path):
+    from newsloom.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, c string")
+    put = sinks.write_batch(str(tmp_path / "out"))
+    put(df, 0), put(df, 0), put(df, 1)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+    assert sinks.with_artifact_id(df, "c").count() == 2
+    first = sinks.outbox(df, spark.createDataFrame([], "dedupe_key string"), ["c"])
+    assert first.count() == 2 and sinks.outbox(df, first, ["c"]).count() == 0
+    assert [r["k"] for r in sinks.changed_snapshots(df, spark.createDataFrame([(1, "a"), (2, "z")], "k int, c string"), "k", "c").orderBy("k").collect()] == [2, 3]
+
+
+def test_stateful_streaks(spark, tmp_path):
+    from newsloom.streaming.streaks import accept_streaks
+
+    source, out = tmp_path / "in", tmp_path / "out"
+    runs = [("a", 1, 0), ("a", 2, 0), ("a", 3, 0), ("b", 1, 4), ("b", 2, 0)]
+    spark.createDataFrame(runs, "source string, run long, accepted long").coalesce(1).write.parquet(str(source))
+
+    def go():
+        stream = accept_streaks(spark.readStream.schema("source string, run long, accepted long").parquet(str(source)))
+        stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    go()
+    spark.createDataFrame([("a", 3, 9), ("a", 4, 1), ("b", 3, 0)], "source string, run long, accepted long").coalesce(1).write.mode("append").parquet(str(source))
+    go()
+    got = {(r["source"], r["run"]): (r["streak"], r["state"]) for r in spark.read.parquet(str(out)).collect()}
+    assert got == {("a", 1): (1, "warning"), ("a", 2): (2, "warning"), ("a", 3): (3, "low"), ("b", 1): (0, "configured"), ("b", 2): (1, "warning"), ("a", 4): (0, "configured"), ("b", 3): (2, "warning")}
