@@ -135,36 +135,39 @@ def _bucket(kind: str, x: str, size: int) -> int:
 
 
 class Features:
-    """Hashed features of blocks: (block, feature, value)."""
+    """What the labeller reads of blocks: hashed path columns, and a dense part of hashed words and measures."""
 
     def __init__(self):
-        self.paths: dict[tuple[str, ...], list[tuple[int, float]]] = {}
+        self.paths: dict[tuple[str, ...], np.ndarray] = {}
         self.words = Remembered(lambda w: _bucket("word", w, WORDS))
 
-    def path(self, path: tuple[str, ...]) -> list[tuple[int, float]]:
+    def path(self, path: tuple[str, ...]) -> np.ndarray:
+        """Columns that are 1 for a path: its elements and names, and the last one again."""
         if path not in self.paths:
             if len(self.paths) > 20_000:
                 self.paths.clear()
-            named = [_bucket("path", n, PATH) for n in set(path)] + [_bucket("last", path[-1] if path else "", PATH)]
-            self.paths[path] = [(i, 1.0) for i in named]
+            self.paths[path] = np.array([_bucket("path", n, PATH) for n in sorted(set(path))] + [_bucket("last", path[-1] if path else "", PATH)])
         return self.paths[path]
 
-    def __call__(self, own: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, col, val = [], [], []
+    def dense(self, own: list[Block]) -> np.ndarray:
+        """[block, WORDS + MEASURES]"""
         self.words.trim()
-        for i, b in enumerate(own):
-            words, n = _WORD.findall(b.text.lower()), len(b.text)
-            for j, x in self.path(b.path):
-                row.append(i), col.append(j), val.append(x)
-            counts = np.bincount(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)), minlength=WORDS)
-            seen = np.flatnonzero(counts)
-            row += [i] * len(seen)
-            col += (PATH + seen).tolist()
-            val += (2 * counts[seen] / max(8, len(words))).tolist()
-            measures = (1.0, min(2.0, n / 200), b.linked, b.text[-1] in ".!?", np.log1p(n) / 8, i / len(own), b.text.count(".") / n, i == 0)
-            for j, x in enumerate(measures):
-                row.append(i), col.append(PATH + WORDS + j), val.append(float(x))
-        return np.array(row, np.int64), np.array(col, np.int64), np.array(val, np.float32)
+        out = np.empty((len(own), WORDS + MEASURES), np.float32)
+        words = [_WORD.findall(b.text.lower()) for b in own]
+        sizes = np.fromiter(map(len, words), np.int64, len(own))
+        ids = np.fromiter((self.words[w] for some in words for w in some), np.int64, int(sizes.sum()))
+        counts = np.bincount(np.repeat(np.arange(len(own)) * WORDS, sizes) + ids, minlength=len(own) * WORDS).reshape(len(own), WORDS)
+        out[:, :WORDS] = 2 * counts / np.maximum(8, sizes)[:, None]
+        length = np.fromiter((len(b.text) for b in own), np.float32, len(own))
+        out[:, WORDS] = 1
+        out[:, WORDS + 1] = np.minimum(2, length / 200)
+        out[:, WORDS + 2] = [b.linked for b in own]
+        out[:, WORDS + 3] = [b.text[-1] in ".!?" for b in own]
+        out[:, WORDS + 4] = np.log1p(length) / 8
+        out[:, WORDS + 5] = np.arange(len(own)) / max(1, len(own))
+        out[:, WORDS + 6] = [b.text.count(".") for b in own] / length
+        out[:, WORDS + 7] = np.arange(len(own)) == 0
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -202,31 +205,37 @@ class Labeller:
                 keep.append((i, f, o, u, before, tanh, last))
         return out
 
-    def scores(self, pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: list[int]) -> list[np.ndarray]:
+    def scores(self, pages: list[list[Block]], make: Features) -> list[np.ndarray]:
         """For each page the chance of each of its blocks to be article; pages of like size go together."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if sizes[i]), key=lambda i: sizes[i])
+        both = np.concatenate([self.w["xf"], self.w["xb"]], 1)
+        seen: dict[tuple[str, ...], int] = {}
+        known: list[np.ndarray] = []  # a path's part of the gates, for both directions
+
+        def place(path: tuple[str, ...]) -> int:
+            if path not in seen:
+                seen[path] = len(known)
+                known.append(both[make.path(path)].sum(0))
+            return seen[path]
+
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
         while order:
-            n = max(1, min(len(order), 128, 20_000 // sizes[order[-1]]))
+            n = max(1, min(len(order), 128, 20_000 // len(pages[order[-1]])))
             some, order = order[-n:], order[:-n]
-            steps = max(sizes[i] for i in some)
-            mask = np.arange(steps)[None, :] < np.array([sizes[i] for i in some])[:, None]
-            row = np.concatenate([pages[i][0] + k * steps for k, i in enumerate(some)])
-            col, val = (np.concatenate([pages[i][j] for i in some]) for j in (1, 2))
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            sizes = np.array([len(pages[i]) for i in some])
+            steps = int(sizes.max())
+            mask = np.arange(steps)[None, :] < sizes[:, None]
+            z = np.zeros((n, steps, 8 * HIDDEN), np.float32)
+            paths = [place(b.path) for i in some for b in pages[i]]
+            dense = np.concatenate([make.dense(pages[i]) for i in some])
+            z[mask] = np.stack(known)[paths] + dense @ both[PATH:]
             logit = np.full((n, steps), self.w["p"][0], np.float32)
-            for d, part in (("f", self.w["o"][:HIDDEN]), ("b", self.w["o"][HIDDEN:])):
-                z = np.zeros((n * steps, 4 * HIDDEN), np.float32)
-                for a in range(0, len(first), 4096):
-                    lot = first[a : a + 4096]
-                    end = first[a + 4096] if a + 4096 < len(first) else len(row)
-                    z[row[lot]] = np.add.reduceat(self.w[f"x{d}"][col[lot[0] : end]] * val[lot[0] : end, None], lot - lot[0], axis=0)
-                z = z.reshape(n, steps, -1) + self.w[f"c{d}"]
-                got = self._direction(z if d == "f" else z[:, ::-1], d, mask if d == "f" else mask[:, ::-1])
-                logit += (got if d == "f" else got[:, ::-1]) @ part
+            for d, part, gates in (("f", self.w["o"][:HIDDEN], z[..., : 4 * HIDDEN]), ("b", self.w["o"][HIDDEN:], z[..., 4 * HIDDEN :])):
+                turn = (lambda v: v) if d == "f" else (lambda v: v[:, ::-1])
+                logit += turn(self._direction(turn(gates + self.w[f"c{d}"]), d, turn(mask))) @ part
             p = _sigmoid(logit)
             for k, i in enumerate(some):
-                out[i] = p[k, : sizes[i]]
+                out[i] = p[k, : sizes[k]]
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int, lot: int = 32, rate: float = 0.02, seed: int = 4) -> None:
@@ -365,8 +374,9 @@ def _dense(pages: list[tuple[list[Block], list[int]]], most: int = 40) -> tuple[
     x, y, mask = np.zeros((len(pages), most, INPUT), np.float32), np.zeros((len(pages), most), np.float32), np.zeros((len(pages), most), bool)
     make = Features()
     for k, (own, labels) in enumerate(pages):
-        row, col, val = make(own[:most])
-        np.add.at(x[k], (row, col), val)
+        for i, b in enumerate(own[:most]):
+            np.add.at(x[k, i], make.path(b.path), 1)
+        x[k, : min(most, len(own)), PATH:] = make.dense(own[:most])
         y[k, : len(labels)], mask[k, : len(labels)] = labels[:most], True
     return x, y, mask
 
@@ -409,7 +419,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray], *, html_col: str =
         model, make = Labeller(shared.value), Features()
         for batch in batches:
             cut = [blocks(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
-            scores = model.scores([make(b) for b in cut], [len(b) for b in cut])
+            scores = model.scores(cut, make)
             text = ["\n".join(b.text for b, p in zip(own, s, strict=True) if p >= 0.5) for own, s in zip(cut, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string())], names=[*keep, "text"])
 

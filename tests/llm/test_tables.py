@@ -99,7 +99,7 @@ def test_invented_layouts(weights):
         page, labels = extraction.invented_page(rng)
         own = extraction.blocks(page)
         assert len(own) == len(labels)
-        wrong += int(((model.scores([make(own)], [len(own)])[0] >= 0.5) != np.array(labels)).sum())
+        wrong += int(((model.scores([own], make)[0] >= 0.5) != np.array(labels)).sum())
         total += len(labels)
     assert wrong / total < 0.03
 
