@@ -27,3 +27,9 @@ def missing(columns: Sequence[str]) -> Column:
 def any_word(text: Column, words: Sequence[str]) -> Column:
     """True if one of the words stands in a lower-case text between other characters than letters and digits."""
     return text.rlike(f"(^|[^a-z0-9])({'|'.join(words)})([^a-z0-9]|$)")
+
+
+def keyword_gate(text: Column, discard: Sequence[tuple[str, Sequence[str]]], accept: Sequence[tuple[str, Sequence[str]]], otherwise: str = "discard:no_signal") -> Column:
+    """``discard:<name>`` for the first discarding word list that hits a lower-case text, else ``accept:<name>``, else ``otherwise``."""
+    rules = [(f"discard:{name}", any_word(text, words)) for name, words in discard] + [(f"accept:{name}", any_word(text, words)) for name, words in accept]
+    return first_match(rules, otherwise)

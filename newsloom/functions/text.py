@@ -107,3 +107,10 @@ def fingerprint(*parts: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Number of sentence ends."""
     return F.regexp_count(c, F.lit(r"[.!?]+(\s|$)"))
+
+
+def repaired(c: Column) -> Column:
+    """Text that was read in the wrong encoding, read again: only if it shows the usual traces and the bytes make sense."""
+    traces = c.rlike("[\u00c3\u00c4\u00c5][\u0080-\u00bf]") & ~c.rlike("[^\u0000-\u00ff]")
+    again = F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string"))
+    return F.when(traces, F.coalesce(again, c)).otherwise(c)

@@ -96,10 +96,24 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(doc_id, bucket) of the hashed words and word pairs of a text's head, as the model was built for: 80 features at most."""
-    words = T.tokens(F.substring("text", 1, 400))
-    feats = F.slice(F.concat(words, T.bigrams(words)), 1, 80)
-    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(feats, lambda w: T.fnv1a(w) % BUCKETS))).alias("bucket"))
+    """(doc_id, bucket) of the hashed words and word pairs of whole texts, each bucket once."""
+    words = docs.select("doc_id", T.tokens(F.col("text")).alias("words"))
+    feats = F.array_distinct(F.transform(F.concat("words", T.bigrams(F.col("words"))), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))))
+    return words.select("doc_id", F.explode(feats).alias("bucket"))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS w FROM part) SELECT w AS word, length(w) AS n FROM w WHERE w <> ''""")
+def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of names."""
+    w = load(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z0-9]+")).alias("word")).where("word <> ''").distinct()
+    return w.select("word", F.length("word").cast("long").alias("n"))
+
+
+@query()
+def feature_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of names by their FNV-1a bucket, as models of the older form address them."""
+    w = load(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z0-9]+")).alias("word")).where("word <> ''").distinct()
+    return w.select("word", T.fnv1a(F.col("word")).alias("hash"), (T.fnv1a(F.col("word")) % BUCKETS).alias("bucket"))
 
 
 @query()

@@ -199,3 +199,32 @@ def test_stateful_streaks(spark, tmp_path):
     go()
     got = {(r["source"], r["run"]): (r["streak"], r["state"]) for r in spark.read.parquet(str(out)).collect()}
     assert got == {("a", 1): (1, "warning"), ("a", 2): (2, "warning"), ("a", 3): (3, "low"), ("b", 1): (0, "configured"), ("b", 2): (1, "warning"), ("a", 4): (0, "configured"), ("b", 3): (2, "warning")}
+
+
+def test_listings(spark):
+    from newsloom.sources import listings
+
+    page = """<a href="/">Home</a><h2>A heading of an item</h2><p>x</p><a href="/a">Read more</a><a href="https://www.x.org/b/2024-03/">Another item here</a>
+    <a href="https://other.org/c">Something elsewhere</a><a href="/a#top">Again the same target</a><a href="/d">short</a>"""
+    df = spark.createDataFrame([(1, "https://x.org/news", page), (2, "https://x.org/", None)], "id int, url string, html string")
+    got = [(r["place"], r["href"], r["title"]) for r in listings.listing_links(df, "id").orderBy("place").collect()]
+    assert got == [(1, "https://www.x.org/b/2024-03/", "Another item here"), (2, "/a", "A heading of an item")]
+    d = datetime.date
+    entries = spark.createDataFrame([("https://x.org/a", d(2024, 3, 1)), ("https://x.org/", d(2024, 3, 1)), ("https://x.org/b", d(2023, 1, 1)), ("https://x.org/c", d(2024, 3, 9)), ("https://x.org/e", None)], "url string, last_modified date")
+    assert [r["url"] for r in listings.recent_entries(entries, "2024-03-02", 10).collect()] == ["https://x.org/a"]
+    pool = spark.createDataFrame([("s", u) for u in "abcde"], "source string, u string")
+    seen = spark.createDataFrame([("s", "b")], "source string, u string")
+    assert sorted(r["u"] for r in listings.rotation_window(pool, "u", seen, start=3, size=2).collect()) == ["a", "e"]
+    found = spark.createDataFrame([(1, "links", "x"), (1, "feed", "y"), (2, "links", "z")], "id int, strategy string, item string")
+    assert sorted(r["item"] for r in listings.best_strategy(found, ["id"], ["feed", "sitemap", "links"]).collect()) == ["y", "z"]
+
+
+@pytest.mark.parametrize("raw, fine", [("caf\u00c3\u00a9", "caf\u00e9"), ("plain", "plain"), ("\u00c3\u0028", "\u00c3\u0028"), ("中\u00c3\u00a9", "中\u00c3\u00a9")])
+def test_repaired(spark, raw, fine):
+    assert one(spark, text.repaired(F.col("t")), t=raw) == fine
+
+
+def test_keyword_gate(spark):
+    gate = rules.keyword_gate(F.col("t"), [("event", ["congress"])], [("grant", ["scholarship", "grant"])])
+    df = spark.createDataFrame([("a grant for all",), ("congress grant",), ("nothing",), (None,)], "t string")
+    assert [r["x"] for r in df.select(gate.alias("x")).collect()] == ["accept:grant", "discard:event", "discard:no_signal", "discard:no_signal"]
