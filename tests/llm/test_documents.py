@@ -233,6 +233,27 @@ def test_decontamination_odd(spark, odd, none):
     assert decontaminate.clean(odd, bench).columns == odd.columns
 
 
+def test_decontamination_finds_frequent_items(spark):
+    """One item in a third of the documents, at every offset, whole and with every fourth word replaced."""
+    rng = np.random.default_rng(2)
+    share = 1 / np.arange(1, 3001)
+    text = lambda language, n: [f"{language}{w}" for w in rng.choice(3000, n, p=share / share.sum())]
+    items = [text("abcd"[i % 4], int(rng.integers(17, 60))) for i in range(20)]
+    items[0] = text("a", 40)
+    changed = [f"z{i}" if i % 4 == 3 else w for i, w in enumerate(items[0])]
+    rows, planted = [], set()
+    for d in range(1200):
+        host = text("abcd"[d % 4], 60 + d // 3 % 40)
+        if d % 3 == 0 or d % 12 == 1:
+            at = d // 3 % 32
+            host[at:at] = changed if d % 3 else items[0]
+            planted.add((d, 0))
+        rows.append((d, " ".join(host)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()} == planted
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_common_subsequence(seed):
     rng = np.random.default_rng(seed)
