@@ -12,7 +12,8 @@ Queries that found fewer than ``k`` then go against all rows in the same blocks.
 
 Scores are recomputed row by row in double precision from the original numbers, so equal vectors
 have equal scores; ties go to the smaller id. Vectors that are null, zero, of another than the most
-common dimension or hold nulls, NaN or infinities take no part, nor do rows without an id. Repeated rows count once. An
+common dimension or hold nulls, NaN or infinities take no part, nor do rows without an id. Repeated rows count once: they
+are merged before they are dealt. An id with several vectors takes one place, by its best score. An
 empty table, or one without queries, gives an empty result.
 """
 
@@ -97,14 +98,16 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k best in one chunk; blocks keep the score matrix small."""
+    """(query, id, score) of each query's k best ids in one chunk, sorted by id; blocks keep the score matrix small."""
     out = []
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))[: len(ids)]
     step = max(1, 4_000_000 // max(1, len(ids)))
     for a in range(0, len(q_ids), step):
         rough = q[a : a + step] @ x.T
         rough[q_ids[a : a + step, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
+        if len(first) > k:
+            each = rough if len(first) == len(ids) else np.maximum.reduceat(rough, first, axis=1)
+            least = np.partition(each, len(first) - k, axis=1)[:, len(first) - k]
             margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
             i, j = np.nonzero((rough >= (least - margin)[:, None]) & np.isfinite(rough))
         else:
@@ -114,11 +117,13 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
 
 
 def _cut(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best rows, every id once."""
-    order = np.lexsort((v, -s, q))
+    """Each query's k best rows, every id once, by its best score."""
+    order = np.lexsort((-s, v, q))
     q, v, s = q[order], v[order], s[order]
     new = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))[: len(q)]
     q, v, s = q[new], v[new], s[new]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
     start = np.searchsorted(q, q)
     top = np.arange(len(q)) - start < k
     return q[top], v[top], s[top]
@@ -193,6 +198,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
     v = F.col(vec_col)
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), v.alias("v"))
+    rows = checkpoint(rows.groupBy("id", "v").agg(F.bool_or("query").alias("query")))
     square = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     common = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("square"), F.count_if("query").alias("queries")).orderBy(F.desc("n"), "dim").first()
     if common is None:

@@ -209,6 +209,23 @@ def test_neighbours_with_many_copies(spark):
     assert got == [v for v, _ in nearest(np.arange(900), x.astype(float), 300, 20)]
 
 
+def test_neighbours_with_repeated_rows(spark):
+    """Rows stored several times, one of them often, and ids with two vectors: twenty different ids, the exact ones."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    second = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in range(60) for _ in range(3)] + [(7, x[7].tolist())] * 30 + [(i, second[i].tolist()) for i in range(30, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    score = np.maximum(x.astype(float) @ x[:30].T.astype(float), np.where(np.arange(60)[:, None] >= 30, second.astype(float) @ x[:30].T.astype(float), -np.inf))
+    for how in (ann.Settings(), ann.Settings(tables=1, probes=1, width=0.05), ann.Settings(width=100.0), ann.Settings(chunk_rows=50)):
+        got = {}
+        for r in ann.search(df, F.col("vec_id") < 30, settings=how).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert set(got) == set(range(30)) and all(len(set(v)) == len(v) == 20 for v in got.values())
+        if how.width != 2.0:  # all rows meet in one bucket, or in the exact fallback
+            assert got == {q: [i for i in np.argsort(-score[:, q], kind="stable").tolist() if i != q][:20] for q in range(30)}
+
+
 # --- pipeline
 
 
