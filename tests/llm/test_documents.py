@@ -254,6 +254,23 @@ def test_decontamination_finds_frequent_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()} == planted
 
 
+def test_decontamination_finds_short_items(spark):
+    """Items of one to three words wherever they stand; not with other words between or in another order."""
+    items = {1: "kappa", 2: "sigma omega", 3: "alpha beta gamma"}
+    rows, planted = [], set()
+    for n, item in items.items():
+        for at in range(9):
+            rows.append((len(rows), " ".join([f"w{j}" for j in range(at)] + [item] + [f"v{j}" for j in range(8)])))
+            planted.add((rows[-1][0], n))
+        for at in range(9):
+            rows.append((len(rows), " ".join([f"w{j}" for j in range(at)] + [item])))
+            planted.add((rows[-1][0], n))
+    rows += [(len(rows) + i, t) for i, t in enumerate(("omega sigma x y", "sigma x omega y", "alpha beta x gamma", "gamma beta alpha y", "x alpha beta"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()} == planted
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_common_subsequence(seed):
     rng = np.random.default_rng(seed)
