@@ -42,6 +42,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A name for rows of the same id and text, also where either is null."""
+    text = lambda name: F.col(name).cast("string")
+    named = F.when(F.col(id_col).isNull(), F.lit("-")).otherwise(F.concat(F.char_length(text(id_col)).cast("string"), F.lit(":"), text(id_col)))
+    held = F.when(F.col(text_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit(":"), text(text_col)))
+    return F.md5(F.concat(named, held).cast("binary"))
+
+
 def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
     """About ``bound`` rows, chosen by a hash of ``key``; all rows if there are no more than that."""
     rows = df.count()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, row_key, small_batches
 from .components import components
 
 SEED = 42
@@ -178,11 +178,13 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row of each group, the one that names it, with all columns; rows without an id stay as they are."""
-    found = groups(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, words=words)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id"))
-    counts = kept.groupBy("__id").count().agg(F.max("count")).first()[0]
-    rows = docs.join(kept.distinct(), F.col(id_col) == F.col("__id"), "left_semi")
-    if counts and counts > 1:  # the same id occurs more than once
-        rows = rows.dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each group with all columns: the one with the least id, one without an id only where the group has no other."""
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    found = groups(keyed.select(order.alias("__order"), F.col(text_col)), id_col="__order", text_col=text_col, words=words)
+    kept = found.where(F.col("__order.row") == F.col("component_id.row")).select(F.col("__order.row").alias("__row"))
+    counts = kept.groupBy("__row").count().agg(F.max("count")).first()[0]
+    rows = keyed.join(kept.distinct(), "__row", "left_semi")
+    if counts and counts > 1:  # the same row occurs more than once
+        rows = rows.dropDuplicates(["__row"])
+    return rows.select(*docs.columns)

@@ -164,6 +164,15 @@ def test_simhash_odd(spark, odd, none):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 5, 6, None, 8, 9, 10])
 
 
+def test_representatives_by_rows(spark):
+    """Two texts under one id each keep their group's row, and copies without an id are one group."""
+    rows = [(1, "the first text of id one"), (1, "quite another text that shares the id"), (2, "the first text of id one"), (None, "no id here at all"), (None, "no id here at all"), (3, "last words of a third"), (None, "last words of a third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([rows[i] for i in (0, 1, 3, 5)])
+
+
 @pytest.mark.parametrize("seed, spread", [(0, 64), (1, 6), (2, 12), (3, 1)])
 def test_trie_links_brute_force(seed, spread):
     rng = np.random.default_rng(seed)
@@ -271,6 +280,16 @@ def test_decontamination_finds_short_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()} == planted
 
 
+def test_clean_by_rows(spark):
+    """A copy without an id goes; of two texts under one id only the copy goes."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, f"before {item} after"), (None, "nothing of it here"), (1, f"{item} and more"), (1, "a clean text of the same id"), (2, None), (None, None), (3, f"and {item}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([rows[i] for i in (1, 3, 4, 5)])
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_common_subsequence(seed):
     rng = np.random.default_rng(seed)
