@@ -1,14 +1,22 @@
 """Nearest neighbours by inner product with multiprobe p-stable hashing.
 
 Vectors get one more component so that all have the largest norm M; then the largest inner product
-is the least distance. A table hashes by ``hashes`` functions floor((a.x + b) / w) with Gaussian a.
-A query visits, in each table, the ``probes`` buckets of its perturbation sequence: steps of -1, 0
-and +1 in the order of their squared distances to the bucket walls, which is the order of estimated
-success. Index rows and probes are dealt by (table, bucket, chunk) and sorted so that a bucket's
-rows come before its probes; a task holds one chunk, ranks it for blocks of queries and keeps the
-``k`` best of each query, so buckets are never expanded into pairs. The number of chunks grows with the table: a bucket of
-any share of the rows is at most ``chunk_rows`` rows a chunk on average, even if all rows meet in it.
-Queries that found fewer than ``k`` then go against all rows in the same blocks.
+is the least distance. A table hashes by ``hashes`` functions floor(a.x / w + b) with Gaussian a, made orthogonal in
+groups. Its leading functions name the cell in which rows are dealt; how many lead grows with the
+logarithm of the table, so a cell keeps its size. A query visits, in each table, the first ``probes`` cells of
+its perturbation sequence: steps of -1, 0 and +1 in the order of their squared distances to the cell walls,
+which is the order of estimated success. In a cell, the buckets of all functions are visited by estimated
+success too: how much likelier a neighbour's projections fall there than any row's, if neighbours have the cosine that they
+usually have. Only rows of visited buckets are scored against the vector itself; the ``k`` best of each query and task are
+merged by query.
+
+How far to probe is measured, not guessed: the nearest rows of a bounded sample of ``fitted``
+queries are found by brute force; their cosine, and the fewest probes and highest least success that find ``target`` of
+them, hold for all queries. Column ``scored`` says how many rows each query was compared with, over all tables.
+
+Index rows and probes are dealt by (table, cell); a cell counted above ``chunk_rows`` (a vector that many
+rows share) is cut by a hash of the id, and only its probes are copied to each of its chunks. Queries that
+found fewer than ``k`` then go against all rows in blocks.
 
 Scores are recomputed row by row in double precision from the original numbers, so equal vectors
 have equal scores; ties go to the smaller id. Vectors that are null, zero, of another than the most
@@ -19,7 +27,6 @@ empty table, or one without queries, gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,79 +38,150 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-_PART = "query_id long, ids array<long>, scores array<double>"
-_RESULT = "query_id long, rank int, vec_id long, score double"
+_PART = "query_id long, ids array<long>, scores array<double>, scored long"
+_RESULT = "query_id long, rank int, vec_id long, score double, scored long"
+#: Up to so many names of large cells are sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    tables: int = 6
-    hashes: int = 5
-    width: float = 2.0  # in units of M
-    probes: int = 20
+    tables: int = 4
+    hashes: int = 32
+    width: float = 2.0  # in standard deviations of a projection
+    cell_rows: int = 4096
     chunk_rows: int = 32_768
+    most_probes: int = 256
+    fitted: int = 64
+    target: float = 0.94
     seed: int = 11
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """The hash functions of all tables for one dimension and norm."""
+    """The hash functions of all tables for one dimension and norm, and how far queries probe."""
 
     settings: Settings
     dim: int
     norm: float
-
-    def _projected(self, table: int, x: np.ndarray, query: bool) -> np.ndarray:
-        s = self.settings
+    lead: int = 0
+    probes: int = 1
+    cosine: float = 1.0  # of neighbours, as measured
+    least: float = -math.inf  # success that a bucket must promise to be visited
+
+    def _functions(self, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Directions [dim + 1, hashes], shifts, and odd multipliers that name cells."""
+        s, d = self.settings, self.dim + 1
         rng = np.random.default_rng([s.seed, table])
-        a, b = rng.normal(size=(self.dim + 1, s.hashes)), rng.uniform(0, 1, s.hashes)
+        groups = [np.linalg.qr(rng.normal(size=(d, min(d, s.hashes - i))))[0] for i in range(0, s.hashes, d)]
+        return np.concatenate(groups, 1) * (math.sqrt(d) / s.width), rng.uniform(0, 1, s.hashes), rng.integers(0, 1 << 63, s.hashes, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+    def success(self, table: int, p: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated success of the buckets ``low`` (rows of whole numbers) for the projections p as factors [.., functions + 2] whose products add up to it.
+
+        The log of how much likelier a projection falls at a bucket's centre c if it belongs to a neighbour of
+        the query at q is, up to a factor, 2 q.c - cosine (q.q + c.c).
+        """
+        b = self._functions(table)[1]
+        q, c = p - b, low + 0.5 - b
+        one = lambda x: np.ones((len(x), 1))
+        return np.hstack([2 * q, -self.cosine * (q * q).sum(1, keepdims=True), one(q)]), np.hstack([c, one(c), -self.cosine * (c * c).sum(1, keepdims=True)])
+
+    def projected(self, table: int, x: np.ndarray, query: bool) -> np.ndarray:
+        """[row, function] in units of the width."""
+        a, b, _ = self._functions(table)
         square = (x * x).sum(1)
         if query:
             x, last = x / np.sqrt(square)[:, None], np.zeros(len(x))
         else:
             x, last = x / self.norm, np.sqrt(np.maximum(0, 1 - square / self.norm**2))
-        return (x @ a[:-1] + last[:, None] * a[-1]) / s.width + b
+        return x @ a[:-1] + last[:, None] * a[-1] + b
 
-    def _key(self, table: int, cell: np.ndarray) -> np.ndarray:
+    def _cell(self, table: int, low: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            out = np.full(cell.shape[:-1], table + 1, np.uint64)
-            for j in range(cell.shape[-1]):
-                out = (out ^ (cell[..., j] + 1_000).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(29)
-        return out.view(np.int64)
+            own = low[:, : self.lead].astype(np.int64).view(np.uint64) * self._functions(table)[2][: self.lead]
+            return own.sum(1, dtype=np.uint64) + np.uint64((table + 1) * 0x9E3779B97F4A7C15 % 2**64)
 
-    def buckets(self, x: np.ndarray) -> np.ndarray:
+    def cells(self, x: np.ndarray) -> np.ndarray:
         """[row, table]"""
-        return np.stack([self._key(t, np.floor(self._projected(t, x, False)).astype(np.int64)) for t in range(self.settings.tables)], 1)
+        return np.stack([self._cell(t, np.floor(self.projected(t, x, False))) for t in range(self.settings.tables)], 1).view(np.int64)
+
+    def sequence(self, table: int, p: np.ndarray, probes: int) -> np.ndarray:
+        """[query, probe]: a table's cells in estimated order of success.
+
+        Costs add up over the functions, so the best of some functions extend to the best of one more.
+        """
+        low = np.floor(p)
+        factor = self._functions(table)[2]
+        total, cell = np.zeros((len(p), 1)), self._cell(table, low)[:, None]
+        with np.errstate(over="ignore"):
+            for j in range(self.lead):
+                down, up = (p[:, j] - low[:, j])[:, None] ** 2, (low[:, j] + 1 - p[:, j])[:, None] ** 2
+                total = np.concatenate([total, total + down, total + up], 1)
+                cell = np.concatenate([cell, cell - factor[j], cell + factor[j]], 1)
+                best = np.argsort(total, axis=1, kind="stable")[:, :probes]
+                total, cell = np.take_along_axis(total, best, 1), np.take_along_axis(cell, best, 1)
+        return cell.view(np.int64)
 
     def probed(self, x: np.ndarray) -> np.ndarray:
-        """[row, table * probe], each table's buckets in estimated order of success"""
-        s = self.settings
-        steps = np.array(list(itertools.product((-1, 0, 1), repeat=s.hashes)))
-        out = []
+        """[query, table * probe]"""
+        return np.concatenate([self.sequence(t, self.projected(t, x, True), self.probes) for t in range(self.settings.tables)], 1)
+
+
+def _fitted(base: Hashing, q: np.ndarray, found: list[np.ndarray], lead: int) -> Hashing:
+    """``base`` with as many leading functions as few probes allow, and the probes and success, that find the target share of ``found``, the vectors nearest to each row of q."""
+    s = base.settings
+    owner = np.repeat(np.arange(len(q)), [len(x) for x in found])
+    x = np.concatenate(found)
+    if not len(x):
+        return base
+    cosine = float(np.clip(np.median((x * q[owner]).sum(1) / np.linalg.norm(q, axis=1)[owner] / base.norm), 0.05, 1))
+    for lead in range(lead, -1, -1):
+        own = Hashing(s, base.dim, base.norm, lead, cosine=cosine)
+        rank, success = np.empty((len(x), s.tables)), np.empty((len(x), s.tables))
         for t in range(s.tables):
-            p = self._projected(t, x, True)
-            cell = np.floor(p)
-            low = p - cell
-            cost = np.stack([low**2, np.zeros_like(low), (1 - low) ** 2], 2)
-            total = sum(cost[:, j, steps[:, j] + 1] for j in range(s.hashes))
-            first = np.argsort(total, axis=1, kind="stable")[:, : s.probes]
-            out.append(self._key(t, cell[:, None, :].astype(np.int64) + steps[first]))
-        return np.concatenate(out, 1)
+            p, low = own.projected(t, q, True), np.floor(own.projected(t, x, False))
+            same = own.sequence(t, p, s.most_probes)[owner] == own._cell(t, low).view(np.int64)[:, None]
+            rank[:, t] = np.where(same.any(1), same.argmax(1), np.inf)
+            success[:, t] = np.einsum("ij,ij->i", *own.success(t, p[owner], low))
+        reach = np.sort(rank.min(1))
+        enough = reach[min(len(reach) - 1, math.ceil((1 + s.target) / 2 * len(reach)) - 1)]
+        if np.isfinite(enough):
+            probes = int(enough) + 1
+            best = -np.sort(-np.where(rank < probes, success, -np.inf).max(1))
+            return Hashing(s, base.dim, base.norm, lead, probes, cosine, float(best[min(len(best) - 1, math.ceil(s.target * len(best)) - 1)]))
+    return base
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64, copy=False)
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k best ids in one chunk, sorted by id; blocks keep the score matrix small."""
-    out = []
+_NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, hashing: Hashing | None = None, table: int = 0) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(query, id, score) of each query's k best ids in one chunk, sorted by id, and how many rows each query was scored with.
+
+    Only rows in buckets that promise enough are scored; without ``hashing`` all are. Blocks keep the matrices small.
+    """
+    out, scored = [], np.zeros(len(q_ids), np.int64)
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))[: len(ids)]
     step = max(1, 4_000_000 // max(1, len(ids)))
+    if hashing:
+        at, centre = (m.astype(np.float32) for m in hashing.success(table, hashing.projected(table, q, True), np.floor(hashing.projected(table, x, False))))
     for a in range(0, len(q_ids), step):
-        rough = q[a : a + step] @ x.T
+        own = q[a : a + step]
+        if hashing:
+            i, j = np.nonzero(at[a : a + step] @ centre.T >= np.float32(hashing.least - 1e-4))
+            rough = np.full((len(own), len(ids)), -np.inf)
+            for b in range(0, len(i), 100_000):
+                rough[i[b : b + 100_000], j[b : b + 100_000]] = np.einsum("ij,ij->i", own[i[b : b + 100_000]], x[j[b : b + 100_000]])
+            scored[a : a + step] = np.bincount(i, minlength=len(own))
+        else:
+            rough = own @ x.T
+            scored[a : a + step] = len(ids)
         rough[q_ids[a : a + step, None] == ids[None, :]] = -np.inf
         if len(first) > k:
             each = rough if len(first) == len(ids) else np.maximum.reduceat(rough, first, axis=1)
@@ -113,7 +191,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
         else:
             i, j = np.nonzero(np.isfinite(rough))
         out += [_cut(q_ids[a + i[b : b + 200_000]], ids[j[b : b + 200_000]], (q[a + i[b : b + 200_000]] * x[j[b : b + 200_000]]).sum(1), k) for b in range(0, len(i), 200_000)]
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return (tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else _NOTHING), scored
 
 
 def _cut(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,71 +207,136 @@ def _cut(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarra
     return q[top], v[top], s[top]
 
 
-def _ranked_in_blocks(rows: DataFrame, dim: int, k: int) -> DataFrame:
-    """The k best (query_id, ids, scores) that each task finds among rows (key, probe, id, v) that meet under a key."""
+class _Finds:
+    """What a task has found so far: the k best rows and the number of rows scored of each query."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.counts = k, [], []
+        self.n = 0
+
+    def add(self, found: tuple, q_ids: np.ndarray, scored: np.ndarray) -> None:
+        self.rows.append(found)
+        self.counts.append((q_ids, scored))
+        self.n += len(found[0]) + len(q_ids)
+
+    def emitted(self, most: int) -> Iterator[pa.RecordBatch]:
+        """Nothing while no more than ``most`` numbers are held after a cut; else one row a query."""
+        if self.n <= most:
+            return
+        q, v, s = _cut(*(np.concatenate(x) for x in zip(*self.rows, strict=True)), self.k)
+        who, scored = (np.concatenate(x) for x in zip(*self.counts, strict=True))
+        names, at = np.unique(who, return_inverse=True)
+        scored = np.bincount(at, scored, len(names)).astype(np.int64)
+        self.rows, self.counts, self.n = [(q, v, s)], [(names, scored)], len(q) + len(names)
+        if self.n > most // 2:
+            self.rows, self.counts, self.n = [], [], 0
+            cuts = np.append(np.searchsorted(q, names), len(q)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (v, s)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), *lists, pa.array(scored)], names=["query_id", "ids", "scores", "scored"])
+
+
+def _ranked_in_blocks(rows: DataFrame, dim: int, k: int, hashing: Hashing | None) -> DataFrame:
+    """The k best (query_id, ids, scores, scored) that each task finds among rows (key, place, id, v) that meet under a key.
+
+    ``place`` is 2 * table for index rows and one more for queries, so a key's rows come before its queries.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, xs, x = None, [], [], None
-        held, n = [], 0
-
-        def emit(most: int) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            if n > most:
-                got = _cut(*(np.concatenate(v) for v in zip(*held, strict=True)), k)
-                held, n = [got], len(got[0])
-                if n > most // 2:
-                    held, n = [], 0
-                    cuts = np.flatnonzero(np.append(True, got[0][1:] != got[0][:-1]))
-                    lists = [pa.ListArray.from_arrays(np.append(cuts, len(got[0])).astype(np.int32), pa.array(v)) for v in got[1:]]
-                    yield pa.RecordBatch.from_arrays([pa.array(got[0][cuts]), *lists], names=["query_id", "ids", "scores"])
-
+        finds = _Finds(k)
         for batch in batches:
-            key, probe, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            key, place, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             v = _matrix(batch.column(3), dim)
-            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (probe[1:] != probe[:-1])) + 1, [len(key)]]) if len(key) else [0]
-            for a, b in itertools.pairwise(cuts):
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (place[1:] != place[:-1])) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if key[a] != now:
                     now, ids, xs, x = key[a], [], [], None
-                if not probe[a]:
+                if place[a] % 2 == 0:
                     ids.append(at[a:b])
                     xs.append(v[a:b])
                 elif ids:
                     if x is None:
                         x, all_ids = np.concatenate(xs), np.concatenate(ids)
                         xs = []
-                    held.append(_best(at[a:b], v[a:b], all_ids, x, k))
-                    n += len(held[-1][0])
-                    yield from emit(400_000)
-        if n:
-            yield from emit(-1)
+                    found, scored = _best(at[a:b], v[a:b], all_ids, x, k, hashing, int(place[a]) // 2)
+                    finds.add(found, at[a:b], scored)
+                    yield from finds.emitted(400_000)
+        if finds.n:
+            yield from finds.emitted(-1)
 
-    return rows.repartition("key").sortWithinPartitions("key", "probe", "id").mapInArrow(run, _PART)
+    return rows.repartition("key").sortWithinPartitions("key", "place", "id").mapInArrow(run, _PART)
 
 
 def _merged(parts: DataFrame, k: int) -> DataFrame:
-    """The k best (query_id, rank, vec_id, score) of all tasks' finds."""
+    """The k best (query_id, rank, vec_id, score, scored) of all tasks' finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        last, total = None, 0  # the query that may go on in the next batch, and its rows scored so far
 
-        def ranked(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        def ranked(q: np.ndarray, v: np.ndarray, s: np.ndarray, names: np.ndarray, scored: np.ndarray) -> pa.RecordBatch:
             rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
-            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(s)], names=["query_id", "rank", "vec_id", "score"])
+            own = scored[np.searchsorted(names, q)] if len(q) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(s), pa.array(own)], names=["query_id", "rank", "vec_id", "score", "scored"])
 
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            held.append((np.repeat(batch.column(0).to_numpy(), sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()))
+            if not batch.num_rows:
+                continue
+            who, sizes = batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
+            names, at = np.unique(who, return_inverse=True)
+            scored = np.bincount(at, batch.column(3).to_numpy(), len(names)).astype(np.int64)
+            if last is not None and names[0] != last:
+                names, scored = np.append(last, names), np.append(total, scored)
+            elif last is not None:
+                scored[0] += total
+            held.append((np.repeat(who, sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()))
             q, v, s = _cut(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
-            open_ = q == q[-1] if len(q) else np.zeros(0, bool)  # rows are sorted: only the last query can go on
+            last, total = names[-1], scored[-1]  # rows are sorted: only the last query can go on
+            open_ = q == last
             held = [(q[open_], v[open_], s[open_])]
-            yield ranked(q[~open_], v[~open_], s[~open_])
+            yield ranked(q[~open_], v[~open_], s[~open_], names, scored)
         if held:
-            yield ranked(*held[0])
+            yield ranked(*held[0], np.array([last], np.int64), np.array([total], np.int64))
 
     return parts.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, _RESULT)
 
 
+def _nearest_of(few: list, rows: DataFrame, dim: int, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The vectors of the k rows nearest to each of a few queries (id, v), by brute force in the rows' own tasks; and the queries."""
+    q_ids, q = np.array([r["id"] for r in few], np.int64), np.array([r["v"] for r in few], np.float64)
+    order = np.argsort(q_ids, kind="stable")
+    q_ids, q = q_ids[order], q[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finds = _Finds(k)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            own = np.argsort(at, kind="stable")
+            found, scored = _best(q_ids, q, at[own], _matrix(batch.column(1), dim)[own], k)
+            finds.add(found, q_ids, scored)
+            yield from finds.emitted(400_000)
+        if finds.n:
+            yield from finds.emitted(-1)
+
+    near = _merged(rows.select("id", "v").mapInArrow(run, _PART), k).select("query_id", F.col("vec_id").alias("id"))
+    got: dict[int, list] = {}
+    for r in near.join(rows, "id").select("query_id", "v").collect():  # k rows for each of the few
+        got.setdefault(r["query_id"], []).append(r["v"])
+    return [np.array(got.get(i, []), np.float64).reshape(-1, dim) for i in q_ids.tolist()], q
+
+
+def fit(rows: DataFrame, dim: int, norm: float, n: int, s: Settings) -> Hashing:
+    """Hash functions for n rows (id, query, v), and probing measured on ``fitted`` of their queries, chosen by a hash of the id."""
+    base = Hashing(s, dim, norm)
+    few = rows.where("query").select("id", "v").orderBy(F.xxhash64(F.lit("fit"), "id"), "id", "v").limit(s.fitted).collect()
+    if not few:
+        return base
+    found, q = _nearest_of(few, rows, dim, s.k)
+    return _fitted(base, q, found, min(s.hashes, max(0, math.ceil(math.log2(n / s.cell_rows)))))
+
+
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest rows found for each row that ``is_query`` holds for."""
+    """(query_id, rank, vec_id, score, scored): the nearest rows found for each row that ``is_query`` holds for."""
     s = settings or Settings()
     v = F.col(vec_col)
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
@@ -201,33 +344,45 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
     rows = checkpoint(rows.groupBy("id", "v").agg(F.bool_or("query").alias("query")))
     square = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     common = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("square"), F.count_if("query").alias("queries")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
+    if common is None or not common["queries"]:
         return vectors.sparkSession.createDataFrame([], _RESULT)
     dim, n = common["dim"], common["n"]
-    hashing = Hashing(s, dim, math.sqrt(common["square"]))
-    chunks = math.ceil(n / s.chunk_rows)
     rows = rows.where(F.size("v") == dim)
+    hashing = fit(rows, dim, math.sqrt(common["square"]), n, s)
     kind = dict(rows.dtypes)["v"]
-    salt = lambda probe: F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if probe else F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    one = F.pmod(F.xxhash64("id"), F.col("chunks"))
+
+    def hashed(some: DataFrame, probe: bool, whole: bool = True) -> DataFrame:
+        """(id, v, place, cell): one row for each table, or for each probe; without ids and vectors unless ``whole``."""
+        per = hashing.probes if probe else 1
 
-    def dealt(some: DataFrame, probe: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column(1), dim)
-                keys = hashing.probed(x) if probe else hashing.buckets(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))], names=["id", "v", "keys"])
+                cells = hashing.probed(x) if probe else hashing.cells(x)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel()))], names=["id", "v", "cells"])
+
+        keyed = some.select("id", "v").mapInArrow(run, f"id long, v {kind}, cells array<long>")
+        own = keyed.select(*(("id", "v") if whole else ()), F.posexplode("cells").alias("i", "cell"))
+        return own.withColumn("place", (F.floor(F.col("i") / per) * 2 + int(probe)).cast("int")).drop("i")
+
+    large = checkpoint(hashed(rows, False, whole=False).groupBy("cell").count().where(F.col("count") > s.chunk_rows).select("cell", F.ceil(F.col("count") / s.chunk_rows).cast("int").alias("chunks")))
+    hint = "broadcast" if large.count() <= BROADCAST_ROWS else "merge"
 
-        hashed = some.select("id", "v").mapInArrow(run, f"id long, v {kind}, keys array<long>")
-        opened = hashed.select("id", "v", F.explode("keys").alias("bucket"))
-        return opened.select(F.col("bucket"), salt(probe).alias("chunk"), F.lit(int(probe)).alias("probe"), "id", "v").select(F.xxhash64("bucket", "chunk").alias("key"), "probe", "id", "v")
+    def dealt(probe: bool) -> DataFrame:
+        own = hashed(rows.where("query") if probe else rows, probe).join(large.hint(hint), "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        own = own.select("cell", "place", "id", "v", (every if probe else one).alias("chunk"))
+        return own.select(F.xxhash64("cell", F.col("chunk").cast("long")).alias("key"), "place", "id", "v")
 
-    found = _ranked_in_blocks(dealt(rows, False).unionAll(dealt(rows.where("query"), True)), dim, s.k)
+    found = _ranked_in_blocks(dealt(False).unionAll(dealt(True)), dim, s.k, hashing)
     found = checkpoint(_merged(found, s.k))
     enough = found.where(F.col("rank") == s.k).select(F.col("query_id").alias("id"))
     short = checkpoint(rows.where("query").join(enough, "id", "left_anti").select("id", "v"))
     if short.isEmpty():
         return found
-    whole = rows.select(F.xxhash64(salt(False)).alias("key"), F.lit(0).alias("probe"), "id", "v")
-    rest = short.select(salt(True).alias("chunk"), "id", "v").select(F.xxhash64("chunk").alias("key"), F.lit(1).alias("probe"), "id", "v")
-    exact = _merged(_ranked_in_blocks(whole.unionAll(rest), dim, s.k), s.k)
+    chunked = lambda some: some.withColumn("chunks", F.lit(math.ceil(n / s.chunk_rows)))
+    whole = chunked(rows).select(F.xxhash64(one.cast("long")).alias("key"), F.lit(0).alias("place"), "id", "v")
+    rest = chunked(short).select(every.alias("chunk"), "id", "v").select(F.xxhash64(F.col("chunk").cast("long")).alias("key"), F.lit(1).alias("place"), "id", "v")
+    exact = _merged(_ranked_in_blocks(whole.unionAll(rest), dim, s.k, None), s.k)
     return found.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionAll(exact)
