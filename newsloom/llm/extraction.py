@@ -6,10 +6,12 @@ links, stops). A bidirectional LSTM in numpy reads a page's blocks in order and
 whole page as context; blocks labelled as article are joined. The labeller is trained here: on invented
 layouts, and on a bounded sample of the pages themselves that have ``article`` or ``main`` elements,
 whose blocks are labelled by those elements and by the named furniture (menus, footers, adverts ...) around them.
+Training pages are read whole; pages of like length are trained on together.
 
-Null and empty pages give empty text. Scripts, styles, comments, titles and form controls are never
-text. Unclosed and misplaced tags are allowed; a tag cut off by the end of the page is dropped. Very long
-pages are read whole; their memory grows with their number of blocks. Repeated rows and further columns change nothing.
+Null and empty pages give empty text. Scripts, styles, templates, comments, titles and the fields of forms are never
+text. Unclosed and misplaced tags are allowed, as are pages without head or body; a tag cut off by the end of the page is
+dropped. Character references are decoded in each run of text by itself. Very long pages are read whole; their memory grows
+with their number of blocks. Repeated rows and further columns change nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from .common import Remembered, sampled, small_batches
 
 #: Fixed values of HTML: elements that end a block, that hold no text of the page, that have no end tag.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN_TAGS = frozenset("script style noscript template textarea title svg iframe object select button canvas math head".split())
+HIDDEN_TAGS = frozenset("script style noscript template textarea title iframe select head".split())
+HEAD_TAGS = frozenset("base link meta title style script noscript template head html".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of the same group.
@@ -63,7 +66,7 @@ def blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if text:
-            whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+            whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
                 out.append(Block(tuple(n for _, names in stack for n in names), whole, min(1.0, linked / len(whole))))
         text.clear()
@@ -76,9 +79,15 @@ def blocks(page: str | None) -> list[Block]:
             links -= tag == "a"
         del stack[i:]
 
+    def end_head() -> None:
+        close(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
+
     def put(piece: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and not piece.isspace():
+            end_head()
         if piece and not hidden:
+            piece = html.unescape(piece)
             text.append(piece)
             if links:
                 linked += len(piece)
@@ -90,11 +99,14 @@ def blocks(page: str | None) -> list[Block]:
             cut = re.search(r"<[/!?a-zA-Z]", rest)
             put(rest[: cut.start()] if cut else rest)
             break
-        put(page[at : m.start()])
+        if m.start() > at:
+            put(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if not m[1] and tag not in HEAD_TAGS:
+            end_head()
         if tag in BLOCK_TAGS:
             flush()
         if m[1]:
@@ -114,8 +126,6 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] in BLOCK_TAGS:
                     break
-        if tag == "body":
-            close(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
         names = [tag]
         if m[3]:
             for q in _NAMES.finditer(m[3]):
@@ -191,8 +201,8 @@ class Labeller:
     def _direction(self, z: np.ndarray, d: str, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states [page, step, HIDDEN]; z are the inputs' parts of the gates, steps in reading order."""
         n, steps, h = len(z), z.shape[1], HIDDEN
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        out = np.zeros((n, steps, h), np.float32)
+        state, cell = np.zeros((n, h), z.dtype), np.zeros((n, h), z.dtype)
+        out = np.zeros((n, steps, h), z.dtype)
         for t in range(steps):
             g = z[:, t] + state @ self.w[f"h{d}"]
             i, f, o = _sigmoid(g[:, :h]), _sigmoid(g[:, h : 2 * h]), _sigmoid(g[:, 2 * h : 3 * h])
@@ -238,42 +248,56 @@ class Labeller:
                 out[i] = p[k, : sizes[k]]
         return out
 
-    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int, lot: int = 32, rate: float = 0.02, seed: int = 4) -> None:
-        """Backpropagation through time with Adam; x [page, step, INPUT], y and mask [page, step]."""
-        rng, h = np.random.default_rng(seed), HIDDEN
+    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy of the blocks, and its gradient by backpropagation through time; x [page, step, INPUT], y and mask [page, step]."""
+        h, (n, most) = HIDDEN, mask.shape
+        kept: dict[str, list] = {"f": [], "b": []}
+        hidden = {}
+        for d in "fb":
+            turn = (lambda v: v) if d == "f" else (lambda v: v[:, ::-1])
+            hidden[d] = self._direction(turn(x @ self.w[f"x{d}"] + self.w[f"c{d}"]), d, turn(mask), kept[d])
+        both = np.concatenate([hidden["f"], hidden["b"][:, ::-1]], 2)
+        p = _sigmoid(both @ self.w["o"] + self.w["p"])
+        loss = -(np.log(np.where(y > 0, p, 1 - p) + 1e-12) * mask).sum() / mask.sum()
+        wrong = (p - y) * mask / mask.sum()
+        grad = {"o": np.einsum("nt,nth->h", wrong, both), "p": wrong.sum(keepdims=True).reshape(1)}
+        for d, part in (("f", slice(0, h)), ("b", slice(h, None))):
+            turn = (lambda v: v) if d == "f" else (lambda v: v[:, ::-1])
+            down, mark, inp = turn(wrong[..., None] * self.w["o"][part]), turn(mask), turn(x)
+            gh, gc = np.zeros_like(self.w[f"h{d}"]), np.zeros((n, most, 4 * h), x.dtype)
+            state, cell = np.zeros((n, h), x.dtype), np.zeros((n, h), x.dtype)
+            for t in range(most - 1, -1, -1):
+                i, f, o, u, before, tanh, last = kept[d][t]
+                act = mark[:, t, None]
+                up = np.where(act, down[:, t] + state, 0)
+                dc = np.where(act, up * o * (1 - tanh * tanh) + cell, 0)
+                g = np.concatenate([dc * u * i * (1 - i), dc * before * f * (1 - f), up * tanh * o * (1 - o), dc * i * (1 - u * u)], 1)
+                gh += last.T @ g
+                gc[:, t] = g
+                state = np.where(act, g @ self.w[f"h{d}"].T, state)
+                cell = np.where(act, dc * f, cell)
+            grad |= {f"h{d}": gh, f"c{d}": gc.sum((0, 1)), f"x{d}": inp.reshape(-1, INPUT).T @ gc.reshape(-1, 4 * h)}
+        return float(loss), grad
+
+    def train(self, pages: list[tuple[list[Block], list[int]]], steps: int, lot: int = 32, rate: float = 0.02, seed: int = 4) -> None:
+        """Adam on lots of whole pages of like length; pages are (blocks, labels)."""
+        rng, make = np.random.default_rng(seed), Features()
+        pages = sorted(pages, key=lambda p: len(p[0]))
+        read = [([make.path(b.path) for b in own], make.dense(own), labels) for own, labels in pages]
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         for it in range(1, steps + 1):
-            pick = rng.choice(len(x), min(lot, len(x)), replace=False)
-            most = int(mask[pick].sum(1).max())
-            own, label, on = x[pick, :most], y[pick, :most], mask[pick, :most]
-            kept: dict[str, list] = {"f": [], "b": []}
-            hidden = {}
-            for d in "fb":
-                turn = (lambda v: v) if d == "f" else (lambda v: v[:, ::-1])
-                hidden[d] = self._direction(turn(own @ self.w[f"x{d}"] + self.w[f"c{d}"]), d, turn(on), kept[d])
-            both = np.concatenate([hidden["f"], hidden["b"][:, ::-1]], 2)
-            wrong = (_sigmoid(both @ self.w["o"] + self.w["p"]) - label) * on / on.sum()
-            grad = {"o": np.einsum("nt,nth->h", wrong, both), "p": wrong.sum(keepdims=True).reshape(1)}
-            for d, part in (("f", slice(0, h)), ("b", slice(h, None))):
-                turn = (lambda v: v) if d == "f" else (lambda v: v[:, ::-1])
-                down, mark, inp = turn(wrong[..., None] * self.w["o"][part]), turn(on), turn(own)
-                gh, gc = np.zeros_like(self.w[f"h{d}"]), np.zeros((len(own), most, 4 * h), np.float32)
-                state, cell = np.zeros((len(own), h), np.float32), np.zeros((len(own), h), np.float32)
-                for t in range(most - 1, -1, -1):
-                    i, f, o, u, before, tanh, last = kept[d][t]
-                    act = mark[:, t, None]
-                    up = np.where(act, down[:, t] + state, 0)
-                    dc = np.where(act, up * o * (1 - tanh * tanh) + cell, 0)
-                    g = np.concatenate([dc * u * i * (1 - i), dc * before * f * (1 - f), up * tanh * o * (1 - o), dc * i * (1 - u * u)], 1)
-                    gh += last.T @ g
-                    gc[:, t] = g
-                    state = np.where(act, g @ self.w[f"h{d}"].T, state)
-                    cell = np.where(act, dc * f, cell)
-                grad |= {f"h{d}": gh, f"c{d}": gc.sum((0, 1)), f"x{d}": inp.reshape(-1, INPUT).T @ gc.reshape(-1, 4 * h)}
-            for k, g in grad.items():
+            first = int(rng.integers(0, max(1, len(read) - lot + 1)))
+            some = read[first : first + lot]
+            most = len(some[-1][2])
+            x, y, mask = np.zeros((len(some), most, INPUT), np.float32), np.zeros((len(some), most), np.float32), np.zeros((len(some), most), bool)
+            for k, (paths, dense, labels) in enumerate(some):
+                n = len(labels)
+                np.add.at(x[k], (np.repeat(np.arange(n), [len(c) for c in paths]), np.concatenate(paths)), 1)
+                x[k, :n, PATH:], y[k, :n], mask[k, :n] = dense, labels, True
+            for k, g in self.gradients(x, y, mask)[1].items():
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.999 * m2[k] + 0.001 * g * g
-                self.w[k] = (self.w[k] - rate * (m1[k] / (1 - 0.9**it)) / (np.sqrt(m2[k] / (1 - 0.999**it)) + 1e-8)).astype(np.float32)
+                self.w[k] = (self.w[k] - rate * min(1, 3 * (1 - it / (steps + 1))) * (m1[k] / (1 - 0.9**it)) / (np.sqrt(m2[k] / (1 - 0.999**it)) + 1e-8)).astype(np.float32)
 
 
 #: Names by which pages mark what is not the article, used to label training pages.
@@ -288,6 +312,9 @@ FURNITURE = {
     "talk": ("div.comments", "section.comments", "div#comments", "ol.comment-list", "div.comment", "section#disqus", "div.replies"),
     "share": ("div.share", "ul.social", "div.social-share", "div.tags", "div.byline-links"),
 }
+#: Bodies without a telling name, and where link lists stand without one.
+PLAIN_BODIES = ("div", "section", "td", "center", "div.wrapper", "div.col", "div.row", "div.x1", "span", "body")
+PLAIN_MENUS = ("div", "ul", "p", "td", "div.row", "div.x2")
 BODIES = ("article", "main", "div.article", "div.content", "div#content", "div.post", "div.entry-content", "div.article-body", "section.story", "div.main", "div.post-content", "article.post", "main#main", "div.story-body")
 _MARKS = frozenset(m for names in FURNITURE.values() for n in names for m in re.findall(r"^[a-z0-9]+(?=$)|[.#][a-z]+", n)) - {".site", ".entry", ".post", ".list", ".related", ".byline"}
 _OUT = frozenset(x.replace("#", ".") for x in _MARKS) | {"nav", "header", "footer", "aside", "form", ".related"}
@@ -317,72 +344,82 @@ def invented_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     out, labels = [], []
 
     def furniture(kind: str) -> None:
-        tag, head = _open(rng.choice(FURNITURE[kind]))
-        parts = []
-        if kind in ("menu", "side", "share") and rng.random() < 0.8:
+        plain = kind == "menu" and rng.random() < 0.25
+        tag, head = _open(rng.choice(PLAIN_MENUS if plain else FURNITURE[kind]))
+        if plain or kind in ("menu", "side", "share") and rng.random() < 0.8:
             n = int(rng.integers(2, 7))
-            parts = [f"<li><a href='/{word()}'>{said(1, 4)}</a></li>" for _ in range(n)]
-            inner, count = "<ul>" + "".join(parts) + "</ul>", n
+            links = [f"<a href='/{word()}'>{said(1, 4)}</a>" for _ in range(n)]
+            if plain and rng.random() < 0.5 or tag == "p":
+                inner, count = " | ".join(links), 1
+            else:
+                inner, count = "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", n
         elif kind == "talk" or rng.random() < 0.4:
             n = int(rng.integers(1, 4))
             inner, count = "".join(f"<p>{said(3, 30)}</p>" for _ in range(n)), n
         else:
             inner, count = f"{said(2, 25)}", 1
-        out.append(f"{head}{inner}</{tag}>")
+        out.append(("<table><tr>" if tag == "td" else "") + f"{head}{inner}</{tag}>" + ("</tr></table>" if tag == "td" else ""))
         labels.extend([0] * count)
 
+    def part(x: float) -> tuple[str, int]:
+        """A piece of a story and its number of blocks."""
+        n = int(rng.integers(2, 5))
+        some = lambda tag, a, b: "".join(f"<{tag}>{said(a, b)}</{tag}>" for _ in range(n))
+        if x < 0.12:
+            return f"<{rng.choice(['h2', 'h3'])}>{said(2, 8)}" + rng.choice(["</h2>", "</h3>"]), 1
+        if x < 0.22:
+            tag = rng.choice(["ul", "ol"])
+            return f"<{tag}>{some('li', 2, 15)}</{tag}>", n
+        if x < 0.26:
+            return f"<pre>{said(2, 30)}\n  {said(2, 20)}</pre>", 1
+        if x < 0.30:
+            return f"<details><summary>{said(2, 8)}</summary>{some('p', 3, 30)}</details>", n + 1
+        if x < 0.34:
+            return f"<table><tr>{some('th', 1, 3)}</tr><tr>{some('td', 1, 8)}</tr></table>", 2 * n
+        if x < 0.38:
+            return f"<figure><figcaption>{said(3, 15)}</figcaption></figure>", 1
+        if x < 0.42:
+            return "<dl>" + "".join(f"<dt>{said(1, 4)}<dd>{said(3, 20)}" for _ in range(n)) + "</dl>", 2 * n
+        if x < 0.47:
+            return f"<blockquote>{said(2, 40)}</blockquote>", 1
+        return rng.choice(["<p>", "<p><b>", "<p>", "<div>"]) + said(2, 70) + rng.choice(["</p>", "</p>", "<br>"]) + ("<p>" if rng.random() < 0.1 else ""), 1
+
     def story() -> None:
-        tag, head = _open(rng.choice(BODIES))
-        out.append(head)
-        if rng.random() < 0.8:
+        tag, head = _open(rng.choice(PLAIN_BODIES if rng.random() < 0.35 else BODIES))
+        depth = int(rng.integers(0, 3))
+        out.append(("<table><tr>" if tag == "td" else "") + head + "<div>" * depth)
+        if rng.random() < 0.7:
             out.append(f"<h1>{said(3, 12)}</h1>")
             labels.append(1)
-        for _ in range(rng.integers(1, 9)):
-            x = rng.random()
-            if x < 0.08:
+        even = rng.random() < 0.2  # some pages hold nothing but like paragraphs
+        for _ in range(rng.integers(20, 130) if rng.random() < 0.1 else rng.integers(1, 9)):
+            if not even and rng.random() < 0.07:
                 furniture(rng.choice(["advert", "share", "side", "form", "notice"]))
-            elif x < 0.16:
-                out.append(f"<h2>{said(2, 8)}</h2>")
-                labels.append(1)
-            elif x < 0.26:
-                n = int(rng.integers(2, 5))
-                out.append("<ul>" + "".join(f"<li>{said(2, 15)}</li>" for _ in range(n)) + "</ul>")
-                labels.extend([1] * n)
-            else:
-                out.append(rng.choice(["<p>", "<p><b>", "<blockquote>", "<p>"]) + said(2, 70) + rng.choice(["</p>", "</p>", "<br>"]) + ("<p>" if rng.random() < 0.1 else ""))
-                labels.append(1)
-                if out[-1].startswith("<blockquote>"):
-                    out[-1] += "</blockquote>"
+                continue
+            text, n = (f"<p>{said(4, 14)}</p>", 1) if even else part(rng.random())
+            out.append(text)
+            labels.extend([1] * n)
         if rng.random() < 0.2:
             furniture("talk")
-        out.append(f"</{tag}>")
+        out.append("</div>" * depth + f"</{tag}>" + ("</tr></table>" if tag == "td" else ""))
 
+    bare = rng.random() < 0.1  # nothing around the story
     for kind, p in (("notice", 0.2), ("top", 0.5), ("menu", 0.8), ("advert", 0.5), ("form", 0.2)):
-        if rng.random() < p:
+        if rng.random() < p and not bare:
             furniture(kind)
     shell = rng.random() < 0.3
     if shell:
         out.append("<div class='container'>")
     story()
     for kind, p in (("talk", 0.4), ("side", 0.5), ("share", 0.2), ("advert", 0.2), ("form", 0.2), ("bottom", 0.8)):
-        if rng.random() < p:
+        if rng.random() < p and not bare:
             furniture(kind)
-    return "<html><body>" + "".join(out) + ("</div>" if shell else "") + "</body></html>", labels
-
+    opening = rng.choice(["<html><body>", "<html><body>", "<html><head><title>x</title></head><body>", "<html><head><title>x</title>", ""])
+    return opening + "".join(out) + ("</div>" if shell else "") + "</body></html>", labels
 
-def _dense(pages: list[tuple[list[Block], list[int]]], most: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x, y, mask = np.zeros((len(pages), most, INPUT), np.float32), np.zeros((len(pages), most), np.float32), np.zeros((len(pages), most), bool)
-    make = Features()
-    for k, (own, labels) in enumerate(pages):
-        for i, b in enumerate(own[:most]):
-            np.add.at(x[k, i], make.path(b.path), 1)
-        x[k, : min(most, len(own)), PATH:] = make.dense(own[:most])
-        y[k, : len(labels)], mask[k, : len(labels)] = labels[:most], True
-    return x, y, mask
 
-
-def fit(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", bound: int = 200, invented: int = 1000, steps: int = 500, longest: int = 100_000) -> dict[str, np.ndarray]:
-    """Weights from ``invented`` layouts and about ``bound`` pages of up to ``longest`` characters, trained in one task; the weights reach the driver."""
+def fit(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", bound: int = 200, invented: int = 1200, steps: int = 600, longest: int = 100_000) -> dict[str, np.ndarray]:
+    """Weights from ``invented`` layouts and about ``bound`` whole pages of up to ``longest`` characters, trained in one task; the weights reach the driver."""
     rows = pages.where(F.char_length(html_col) <= longest).select(F.col(key_col).cast("string").alias("key"), F.col(html_col).alias("html"))
     rows = sampled(rows, "key", bound)
     # one row that is always there starts the task even if there are no pages
@@ -400,9 +437,9 @@ def fit(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", b
             cut = blocks(page)
             labels = weak_labels(cut)
             if labels:
-                own.append((cut[:40], labels[:40]))
+                own.append((cut, labels))
         model = Labeller()
-        model.train(*_dense([(b, y) for b, y in own if b]), steps)
+        model.train([(b, y) for b, y in own if b], steps)
         return pd.DataFrame({"name": list(model.w), "shape": [list(v.shape) for v in model.w.values()], "data": [v.astype(np.float32).tobytes() for v in model.w.values()]})
 
     got = rows.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(learn, "name string, shape array<int>, data binary").collect()
