@@ -1,17 +1,19 @@
 """Secret scans: fixed shapes, and a randomness test battery with false-discovery control.
 
 Base spans are the matches of three fixed shapes. The battery looks at every other long run of key
-characters. Its encoding is inferred (digits, hex, base32, base36, base62, base64) from the
-characters that occur, and under the hypothesis of independent uniform characters it computes
-a chi-squared test of the alphabet, a runs test about the median and a serial-correlation test. A
-key passes if no one of the three rejects, after Bonferroni's correction. Passing says little about a short run,
-so each candidate also has a bound on how often a word-like run of that length passes for random:
-one over its likelihood ratio of uniform characters to letters and digits as they come in text, which shrinks
-with the length. A document's candidates go through Benjamini and Hochberg's procedure on those
-bounds, weighted by length. Findings are spans of kind ``random``.
+characters, whole and in the parts between its separators, and at what is left of runs around base spans. The encoding of a
+part is inferred (digits, hex, base32, base36, base62, base64, or one of them in groups set off by hyphens or underscores)
+from the characters that occur. Under the hypothesis of independent uniform characters it computes
+a chi-squared test of the alphabet, a runs test about the median and a serial-correlation test, and combines the
+three p-values by Fisher's method. Passing says little about a short run,
+so the p-value of a discovery is a bound on how often ordinary text looks so random: the likelihood ratio of letters
+and digits as they come in text to uniform characters, which shrinks with the length, divided by the battery's
+combined p-value, as what fails the battery is not random however unlike text it is. All parts of all documents go through Benjamini and Hochberg's
+procedure on these p-values, weighted by length: one pass counts them in narrow classes, a second applies the limit
+that follows. Of parts that overlap the least p-value stays. Findings are spans of kind ``random``.
 
 Null texts are empty; texts of any length are scanned whole; spans are code points, end exclusive.
-Each document is judged alone, so repeated rows, empty tables and further columns need no care.
+Repeated rows count as often as they occur; empty tables and further columns need no care.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,14 @@ _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PART = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+LEAST = 20  # characters of a part
+EXACT = 128  # characters up to which the runs test counts all orders
+#: Separators at which a run is also read in parts, coarse ones first.
+_SPLITS = (re.compile(r"[^/]+"), re.compile(r"[^/+]+"), re.compile(r"[^_/+]+"), re.compile(r"[^-/+]+"), re.compile(r"[^-_/+]+"))
+_GROUPED = re.compile(r"[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)+")
+#: Width of the classes of log p-values in which parts are counted.
+CLASS = 0.1
+FDR = 0.001
 #: Rough shares of a to z in running text of European languages, in per mille.
 _LETTERS = (80, 12, 30, 38, 125, 18, 20, 35, 75, 3, 6, 45, 26, 72, 70, 22, 5, 68, 68, 80, 30, 12, 14, 2, 15, 4)
 ALPHABETS = {
@@ -74,6 +87,24 @@ def _chi2_upper(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+@lru_cache(1 << 16)
+def _runs_tail(a: int, b: int, runs: int) -> float:
+    """Chance that ``a`` high and ``b`` low characters in random order have runs at least so far from their mean: exact up to EXACT characters, else normal."""
+    n = a + b
+    if not (a and b):
+        return 2.0 ** (1 - n)  # all on one side of the median
+    mean = 1 + 2 * a * b / n
+    if n > EXACT:
+        var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        return math.erfc(abs(runs - mean) / math.sqrt(2 * max(var, 1e-9)))
+    ways = 0
+    for r in range(2, n + 1):
+        if abs(r - mean) >= abs(runs - mean) - 1e-9:
+            k, odd = divmod(r, 2)
+            ways += math.comb(a - 1, k) * math.comb(b - 1, k - 1) + math.comb(a - 1, k - 1) * math.comb(b - 1, k) if odd else 2 * math.comb(a - 1, k - 1) * math.comb(b - 1, k - 1)
+    return ways / math.comb(n, a)
+
+
 def battery(run: str, alphabet: str) -> tuple[float, float, float]:
     """Two-sided for runs and serial correlation, upper tail for chi-squared: three p-values under uniform characters."""
     x = np.array([alphabet.index(c) for c in run], float)
@@ -81,13 +112,7 @@ def battery(run: str, alphabet: str) -> tuple[float, float, float]:
     counts = np.bincount(x.astype(int), minlength=k)
     chi = _chi2_upper(float(((counts - n / k) ** 2).sum() * k / n), k - 1)
     high = x >= k / 2
-    a, b = int(high.sum()), int(n - high.sum())
-    if a and b:
-        mean, var = 1 + 2 * a * b / n, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        p_runs = math.erfc(abs(runs - mean) / math.sqrt(2 * max(var, 1e-9)))
-    else:
-        p_runs = 2.0 ** (1 - n)
+    p_runs = _runs_tail(int(high.sum()), int(n - high.sum()), 1 + int((high[1:] != high[:-1]).sum()))
     y = x - x.mean()
     spread = float(y @ y)
     r = float(y[1:] @ y[:-1]) / spread if spread else 1.0
@@ -95,8 +120,18 @@ def battery(run: str, alphabet: str) -> tuple[float, float, float]:
     return chi, min(1.0, p_runs), min(1.0, p_serial)
 
 
-def text_bound(run: str, alphabet: str) -> float:
-    """At most this often a word-like run looks so much more uniform than text: one over the likelihood ratio.
+def combined(p: tuple[float, ...]) -> float:
+    """Fisher's method: upper tail of chi-squared with two degrees of freedom for each p-value."""
+    x = -sum(math.log(max(v, 1e-300)) for v in p)
+    term = total = 1.0
+    for i in range(1, len(p)):
+        term *= x / i
+        total += term
+    return min(1.0, math.exp(-x) * total)
+
+
+def text_log_bound(run: str, alphabet: str) -> float:
+    """Log of a bound on how often a word-like run looks so much more uniform than text: one over the likelihood ratio.
 
     The model of text: runs of letters, digits and signs seldom change into each other, letters come
     with their usual shares, vowels and consonants alternate, and capitals open words.
@@ -121,44 +156,113 @@ def text_bound(run: str, alphabet: str) -> float:
             p *= 1 / 3
         ratio -= math.log(p * len(alphabet))
         kind, before = now, c
-    return math.exp(-max(0.0, ratio))
+    return -max(0.0, ratio)
 
 
-def random_spans(text: str, taken: list[tuple[int, int, str]], alpha: float = 0.01, fdr: float = 0.001) -> list[tuple[int, int, str]]:
-    """Spans of kind ``random`` outside ``taken``, by the battery and the length-weighted procedure."""
-    found = []
+def parts(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans of runs outside ``taken``, whole and between separators."""
+    out = set()
     for m in _PART.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, e, _ in taken):
-            continue
-        name = encoding(m[0])
-        if name in (None, "digits"):
-            continue
-        if min(battery(m[0], ALPHABETS[name])) >= alpha / 3:
-            found.append((text_bound(m[0], ALPHABETS[name]), a, b))
+        free, at = [], m.start()
+        for a, b, _ in taken:
+            if a < m.end() and b > at:
+                free.append((at, a))
+                at = max(at, b)
+        for a, b in [*free, (at, m.end())]:
+            if b - a >= LEAST:
+                out.add((a, b))
+                for split in _SPLITS:
+                    out |= {p.span() for p in split.finditer(text, a, b) if p.end() - p.start() >= LEAST}
+    return sorted(out)
+
+
+def discovery(run: str) -> float | None:
+    """Log p-value of a part as a discovery, the least over its readings times their number; None if it has no encoding."""
+    readings = [run]
+    if _GROUPED.fullmatch(run):
+        readings.append(re.sub("[-_]", "", run))
+    found = []
+    for own in readings:
+        name = encoding(own)
+        if len(own) >= LEAST and name not in (None, "digits"):
+            found.append(min(0.0, text_log_bound(own, ALPHABETS[name]) - math.log(max(combined(battery(own, ALPHABETS[name])), 1e-300))))
+    return min(0.0, min(found) + math.log(len(found))) if found else None
+
+
+def tested(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[float, int, int]]:
+    """(log p, start, end) of all parts with an encoding."""
+    return [(p, a, b) for a, b in parts(text, taken) for p in [discovery(text[a:b])] if p is not None]
+
+
+def _class(p: float, length: int) -> int:
+    return math.floor((p - math.log(length)) / CLASS)
+
+
+@dataclass(frozen=True)
+class Limit:
+    """The last class of p-values by length that passes."""
+
+    last: float = -math.inf
+
+    @staticmethod
+    def of(counts: dict[int, int], length: int, fdr: float = FDR) -> Limit:
+        """By counts of parts in classes, and their length together; a class counts with its upper end."""
+        n, seen, last = sum(counts.values()), 0, -math.inf
+        for k in sorted(counts):
+            seen += counts[k]
+            if (k + 1) * CLASS + math.log(length / n) <= math.log(fdr * seen / n):
+                last = k
+        return Limit(last)
+
+
+def limit(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR) -> Limit:
+    """The limit for all parts of all texts; a few thousand classes at most reach the driver."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, list[int]] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text and _PART.search(text):
+                    for p, a, b in tested(text, base_spans(text)):
+                        own = counts.setdefault(max(_class(p, b - a), -100_000), [0, 0])
+                        own[0] += 1
+                        own[1] += b - a
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), *(pa.array([v[i] for v in counts.values()], pa.int64()) for i in (0, 1))], names=["class", "n", "length"])
+
+    got = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "class long, n long, length long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()
+    return Limit.of({r["class"]: r["n"] for r in got}, sum(r["length"] for r in got), fdr) if got else Limit()
+
+
+def random_spans(text: str, taken: list[tuple[int, int, str]], passed: Limit | None = None) -> list[tuple[int, int, str]]:
+    """Spans of kind ``random`` outside ``taken`` that pass the limit, else the one of this text alone."""
+    found = tested(text, taken)
     if not found:
         return []
-    mean = sum(b - a for _, a, b in found) / len(found)
-    found = sorted((p * mean / (b - a), a, b) for p, a, b in found)
-    passed = max((i for i, (p, _, _) in enumerate(found, 1) if p <= fdr * i / len(found)), default=0)
-    return sorted((a, b, "random") for _, a, b in found[:passed])
+    if passed is None:
+        passed = Limit.of(Counter(_class(p, b - a) for p, a, b in found), sum(b - a for _, a, b in found))
+    out: list[tuple[int, int, str]] = []
+    for p, a, b in sorted(found):
+        if max(_class(p, b - a), -100_000) <= passed.last and not any(a < e and s < b for s, e, _ in out):
+            out.append((a, b, "random"))
+    return sorted(out)
 
 
-def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan_text(text: str | None, passed: Limit | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     text = text or ""
     base = base_spans(text)
-    return base, random_spans(text, base)
+    return base, random_spans(text, base, passed)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def redact_text(text: str | None) -> str | None:
+def redact_text(text: str | None, passed: Limit | None = None) -> str | None:
     """The text with every finding replaced by a mark that names its kind; overlapping spans become one."""
     if not text:
         return text
-    base, more = scan_text(text)
+    base, more = scan_text(text, passed)
     spans = sorted(base + more)
     if not spans:
         return text
@@ -171,12 +275,12 @@ def redact_text(text: str | None) -> str | None:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans array<struct<start,end,kind>>, counts by kind, base_sha256, joined spans) of every row."""
-    small_batches(docs.sparkSession)
+    """(id, counts by kind, base_sha256, joined spans) of every row."""
+    passed = limit(docs, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [scan_text(t) for t in batch.column(1).to_pylist()]
+            got = [scan_text(t, passed) for t in batch.column(1).to_pylist()]
             n = {k: [sum(s[2] == k for s in base + more) for base, more in got] for k in KINDS}
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(n[k], pa.int64()) for k in KINDS), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in got], pa.string()), pa.array([joined(b + m) for b, m in got], pa.string())],
@@ -189,13 +293,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, *, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The same rows and columns with findings replaced in the text, and ``size_col`` renewed where it changed."""
-    small_batches(docs.sparkSession)
+    passed = limit(docs, text_col=text_col)
     order = [c for c in docs.columns if c != text_col] + [text_col]
     rows = docs.select(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pa.array([redact_text(t) for t in batch.column(batch.num_columns - 1).to_pylist()], batch.schema.field(batch.num_columns - 1).type)
+            text = pa.array([redact_text(t, passed) for t in batch.column(batch.num_columns - 1).to_pylist()], batch.schema.field(batch.num_columns - 1).type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], schema=batch.schema)
 
     out = rows.mapInArrow(run, rows.schema).select(*docs.columns)
