@@ -1,13 +1,17 @@
 """Language identification by hyperdimensional profiles.
 
-Every symbol (space, a to z, and 20 slots that share all other letters) has a random vector of +1
-and -1. A letter trigram binds them: the first rotated twice, the second once, the third as it is,
+Every letter of any script, and the space between words, has a random vector of +1
+and -1, drawn by its code point. A letter trigram binds them: the first rotated twice, the second once, the third as it is,
 multiplied. A text or a language bundles (adds) its trigrams' vectors. A text is given the language
 whose centred prototype has the largest cosine. Because bundling is a sum, prototypes are learnt from
 every labelled text in one pass: tasks add trigram counts by language, and a few vectors remain.
 
+``admit`` keeps what is written in a learnt language: unrelated bundles have cosines of
+about 1 / sqrt(DIM) with any prototype by chance, so a text whose cosine with every plain prototype is below ``chance`` times that is in none.
+Texts of fewer than ``BRIEF`` distinct trigrams (a word or two) tell too little to be refused.
+
 A text that is null or has no letter is ``und`` with score 0, as is every text when nothing was
-learnt. Rows with a null label are not learnt from. Equal cosines go to the first language by name.
+learnt. Rows with a null label are not learnt from; of more than ``most`` labels the most frequent are learnt. Equal cosines go to the first language by name.
 Texts are read whole, in pieces; repeated rows and further columns change nothing.
 """
 
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,72 +29,90 @@ from pyspark.sql import functions as F
 from .common import pieces, small_batches
 
 DIM = 1024
-SYMBOLS = 47
-CODES = SYMBOLS**3
 PIECE = 1_000_000
+LABELS = 1_000
+BRIEF = 8
 
 
 @cache
-def _symbol_table() -> np.ndarray:
-    """Code point to symbol: 0 for what is no letter."""
-    out = np.zeros(0x110000, np.uint8)
-    for cp in range(128, 0x110000):
-        if chr(cp).isalpha():
-            out[cp] = 27 + cp * 2_654_435_761 % 2**32 * 20 // 2**32
-    out[97:123] = np.arange(1, 27)
-    return out
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
 
 
-@cache
-def _letters() -> np.ndarray:
-    """Three rows of symbol vectors: rotated twice, once and not at all."""
-    base = np.random.default_rng(20).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIM))
-    return np.stack([np.roll(base, 2, 1), np.roll(base, 1, 1), base])
-
-
-def bound_vectors(codes: np.ndarray) -> np.ndarray:
-    """One row of +1 and -1 for each trigram code."""
-    first, second, third = _letters()
-    return first[codes // SYMBOLS**2] * second[codes // SYMBOLS % SYMBOLS] * third[codes % SYMBOLS]
+@lru_cache(1 << 14)
+def letter(code_point: int) -> np.ndarray:
+    """The vector of a letter; 0 stands for what lies between words."""
+    return np.random.default_rng([20, code_point]).choice(np.array([-1, 1], np.int8), DIM)
 
 
 def symbols(text: str) -> np.ndarray:
-    """Symbols of a whole text between two spaces; what lies between words is one space."""
-    parts = [np.zeros(1, np.uint8)]
+    """Letters of a whole text between two spaces; what lies between words is one space."""
+    parts = [np.zeros(1, np.uint32)]
     for i in range(0, len(text), PIECE):
-        raw = text[i : i + PIECE].lower().encode("utf-32-le", "surrogatepass")
-        parts.append(_symbol_table()[np.frombuffer(raw, np.uint32)])
-    all_ = np.concatenate([*parts, np.zeros(1, np.uint8)])
+        raw = np.frombuffer(text[i : i + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        parts.append(raw * _is_letter()[raw])
+    all_ = np.concatenate([*parts, np.zeros(1, np.uint32)])
     return all_[np.append(True, (all_[1:] != 0) | (all_[:-1] != 0))]
 
 
-def trigram_counts(texts: list[str], rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, and counts [n, codes] by the row that each text belongs to."""
-    total: np.ndarray | None = None
-    for text, row in zip(texts, rows, strict=True):
-        s = symbols(text)
-        if len(s) < 3:
-            continue
-        if total is None:
-            total = np.zeros((n, CODES), np.float32)
-        for i in range(0, len(s) - 2, PIECE):
-            p = s[i : i + PIECE + 2].astype(np.int32)
-            code = p[:-2] * SYMBOLS**2 + p[1:-1] * SYMBOLS + p[2:]
-            if len(code) < CODES // 4:
-                at, count = np.unique(code, return_counts=True)
-                total[row, at] += count
-            else:
-                total[row] += np.bincount(code, minlength=CODES)
-    if total is None:
-        return np.zeros(0, np.int64), np.zeros((n, 0), np.float32)
-    codes = np.flatnonzero(total.any(0))
-    return codes, total[:, codes]
-
-
-def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(counts), DIM), np.float32)
-    for i in range(0, len(codes), 4096):
-        out += counts[:, i : i + 4096] @ bound_vectors(codes[i : i + 4096]).astype(np.float32)
+@dataclass(frozen=True)
+class Trigrams:
+    """Counts [row, code] of the trigrams of some rows; a code is three places in the alphabet, which is sorted."""
+
+    alphabet: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+
+
+def trigram_counts(texts: list[str], rows: np.ndarray, n: int) -> Trigrams:
+    """Trigrams by the row, of n, that each text belongs to."""
+    read = [symbols(t) for t in texts]
+    alphabet = np.unique(np.concatenate([*read, np.zeros(1, np.uint32)]))
+    k = len(alphabet)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add() -> None:
+        """Distinct (code, row) of what is held, with counts."""
+        code, row = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((row, code)) if k**3 * n > 2**62 else np.argsort(code * n + row)
+        code, row = code[order], row[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
+        found.append((code[first], row[first], np.diff(np.append(first, len(code)))))
+        held.clear()
+
+    for s, row in zip(read, rows, strict=True):
+        p = np.searchsorted(alphabet, s).astype(np.int64) if k > 256 else _place(alphabet, s)
+        for i in range(0, max(0, len(p) - 2), PIECE):
+            q = p[i : i + PIECE + 2]
+            held.append(((q[:-2] * k + q[1:-1]) * k + q[2:], np.full(len(q) - 2, row)))
+            if sum(len(x) for x, _ in held) >= PIECE:
+                add()
+    if held:
+        add()
+    if not found:
+        return Trigrams(alphabet, np.zeros(0, np.int64), np.zeros((n, 0), np.float32))
+    code, row, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    codes, at = np.unique(code, return_inverse=True)
+    counts = np.bincount(row * len(codes) + at, count, n * len(codes)).reshape(n, -1).astype(np.float32)
+    return Trigrams(alphabet, codes, counts)
+
+
+def _place(alphabet: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Places in a small alphabet, by a table as long as its largest letter."""
+    table = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    table[alphabet] = np.arange(len(alphabet))
+    return table[s]
+
+
+def bundle(t: Trigrams) -> np.ndarray:
+    """[row, DIM]: the sum of each row's bound trigrams."""
+    out, k = np.zeros((len(t.counts), DIM), np.float32), len(t.alphabet)
+    base = np.stack([letter(int(x)) for x in t.alphabet])
+    first, second = np.roll(base, 2, 1), np.roll(base, 1, 1)
+    for i in range(0, len(t.codes), 4096):
+        c = t.codes[i : i + 4096]
+        out += t.counts[:, i : i + 4096] @ (first[c // k**2] * second[c // k % k] * base[c % k]).astype(np.float32)
     return out
 
 
@@ -99,12 +121,16 @@ class Profiles:
     names: tuple[str, ...]
     centre: np.ndarray
     prototypes: np.ndarray  # centred, of length one
+    plain: np.ndarray  # of length one
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang") -> Profiles:
+def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", most: int = LABELS) -> Profiles:
     """Prototypes from all rows with a label; one vector for each language reaches the driver."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("name"), F.col(text_col).alias("text"))
+    labels = [r["name"] for r in rows.groupBy("name").count().orderBy(F.desc("count"), "name").limit(most + 1).collect()]
+    if len(labels) > most:
+        rows = rows.where(F.col("name").isin(labels[:most]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -114,7 +140,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang")
             for k in range(0, len(known), 16):
                 some = {x: i for i, x in enumerate(known[k : k + 16])}
                 picked = [i for i, x in enumerate(names) if x in some]
-                got = bundle(*trigram_counts([texts[i] for i in picked], np.array([some[names[i]] for i in picked]), len(some)))
+                got = bundle(trigram_counts([texts[i] for i in picked], np.array([some[names[i]] for i in picked]), len(some)))
                 for x, i in some.items():
                     sums[x] = sums.get(x, 0) + got[i].astype(np.float64)
         if sums:
@@ -125,38 +151,39 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang")
     vectors = {r["name"]: r["v"] for r in got.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v")).collect()}
     names = tuple(sorted(x for x, v in vectors.items() if any(v)))
     if not names:
-        return Profiles((), np.zeros(DIM), np.zeros((0, DIM)))
+        return Profiles((), np.zeros(DIM), np.zeros((0, DIM)), np.zeros((0, DIM)))
     p = np.array([vectors[x] for x in names])
     p /= np.linalg.norm(p, axis=1, keepdims=True)
     centre = p.mean(0) if len(names) > 1 else np.zeros(DIM)
-    p = p - centre
-    return Profiles(names, centre, p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12))
+    own = p - centre
+    return Profiles(names, centre, own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12), p)
 
 
-def label(texts: list[str], p: Profiles) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and margin over the second language of each text."""
-    codes, counts = trigram_counts(texts, np.arange(len(texts)), len(texts))
+def label(texts: list[str], p: Profiles) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, margin over the second language, and largest cosine with a plain prototype of each text (2 where nothing was learnt, or the text is brief)."""
+    t = trigram_counts(texts, np.arange(len(texts)), len(texts))
+    none = t.counts.sum(1) == 0
     if not p.names:
-        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-    v = bundle(codes, counts)
-    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - p.centre
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.where(none, 0.0, 2.0)
+    v = bundle(t)
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    like = np.where((t.counts > 0).sum(1) < BRIEF, 2.0, (v @ p.plain.T).max(1))
+    v = v - p.centre
     cos = (v @ p.prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    top, none = np.sort(cos, axis=1), counts.sum(1) == 0
+    top = np.sort(cos, axis=1)
     margin = top[:, -1] - (top[:, -2] if len(p.names) > 1 else -1)
     names = ["und" if x else p.names[i] for x, i in zip(none, cos.argmax(1), strict=True)]
-    return names, np.where(none, 0, np.clip((1 + top[:, -1]) / 2, 0, 1)), np.where(none, 0, margin)
+    return names, np.where(none, 0, np.clip((1 + top[:, -1]) / 2, 0, 1)), np.where(none, 0, margin), np.where(none, 0, like)
 
 
-def _labelled(column: pa.Array, p: Profiles) -> tuple[list[str], np.ndarray, np.ndarray]:
-    texts = [t or "" for t in column.to_pylist()]
-    names, scores, margins = [], [np.zeros(0)], [np.zeros(0)]
+def _labelled(column: pa.Array, p: Profiles) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    texts, names, figures = [t or "" for t in column.to_pylist()], [], [np.zeros((3, 0))]
     for a, b in pieces(texts, 200_000):
         for i in range(a, b, 64):
-            x, s, m = label(texts[i : min(b, i + 64)], p)
+            x, *own = label(texts[i : min(b, i + 64)], p)
             names += x
-            scores.append(s)
-            margins.append(m)
-    return names, np.concatenate(scores), np.concatenate(margins)
+            figures.append(np.stack(own))
+    return names, *np.concatenate(figures, 1)
 
 
 def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,22 +193,26 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, margins = _labelled(batch.column(1), shared.value)
+            names, scores, margins, _ = _labelled(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(margins)], names=[id_col, "lang_pred", "score", "margin"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, lang_pred string, score double, margin double")
 
 
-def admit(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", languages: tuple[str, ...] | None = None, least_score: float = 0.0) -> DataFrame:
-    """The rows, with all columns, that have a language: one of ``languages`` if given, with at least ``least_score``."""
+def admit(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", languages: tuple[str, ...] | None = None, chance: float = 3.5) -> DataFrame:
+    """The rows, with all columns, whose text is in a learnt language: in one of ``languages``, if given.
+
+    Where nothing could be learnt, texts with a letter stay.
+    """
     small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns.index(text_col)
+    least = chance / DIM**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, _ = _labelled(batch.column(at), shared.value)
-            good = [x != "und" and (languages is None or x in languages) and s >= least_score for x, s in zip(names, scores, strict=True)]
+            names, _, _, like = _labelled(batch.column(at), shared.value)
+            good = [s >= least and (languages is None or x in languages) for x, s in zip(names, like, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
