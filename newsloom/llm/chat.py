@@ -87,5 +87,23 @@ def digests(read: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: every row is the only delta of its own message."""
-    return conversations.select("conv_id", F.monotonically_increasing_id().alias("message"), F.col("turn").alias("seq"), F.lit("delta").alias("event"), "turn", "role", "text")
+    """Finished turns as a log that leads to them, as a streaming chat service writes it.
+
+    A learnt role's message begins with a draft and a follow-up by the user, is regenerated (which
+    withdraws draft and follow-up) and streams in three deltas; other messages begin with a draft that an edit
+    replaces by the first third, and go on with two deltas. ``seq`` counts from ten times the turn; a null turn counts as 0. The
+    log is unordered: a message's events come last first.
+    """
+    text, n = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
+    first, second = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+    thirds = [F.left(text, first), F.substr(text, first + 1, second - first), F.substr(text, second + 1, n - second)]
+    rows = conversations.select("conv_id", (F.monotonically_increasing_id() * 2).alias("message"), F.col("turn").cast("long").alias("turn"), "role", "text")
+
+    def event(seq: int, kind: str, told: Column, follow_up: bool = False) -> Column:
+        return F.struct((F.col("message") + int(follow_up)).alias("message"), (F.coalesce("turn", F.lit(0)) * 10 + seq).alias("seq"), F.lit(kind).alias("event"), (F.col("turn") + int(follow_up)).alias("turn"), (F.lit("user") if follow_up else F.col("role")).alias("role"), told.alias("text"))
+
+    draft = F.concat(F.lit("draft: "), F.left(text, F.lit(30)))
+    deltas = [event(4, "delta", thirds[2]), event(3, "delta", thirds[1])]
+    learnt = F.array(*deltas, event(2, "regenerate", thirds[0]), event(1, "delta", F.lit("and then?"), True), event(0, "delta", draft))
+    other = F.array(*deltas, event(2, "edit", thirds[0]), event(0, "delta", draft))
+    return rows.select("conv_id", F.explode(F.when(F.col("role") == LEARNT, learnt).otherwise(other)).alias("e")).select("conv_id", "e.*")
