@@ -18,19 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's default batch of 10,000 rows; a value that the user chose stays."""
+    """Lower Spark's default batch of 10,000 rows; a value that the user chose stays.
+
+    Spark reads this setting when a plan runs, so it stays lowered for the session.
+    """
     if spark.conf.get(_BATCH_KEY, "10000") == "10000":
         spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse; a temporary one in local mode only."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
+        local = tempfile.mkdtemp(prefix="newsloom-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/newsloom-checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or local)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files in whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write rows to the shared folder and go on from there: lineage ends, lost executors don't matter."""
     shared_dir(df.sparkSession)
@@ -50,12 +60,12 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.md5(F.concat(named, held).cast("binary"))
 
 
-def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
+def sampled(df: DataFrame, key: str | Column, bound: int) -> DataFrame:
     """About ``bound`` rows, chosen by a hash of ``key``; all rows if there are no more than that."""
     rows = df.count()
     if rows <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * bound / rows))
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key) if isinstance(key, str) else key), F.lit(1_000_000)) < int(1_000_000 * bound / rows))
 
 
 def pieces(texts: Iterable[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, pieces, sampled, small_batches
+from .common import Remembered, held_out, pieces, sampled, small_batches
 
 BITS = 18
 SIZE = 1 << BITS
@@ -158,8 +158,12 @@ def score(docs: DataFrame, model: np.ndarray, *, id_col: str = "doc_id", text_co
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, label_col: str = "quality") -> DataFrame:
-    """Labelled rows outside the held-out fifth. At most about ``bound`` labels are taken, so they can be broadcast."""
-    from .common import held_out
-
-    learn = labels.where(~held_out() & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label_col)
-    return docs.select("doc_id", "text").join(F.broadcast(sampled(learn, "doc_id", bound)), "doc_id")
+    """Labelled rows outside the held-out fifth, about ``bound`` at most.
+
+    Equal label rows are one. The bound holds for rows, not for ids: an id with many labels, or many documents, is
+    sampled row by row, so what is broadcast and learnt from stays bounded.
+    """
+    learn = labels.where(~held_out() & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label_col).distinct()
+    few = sampled(learn, F.xxhash64("doc_id", label_col), bound)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").withColumn("__at", F.monotonically_increasing_id())
+    return sampled(rows, "__at", 2 * bound).drop("__at")

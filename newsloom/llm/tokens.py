@@ -10,6 +10,7 @@ Null and empty texts have 0 tokens. Tokens behind the last separator count as on
 document. Repeated rows are separate documents. An empty folder or table gives an empty result. Control strings in a text are
 ordinary text. Files are written under a task's own name and moved when whole, so a task that runs
 again replaces its file by the same one. The folder must be shared, and readable by ``pyarrow.fs``.
+The vocabulary file is read by the driver alone and sent to the tasks.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, small_batches
+from .common import checkpoint, remove, shared_dir, small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50_256
+#: A vocabulary file of up to so many bytes may be sent to every executor.
+VOCABULARY_BYTES = 64 << 20
 #: Up to so many counts (some 3 MB) may be sent to every executor.
 BROADCAST_ROWS = 100_000
 #: Fixed value: how this public vocabulary splits text before merging.
@@ -37,14 +40,22 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 
 
 @cache
-def _encoding(path: str):
+def _encoding(file: bytes):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def vocabulary(path: str) -> bytes:
+    """The vocabulary file, read where the driver runs."""
+    with open(path, "rb") as f:
+        file = f.read(VOCABULARY_BYTES + 1)
+    if len(file) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has more than {VOCABULARY_BYTES} bytes")
+    return file
+
+
 def _system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
@@ -57,9 +68,10 @@ def _uri(path: str) -> str:
 def write_flat(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, eod: int = END_OF_DOCUMENT, dtype: str = "<u2") -> DataFrame:
     """(file, ordinal, id) of every row, after the files are written."""
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, context = _encoding(ranks).encode_ordinary, TaskContext.get()
+        encode, context = _encoding(shared.value).encode_ordinary, TaskContext.get()
         part = context.partitionId()
         system, path = _system(folder)
         name, end = f"{path}/part-{part:06d}.bin", np.array([eod], dtype)
@@ -99,9 +111,12 @@ def scan(spark: SparkSession, folder: str, *, eod: int = END_OF_DOCUMENT, dtype:
                 last = (at + len(ids) * size) >= length // size * size
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block]), pa.array([found.tolist()], pa.list_(pa.int64())), pa.array([length // size if last else None], pa.int64())], names=["path", "block", "ends", "total"])
 
-    found = blocks.repartition("path", "block").mapInArrow(search, "path string, block long, ends array<long>, total long")
+    found = checkpoint(blocks.repartition("path", "block").mapInArrow(search, "path string, block long, ends array<long>, total long"))
+    # the prefix scan sees three numbers a block; the separators themselves stay where they are
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select("path", "ends", "total", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)).alias("carry"), F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("base"))
+    sizes = found.select("path", "block", F.try_element_at("ends", F.lit(-1)).alias("last"), F.size("ends").alias("n"))
+    carries = sizes.select("path", "block", F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    stitched = found.join(carries, ["path", "block"])
     # behind the last separator of the file there may be an unended document
     final = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("carry"))
     ends = F.when(F.col("total") > final + 1, F.concat("ends", F.array("total"))).otherwise(F.col("ends"))
@@ -111,13 +126,31 @@ def scan(spark: SparkSession, folder: str, *, eod: int = END_OF_DOCUMENT, dtype:
 
 
 def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """(id, n_tokens) of every row, counted from flat files in the shared folder."""
+    """(id, n_tokens) of every row, counted from flat files in the shared folder, which are removed then."""
     spark = docs.sparkSession
     folder = f"{_uri(shared_dir(spark))}/tokens-{uuid.uuid4().hex}"
     written = write_flat(docs, folder, id_col=id_col, text_col=text_col, ranks=ranks)
-    if written.isEmpty():
+    rows = written.count()
+    if not rows:
         return written.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"))
     counted = scan(spark, folder).withColumn("file", F.regexp_extract("path", r"part-(\d+)\.bin$", 1).cast("int"))
     # the planner cannot know how much the scan finds: a few documents are broadcast by their count, more are merged
-    few = written.count() <= BROADCAST_ROWS
-    return written.join(counted.hint("broadcast" if few else "merge"), ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
+    counted = counted.hint("broadcast" if rows <= BROADCAST_ROWS else "merge")
+    out = checkpoint(written.join(counted, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens"))
+    remove(spark, folder)
+    return out
+
+
+def lengths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """(id, n_tokens) of every row without files, for operators that only need lengths: the same numbers as ``count``."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(shared.value).encode_ordinary
+        for batch in batches:
+            n = np.array([len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=[id_col, "n_tokens"])
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long")
