@@ -37,8 +37,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", packing.word_count().alias("n_tokens")))
+    return packing.pack(tokens.lengths(table(spark, sf_dir, "documents")))
 
 
 def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

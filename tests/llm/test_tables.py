@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -21,7 +22,7 @@ def table(spark, folder, name):
 
 
 def test_token_counts(spark, medium):
-    encode = tokens._encoding(tokens.RANKS).encode_ordinary
+    encode = tokens._encoding(tokens.vocabulary(tokens.RANKS)).encode_ordinary
     got = {r["doc_id"]: r["n_tokens"] for r in queries.op5_token_counts(spark, medium).collect()}
     assert got == {r["doc_id"]: len(encode(r["text"])) for r in table(spark, medium, "documents").collect()}
 
@@ -45,31 +46,97 @@ def test_scan_stitches_blocks(spark, tmp_path, block):
 
 def test_token_counts_odd(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "<|endoftext|> is text"), (3, "again"), (None, "x"), (4, "word " * 200_000)], "doc_id long, text string").withColumn("ordinal", F.lit("clash")).withColumn("file", F.lit(1))
-    encode = tokens._encoding(tokens.RANKS).encode_ordinary
+    encode = tokens._encoding(tokens.vocabulary(tokens.RANKS)).encode_ordinary
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in tokens.count(docs).collect())
     assert got == sorted((r["doc_id"] or 0, len(encode(r["text"] or ""))) for r in docs.collect())
-    assert tokens.count(docs.limit(0)).count() == 0
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in tokens.lengths(docs).collect()) == got
+    assert tokens.count(docs.limit(0)).count() == tokens.lengths(docs.limit(0)).count() == 0
+
+
+def test_token_files_are_removed(spark, small):
+    import os
+
+    folder = tokens.shared_dir(spark).removeprefix("file:")
+    assert tokens.count(table(spark, small, "documents")).count() > 0
+    assert not [x for x in os.listdir(folder) if x.startswith("tokens-")]
 
 
 # --- pages
 
 
+def is_held(page_id):
+    return zlib.crc32(str(page_id).encode()) % 5 == 0
+
+
 @pytest.fixture(scope="module")
 def weights(spark, medium):
-    return extraction.fit(table(spark, medium, "pages"))
+    """Learnt without the held-out pages."""
+    return extraction.fit(table(spark, medium, "pages").where("crc32(cast(page_id as string)) % 5 <> 0"))
+
+
+def article(page):
+    """Every block of the test pages lies in an article or in named furniture, so the text is known."""
+    inner = re.search(r"(?s)<article>(.*?)(?:</article>|\Z)", page)
+    parts = re.split(r"</?(?:p|h1|h2|li|ul|article|div|footer)\b[^>]*>", inner[1]) if inner else []
+    plain = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", p)))).strip() for p in parts]
+    return "\n".join(p for p in plain if p)
+
+
+def test_extraction_of_held_out_pages(spark, medium, weights):
+    pages = [r for r in table(spark, medium, "pages").collect() if is_held(r["page_id"])]
+    got = {r["page_id"]: r["text"] for r in extraction.extract(table(spark, medium, "pages"), weights).collect()}
+    assert len(pages) > 30 and sum(got[r["page_id"]] == article(r["html"]) for r in pages) >= 0.97 * len(pages)
+
+
+WORDS = "The quick brown fox jumps over the lazy dog near the river bank today."
+LAYOUTS = {
+    "<html><head><title>x</title><article><p>text one here.</p></article>": "text one here.",
+    "<article><h1>A title</h1><p>Where <math><mi>x</mi></math> and <button>press</button> stand.</p></article>": "A title\nWhere x and press stand.",
+    "<article><p>It says &am<b>p;</b> in this line &lt;here&gt;.</p></article>": "It says &amp; in this line <here>.",
+    "<main><p>Intro words here.</p><pre>a = 1\n b = 2</pre><details><summary>More</summary><p>Hidden words are here too.</p></details></main>": "Intro words here.\na = 1 b = 2\nMore\nHidden words are here too.",
+    f"<table><tr><td><a href=/>Home</a> <a href=/b>News</a></td></tr><tr><td><h1>Head line of it</h1><p>{WORDS}</p><p>{WORDS} Twice.</p></td></tr></table>": f"Head line of it\n{WORDS}\n{WORDS} Twice.",
+    "<html><body><div>" + "".join(f"<p>Paragraph {i} of the long text.</p>" for i in range(120)) + "</div></body></html>": "\n".join(f"Paragraph {i} of the long text." for i in range(120)),
+    f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div>{f'<p>{WORDS}</p>' * 300}</div><footer>Copyright us</footer></body></html>": "\n".join([WORDS] * 300),
+    f"<html><body><div><p>{WORDS}</p></div><div class='comments'><p>I like it.</p><p>Me too, thanks.</p></div></body></html>": WORDS,
+}
+
+
+def test_layouts(spark, weights):
+    """Pages without head or body, tables, references cut by tags, unnamed and long layouts."""
+    df = spark.createDataFrame([(i, "u", page) for i, page in enumerate(LAYOUTS)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(df, weights).collect()}
+    for i, text in enumerate(LAYOUTS.values()):
+        assert got[i] == text, i
 
 
-def test_extraction_by_the_pages_own_marks(spark, medium, weights):
-    """Every block of these pages lies in an article or in named furniture, so the text is known."""
-    pages = table(spark, medium, "pages")
-    got = {r["page_id"]: r["text"] for r in extraction.extract(pages, weights).collect()}
-    right = 0
-    for r in pages.collect():
-        inner = re.search(r"(?s)<article>(.*?)(?:</article>|\Z)", r["html"])
-        parts = re.split(r"</?(?:p|h1|h2|li|ul|article|div|footer)\b[^>]*>", inner[1]) if inner else []
-        plain = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " " if "<br" in p else "", re.sub("<br>", " ", p)))).strip() for p in parts]
-        right += got[r["page_id"]] == "\n".join(p for p in plain if p)
-    assert right >= 0.97 * len(got)
+def test_gradients_against_differences():
+    """Backpropagation through time, on pages of different length, against finite differences."""
+    rng = np.random.default_rng(0)
+    model = extraction.Labeller(seed=1)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    x = rng.normal(size=(3, 5, extraction.INPUT)) * (rng.random((3, 5, extraction.INPUT)) < 0.02)
+    y, mask = rng.integers(0, 2, (3, 5)).astype(float), np.arange(5)[None, :] < np.array([[5], [3], [1]])
+    _, grad = model.gradients(x, y, mask)
+    used = np.flatnonzero(np.abs(x).sum((0, 1)))
+    for name, w in model.w.items():
+        for _ in range(6):
+            at = tuple(int(rng.choice(used)) if name.startswith("x") and d == 0 else int(rng.integers(0, n)) for d, n in enumerate(w.shape))
+            old, loss = w[at], []
+            for step in (1e-5, -1e-5):
+                w[at] = old + step
+                loss.append(model.gradients(x, y, mask)[0])
+            w[at] = old
+            assert np.isclose(grad[name][at], (loss[0] - loss[1]) / 2e-5, rtol=1e-3, atol=1e-8), (name, at)
+
+
+def test_forward_pass_is_the_trained_one():
+    """Scores of pages equal the pass that training differentiates, whatever pages they are batched with."""
+    rng, make = np.random.default_rng(2), extraction.Features()
+    model = extraction.Labeller(seed=1)
+    pages = [extraction.blocks(extraction.invented_page(rng)[0]) for _ in range(6)]
+    together = model.scores(pages, make)
+    for own, p in zip(pages, together):
+        assert np.allclose(p, model.scores([own], make)[0], atol=1e-5)
 
 
 def test_extraction_odd(spark, weights):
@@ -92,7 +159,7 @@ def test_blocks():
 
 
 def test_invented_layouts(weights):
-    rng = np.random.default_rng(1234)
+    rng = np.random.default_rng(1234)  # another seed than the training layouts'
     model, make = extraction.Labeller(weights), extraction.Features()
     wrong = total = 0
     for _ in range(150):
@@ -130,6 +197,20 @@ def test_fold(spark):
     assert chat.digests(chat.read_back(chat.render(chat.fold(events.limit(0))))).count() == 0
 
 
+def test_log_of_turns_folds_to_them(spark, small):
+    """Drafts, edits, regenerations, withdrawn follow-ups and deltas come before every turn, and leave only it."""
+    rows = [(1, 0, "user", "a question?"), (1, 1, "assistant", "an answer"), (1, 1, "assistant", "an answer"), (1, 2, "user", ""), (1, 3, "assistant", None), (None, 0, "user", "no conversation"), (None, 1, "assistant", "x"), (2, None, "assistant", "no turn"), (2, None, None, "no role"), (2, 5, "assistant", "é" * 200_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    log = chat.events_of(turns)
+    kinds = {r["event"]: r["count"] for r in log.groupBy("event").count().collect()}
+    assert kinds["regenerate"] == 6 and kinds["edit"] == 4 and log.groupBy("message").count().where("count > 3").count() == len(rows)
+    got = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.fold(log.orderBy("text")).collect()]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=key) == sorted([(c, t, r or "", x or "") for c, t, r, x in rows], key=key)
+    read = {r["conv_id"]: len(r["turns"]) for r in chat.read_back(chat.render(chat.fold(log))).collect()}
+    assert read == {1: 5, None: 2, 2: 3}
+
+
 NASTY = ["", "\\", "<|", "<|end|>", "</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "a\\<|b\\\\", "<", "|>", "<<|end|>", "\n\n", "é\U0001f600", "<s><<SYS>>\\[INST]", "<|learn|>", "$1 \\1"]
 
 
@@ -183,7 +264,7 @@ def test_neighbours(spark, medium):
         for v, s in found:
             assert s == (x[i] * x[np.flatnonzero(ids == v)[0]]).sum()
         assert found == sorted(found, key=lambda f: (-f[1], f[0]))
-    assert hit >= 0.95 * 20 * len(got)
+    assert hit >= 0.9 * 20 * len(got)
 
 
 def test_neighbours_odd(spark):
@@ -205,10 +286,48 @@ def test_neighbours_with_many_copies(spark):
     x = rng.normal(size=(900, 8)).astype(np.float32)
     x[::3] = x[0]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = [r["vec_id"] for r in ann.search(df, F.col("vec_id") == 300, settings=ann.Settings(chunk_rows=100)).orderBy("rank").collect()]
+    got = [r["vec_id"] for r in ann.search(df, F.col("vec_id") == 300, settings=ann.Settings(chunk_rows=100, target=1.0)).orderBy("rank").collect()]
     assert got == [v for v, _ in nearest(np.arange(900), x.astype(float), 300, 20)]
 
 
+def test_neighbours_probe_little(spark, medium):
+    """Queries find enough in a part of the table, with bounded probes, at each of two sizes."""
+    rows = table(spark, medium.replace("sf0.01", "sf0.1"), "embeddings").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    shares, probes = [], []
+    for n in (len(ids) // 2, len(ids)):
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids[:n], x[:n])], "vec_id long, embedding array<double>")
+        hashing = []
+        real = ann.fit
+        ann.fit = lambda *a: hashing.append(real(*a)) or hashing[-1]
+        try:
+            got = ann.search(df, F.col("vec_id") % 20 == 0, settings=ann.Settings(cell_rows=256)).toPandas()
+        finally:
+            ann.fit = real
+        hit = sum(len(set(g["vec_id"]) & {v for v, _ in nearest(ids[:n], x[:n], int(np.flatnonzero(ids == q)[0]), 20)}) for q, g in got.groupby("query_id"))
+        assert hit >= 0.9 * 20 * got["query_id"].nunique()
+        shares.append(got.drop_duplicates("query_id")["scored"].mean() / n)
+        probes.append(hashing[0].probed(x[:3]).shape[1])
+        assert hashing[0].lead > 0 and probes[-1] == 4 * hashing[0].probes <= 4 * ann.Settings().most_probes
+    assert max(shares) < 0.45
+
+
+@pytest.mark.parametrize("lead", [0, 1, 3])
+def test_probe_sequence_brute_force(lead):
+    """The first cells of the sequence are those of least cost among all steps."""
+    from itertools import product
+
+    own = ann.Hashing(ann.Settings(), 6, 1.0, lead)
+    p = own.projected(0, np.random.default_rng(lead).normal(size=(4, 6)), True)
+    low = np.floor(p)
+    got = own.sequence(0, p, 9)
+    for i in range(4):
+        steps = list(product((0, -1, 1), repeat=lead))
+        cost = [sum(0 if s == 0 else (p[i, j] - low[i, j]) ** 2 if s < 0 else (low[i, j] + 1 - p[i, j]) ** 2 for j, s in enumerate(step)) for step in steps]
+        cells = [int(own._cell(0, (low[i] + np.array([*step, *[0] * (32 - lead)]))[None]).view(np.int64)[0]) for step in steps]
+        assert got[i].tolist() == [cells[j] for j in np.argsort(cost, kind="stable")[:9]]
+
+
 def test_neighbours_with_repeated_rows(spark):
     """Rows stored several times, one of them often, and ids with two vectors: twenty different ids, the exact ones."""
     rng = np.random.default_rng(6)
@@ -217,12 +336,12 @@ def test_neighbours_with_repeated_rows(spark):
     rows = [(i, x[i].tolist()) for i in range(60) for _ in range(3)] + [(7, x[7].tolist())] * 30 + [(i, second[i].tolist()) for i in range(30, 60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     score = np.maximum(x.astype(float) @ x[:30].T.astype(float), np.where(np.arange(60)[:, None] >= 30, second.astype(float) @ x[:30].T.astype(float), -np.inf))
-    for how in (ann.Settings(), ann.Settings(tables=1, probes=1, width=0.05), ann.Settings(width=100.0), ann.Settings(chunk_rows=50)):
+    for how in (ann.Settings(), ann.Settings(tables=1, width=0.05), ann.Settings(width=1e6, target=1.0), ann.Settings(chunk_rows=50, cell_rows=10)):
         got = {}
         for r in ann.search(df, F.col("vec_id") < 30, settings=how).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append(r["vec_id"])
         assert set(got) == set(range(30)) and all(len(set(v)) == len(v) == 20 for v in got.values())
-        if how.width != 2.0:  # all rows meet in one bucket, or in the exact fallback
+        if how.width == 1e6:  # all rows meet in one bucket
             assert got == {q: [i for i in np.argsort(-score[:, q], kind="stable").tolist() if i != q][:20] for q in range(30)}
 
 
@@ -234,7 +353,8 @@ def test_pipeline_by_hand(spark, medium):
 
     docs = {r["doc_id"]: r["text"] for r in table(spark, medium, "documents").collect()}
     words = lambda t: re.findall(r"\w+", t.lower())
-    left = {i: t for i, t in docs.items() if any(c.isalpha() for c in t)}
+    profiles = langid.fit(table(spark, medium, "documents").where("crc32(cast(doc_id as string)) % 5 <> 0").select("text", "lang"))
+    left = {i: t for i, t in docs.items() if langid.label([t], profiles)[3][0] >= 3.5 / langid.DIM**0.5}
     fps = np.array([simhash.fingerprint(t) for t in left.values()], np.uint64)
     ids = np.array(list(left))
     root = ids.copy()
@@ -246,13 +366,49 @@ def test_pipeline_by_hand(spark, medium):
     left = {i: left[i] for i, r in zip(ids.tolist(), root.tolist()) if i == r}
     items = [" ".join(words(r["text"])) for r in table(spark, medium, "benchmark").collect()]
     left = {i: t for i, t in left.items() if not any(f" {x} " in f" {' '.join(words(t))} " for x in items)}
-    expected = {i: len(re.findall(r"\S+", secrets.redact_text(t))) for i, t in left.items()}
+    encode = tokens._encoding(tokens.vocabulary(tokens.RANKS)).encode_ordinary
+    passed = secrets.limit(spark.createDataFrame(list(left.items()), "doc_id long, text string"))
+    expected = {i: len(encode(secrets.redact_text(t, passed))) for i, t in left.items()}
     got = {}
     for r in corpus_pipeline.run(spark, medium).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == expected
 
 
+ODD = [(1, None), (None, None), (2, ""), (3, "the cat and the dog were there"), (None, "the cat and the dog were there"), (4, "the cat and the dog were there"), (5, "12 34 !"), (6, "the word and the other " * 40_000),
+       (7, "one two three four five six seven eight nine ten eleven the twelve"), (None, "that one two three four five six seven eight nine ten eleven the twelve"), (8, "the key token = abcdefghijklmnop is there"), (8, "and there was another text of the same id"), (9, "Съешь ещё этих мягких французских булок")]
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, copies, another script and clashing columns, through all stages; and an empty table."""
+    import corpus_pipeline
+
+    taught = [(100 + i, t, "en") for i, t in enumerate(["the cat and the dog were there and the other one too", "there was another word of the key and that is there", "one of the ten was there and two were not"])]
+    rows = [(i, t, None) for i, t in ODD] + taught
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *(F.lit(1).alias(c) for c in ("id", "fp", "words", "shard", "row", "__text", "n_tokens")), F.lit(7).cast("long").alias("n_chars"))
+    for name, own in (("some", docs), ("none", docs.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        own.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven the twelve")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        at = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, at, folder)
+            assert out.schema.names == at.schema.names, stage
+            out.coalesce(1).write.parquet(f"{folder}/{stage.replace(' ', '-')}")
+            at = spark.read.parquet(f"{folder}/{stage.replace(' ', '-')}")
+        left = [(r["doc_id"], r["text"], r["n_chars"]) for r in at.collect()]
+        if name == "none":
+            assert not left and corpus_pipeline.run(spark, folder).count() == 0
+            continue
+        assert {i for i, _, _ in left} == {3, 6, 8, 100, 101, 102} and len(left) == 7
+        assert (8, "the key [assign removed] is there", 33) in left and (8, "and there was another text of the same id", 41) in left
+        assert sum(r["length"] for r in corpus_pipeline.run(spark, folder).collect()) > 40_000
+    import os
+
+    shared = tokens.shared_dir(spark).removeprefix("file:")
+    assert all(len(os.listdir(f"{shared}/{x}")) == 1 for x in os.listdir(shared) if x.startswith("pipeline-"))
+
+
 def test_stages_keep_columns(spark, small):
     import corpus_pipeline
 
