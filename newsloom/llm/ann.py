@@ -42,6 +42,8 @@ _PART = "query_id long, ids array<long>, scores array<double>, scored long"
 _RESULT = "query_id long, rank int, vec_id long, score double, scored long"
 #: Up to so many names of large cells are sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Pairs of vectors that are multiplied at once: three copies of so many are held.
+LOT = 16_384
 
 
 @dataclass(frozen=True)
@@ -168,7 +170,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
     """
     out, scored = [], np.zeros(len(q_ids), np.int64)
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))[: len(ids)]
-    step = max(1, 4_000_000 // max(1, len(ids)))
+    step = max(1, 1_000_000 // max(1, len(ids)))
     if hashing:
         at, centre = (m.astype(np.float32) for m in hashing.success(table, hashing.projected(table, q, True), np.floor(hashing.projected(table, x, False))))
     for a in range(0, len(q_ids), step):
@@ -176,8 +178,8 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
         if hashing:
             i, j = np.nonzero(at[a : a + step] @ centre.T >= np.float32(hashing.least - 1e-4))
             rough = np.full((len(own), len(ids)), -np.inf)
-            for b in range(0, len(i), 100_000):
-                rough[i[b : b + 100_000], j[b : b + 100_000]] = np.einsum("ij,ij->i", own[i[b : b + 100_000]], x[j[b : b + 100_000]])
+            for b in range(0, len(i), LOT):
+                rough[i[b : b + LOT], j[b : b + LOT]] = np.einsum("ij,ij->i", own[i[b : b + LOT]], x[j[b : b + LOT]])
             scored[a : a + step] = np.bincount(i, minlength=len(own))
         else:
             rough = own @ x.T
@@ -190,7 +192,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
             i, j = np.nonzero((rough >= (least - margin)[:, None]) & np.isfinite(rough))
         else:
             i, j = np.nonzero(np.isfinite(rough))
-        out += [_cut(q_ids[a + i[b : b + 200_000]], ids[j[b : b + 200_000]], (q[a + i[b : b + 200_000]] * x[j[b : b + 200_000]]).sum(1), k) for b in range(0, len(i), 200_000)]
+        out += [_cut(q_ids[a + i[b : b + LOT]], ids[j[b : b + LOT]], (q[a + i[b : b + LOT]] * x[j[b : b + LOT]]).sum(1), k) for b in range(0, len(i), LOT)]
     return (tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else _NOTHING), scored
 
 
@@ -260,7 +262,7 @@ def _ranked_in_blocks(rows: DataFrame, dim: int, k: int, hashing: Hashing | None
                         xs = []
                     found, scored = _best(at[a:b], v[a:b], all_ids, x, k, hashing, int(place[a]) // 2)
                     finds.add(found, at[a:b], scored)
-                    yield from finds.emitted(400_000)
+                    yield from finds.emitted(200_000)
         if finds.n:
             yield from finds.emitted(-1)
 
@@ -314,7 +316,7 @@ def _nearest_of(few: list, rows: DataFrame, dim: int, k: int) -> tuple[list[np.n
             own = np.argsort(at, kind="stable")
             found, scored = _best(q_ids, q, at[own], _matrix(batch.column(1), dim)[own], k)
             finds.add(found, q_ids, scored)
-            yield from finds.emitted(400_000)
+            yield from finds.emitted(200_000)
         if finds.n:
             yield from finds.emitted(-1)
 
