@@ -23,35 +23,27 @@ def tokens(c: Column, least: int = 3, most: int = 24) -> Column:
     return F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda w: F.length(w).between(least, most) & ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$"))
 
 
+#: Fixed values of the light stemmer: what a word looks like, characters that go, and what comes instead; the first that fits counts.
+ENDINGS = (("^.{2,}ies$", 3, "y"), ("^.{3,}ing$", 3, ""), ("^.{3,}ed$", 2, ""), ("^(?=.{5}).*(ss|sh|ch|x|z)es$", 2, ""), ("^.{2,}[^sui]s$", 1, ""))
+#: Fixed value: doubled last consonants that become one; l, s, z and f stay doubled.
+DOUBLED = r"^(.{2,})([bcdghjkmnpqrtvwxy])\2$"
+
+
 def stem(w: Column) -> Column:
-    """A light stemmer: the first ending that applies goes, then a doubled last consonant becomes one, but for ll, ss, zz and ff."""
-    n = F.length(w)
-    short = lambda k: F.substring(w, 1, n - k)
-    cut = (
-        F.when((n > 4) & w.endswith("ies"), F.concat(short(3), F.lit("y")))
-        .when((n > 5) & w.endswith("ing"), short(3))
-        .when((n > 4) & w.endswith("ed"), short(2))
-        .when((n > 4) & w.rlike("(ss|sh|ch|x|z)es$"), short(2))
-        .when((n > 3) & w.endswith("s") & ~w.rlike("(ss|us|is)$"), short(1))
-        .otherwise(w)
-    )
-    doubled = (F.length(cut) > 3) & cut.rlike(r"([b-df-hj-np-tv-z])\1$") & ~cut.rlike("(ll|ss|zz|ff)$")
-    return F.when(doubled, F.substring(cut, 1, F.length(cut) - 1)).otherwise(cut)
+    """A light stemmer by a table of endings."""
+    cut = F.coalesce(*(F.when(w.rlike(shape), F.concat(F.left(w, F.length(w) - n), F.lit(put))) for shape, n, put in ENDINGS), w)
+    return F.regexp_replace(cut, DOUBLED, "$1$2")
 
 
 def near(words: Column, stems: Sequence[str]) -> Column:
-    """True if all stems stand in the words within a window two longer than their number, around some place of the first."""
-    if not stems:
+    """True if all stems stand, in any order, in some run of words that is two longer than their number."""
+    kinds = list(dict.fromkeys(stems))
+    if not kinds:
         return F.lit(False)
-    window = len(stems) + 2
-    at = lambda s: F.filter(F.transform(words, lambda w, i: F.when(w == s, i)), lambda i: i.isNotNull())
-    closest = lambda start, s: F.array_min(F.transform(at(s), lambda p: F.struct(F.abs(p - start).alias("d"), p.alias("p"))))["p"]
-
-    def fits(start: Column) -> Column:
-        places = F.array(*(closest(start, s) for s in stems))
-        return F.forall(places, lambda p: p.isNotNull() & (F.abs(p - start) < window)) & (F.array_max(places) - F.array_min(places) < window)
-
-    return F.array_contains(words, stems[0]) & F.exists(at(stems[0]), fits)
+    wanted, width = F.array(*(F.lit(s) for s in kinds)), len(stems) + 2
+    runs = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+    together = F.exists(runs, lambda i: F.size(F.array_intersect(wanted, F.slice(words, i, width))) == len(kinds))
+    return (F.size(F.array_intersect(wanted, words)) == len(kinds)) & together
 
 
 def bigrams(words: Column) -> Column:
@@ -109,8 +101,14 @@ def sentences(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[.!?]+(\s|$)"))
 
 
+#: The characters that Windows-1252 puts in the places 80 to 9F, and those places; five are empty.
+CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+C1 = "".join(map(chr, (0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F)))
+
+
 def repaired(c: Column) -> Column:
-    """Text that was read in the wrong encoding, read again: only if it shows the usual traces and the bytes make sense."""
-    traces = c.rlike("[\u00c3\u00c4\u00c5][\u0080-\u00bf]") & ~c.rlike("[^\u0000-\u00ff]")
-    again = F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string"))
+    """UTF-8 text that was read as Windows-1252 or Latin-1, read again: only if it shows the usual traces and the bytes make sense."""
+    raw = F.translate(c, CP1252, C1)
+    traces = raw.rlike("[\u00c2-\u00c5\u00e2][\u0080-\u00bf]") & ~raw.rlike("[^\u0000-\u00ff]")
+    again = F.try_validate_utf8(F.encode(raw, "ISO-8859-1").cast("string"))
     return F.when(traces, F.coalesce(again, c)).otherwise(c)

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
-    return df.checkpoint()
+from ..sources.shared import written as _written
 
 
 def independence_groups(pairs: DataFrame, rounds: int = 40) -> DataFrame:
@@ -45,11 +37,13 @@ def ancestors(edges: DataFrame, most: int = 8) -> DataFrame:
     return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
 
-def survivors(merges: DataFrame, rounds: int = 16) -> DataFrame:
+def survivors(merges: DataFrame) -> DataFrame:
     """(id, survivor) of rows (id, resolved_to): the end of each chain, null where the chain turns in a circle.
 
-    Each round doubles how far a row looks ahead, so ``rounds`` covers chains of 2^rounds links.
+    Each round doubles how far a row looks ahead; no chain is longer than the table, so what still moves
+    after the logarithm of its size moves in a circle.
     """
+    rounds = merges.count().bit_length() + 1
     now = merges.select("id", F.col("resolved_to").alias("survivor"))
     for _ in range(rounds):
         step = now.select(F.col("id").alias("at"), F.col("survivor").alias("next"))

@@ -25,11 +25,17 @@ def winner(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seq
     return df.groupBy(*keys).agg(best).select(*keys, *(F.col(f"__best.{v}").alias(v) for v in values))
 
 
-def leading_streak(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], broken_by: Column) -> DataFrame:
-    """(keys, streak): rows before the first, newest first, for which ``broken_by`` holds."""
-    w = Window.partitionBy(*keys).orderBy(*newest_first).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("__broken", F.sum(F.when(broken_by, 1).otherwise(0)).over(w))
-    return marked.groupBy(*keys).agg(F.count_if(F.col("__broken") == 0).alias("streak"))
+def leading_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], broken_by: Column) -> DataFrame:
+    """(keys, streak): rows later by ``order`` than the last one for which ``broken_by`` holds.
+
+    The last breaking row of each key, then a count of what is newer: two aggregates that combine on the map side, so a key
+    with a long history is never sorted in one task. Columns of the order hold no nulls.
+    """
+    place = F.struct(*order)
+    rows = df.select(*keys, place.alias("__at"), broken_by.alias("__broken"))
+    last = rows.groupBy(*keys).agg(F.max(F.when(F.col("__broken"), F.col("__at"))).alias("__last"))
+    newer = F.count_if(F.col("__last").isNull() | (F.col("__at") > F.col("__last")))
+    return rows.join(last, list(keys)).groupBy(*keys).agg(newer.alias("streak"))
 
 
 def within_budget(df: DataFrame, order: Sequence[Column], cost: str, budget: float, keys: Sequence[str] = ()) -> DataFrame:

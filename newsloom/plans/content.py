@@ -215,7 +215,7 @@ def latest_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, count(*) FILTER (WHERE broken = 0) AS streak, CASE WHEN count(*) FILTER (WHERE broken = 0) >= 3 THEN 'open' WHEN count(*) FILTER (WHERE broken = 0) > 0 THEN 'half_open' ELSE 'closed' END AS circuit FROM m GROUP BY user_id""")
 def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures in a row, newest first, and the state of the circuit breaker."""
-    s = leading_streak(log(spark, sf_dir), ["user_id"], [F.desc("ts"), F.desc("event_id")], F.col("event_type") != "error")
+    s = leading_streak(log(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type") != "error")
     return s.select("user_id", "streak", first_match([("open", F.col("streak") >= 3), ("half_open", F.col("streak") > 0)], "closed").alias("circuit"))
 
 
@@ -344,9 +344,9 @@ def fingerprint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, o_custkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1 OR o_orderdate >= TIMESTAMP '2001-01-01 00:00:00'""")
 def retention_keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a clean-up leaves: everything recent and the newest row of each selector."""
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    kept = (F.col("n") == 1) | (F.col("o_orderdate") >= F.lit("2001-01-01 00:00:00").cast("timestamp_ntz"))
-    return load(spark, sf_dir, "orders").withColumn("n", n).where(kept).select("o_orderkey", "o_custkey", "o_orderdate")
+    orders, cut = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
+    newest = winner(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderdate"]).where(F.col("o_orderdate") < cut)
+    return orders.where(F.col("o_orderdate") >= cut).unionByName(newest)
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, CASE WHEN regexp_matches(title, '^(untitled|test)') THEN 'placeholder_title' WHEN length(title) < 12 THEN 'short_title' WHEN published > DATE '{ITEMS_AS_OF}' THEN 'future_date'

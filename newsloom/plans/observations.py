@@ -161,11 +161,13 @@ SELECT a AS nation, b AS segment, n AS value, CASE WHEN n IS NULL THEN 'missing'
 def cube_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse cube in its published form (sizes, category lists, positions) decoded to one row a cell."""
     c = load(spark, sf_dir, "customer")
-    nations = load(spark, sf_dir, "nation").agg(F.array_sort(F.collect_set("n_nationkey")).alias("a"))
-    cube = nations.join(F.broadcast(c.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("b"))))
-    counts = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    at = counts.join(F.broadcast(cube))  # one row: the cube's dimensions
-    position = (F.array_position("a", F.col("c_nationkey")) - 1) * F.size("b") + F.array_position("b", F.col("c_mktsegment")) - 1
-    values = at.select(F.map_from_entries(F.array(F.struct(position.cast("long"), F.col("n")))).alias("m")).agg(F.map_from_entries(F.collect_list(F.map_entries("m")[0])).alias("value"))
-    published = cube.join(F.broadcast(values)).select(F.array(F.size("a"), F.size("b")).alias("size"), F.array(F.col("a").cast("array<string>"), F.col("b")).alias("categories"), "value")
-    return decode(published).select(F.col("coordinates")[0].cast("int").alias("nation"), F.col("coordinates")[1].alias("segment"), "value", "state")
+    rank = lambda d, name: d.distinct().withColumn(f"{name}_place", F.row_number().over(Window.orderBy(name)) - 1)  # noqa: E731  a dimension of a cube is short
+    a, b = rank(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation")), "nation"), rank(c.select(F.col("c_mktsegment").alias("segment")), "segment")
+    width = b.agg(F.count("*").alias("width"))
+    # what is published: sizes, categories by place, and one row a filled position
+    values = c.groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("value")).join(a, "nation").join(b, "segment")
+    values = values.select((F.col("nation_place") * F.lit(width.scalar()) + F.col("segment_place")).alias("position"), "value")
+    # decoding: every position there is, its coordinates by stride, and its value where one was published
+    cells = a.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * F.lit(width.scalar()) - 1)).alias("position"))
+    cells = cells.select("position", F.floor(F.col("position") / F.lit(width.scalar())).alias("nation_place"), (F.col("position") % F.lit(width.scalar())).alias("segment_place"))
+    return cells.join(values, "position", "left").join(a, "nation_place").join(b, "segment_place").select("nation", "segment", "value", F.when(F.col("value").isNull(), "missing").otherwise("measured").alias("state"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ def source_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered rules over a source's figures: the first that holds is its recommendation."""
     rows = log(spark, sf_dir)
     g = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("day").alias("last_day"))
-    s = leading_streak(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], F.col("event_type") != "error")
+    s = leading_streak(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") != "error")
     rate = F.col("errors") / F.col("n")
     rules = [("failing", F.col("streak") >= 3), ("overdue", F.datediff(as_of(), "last_day") >= 5), ("small_sample", F.col("n") < 10), ("reject", rate >= 0.3), ("watch", rate >= 0.25)]
     return g.join(s, "user_id").select("user_id", first_match(rules, "keep").alias("status"))
@@ -37,7 +36,7 @@ def source_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, CAST(sum(accepted) AS BIGINT) AS accepted, count(*) FILTER (WHERE broken = 0) AS zero_streak, CASE WHEN sum(accepted) = 0 THEN 'no_eligible' WHEN count(*) FILTER (WHERE broken = 0) >= 3 THEN 'sparse' WHEN sum(accepted) < 20 THEN 'low' ELSE 'configured' END AS state FROM r GROUP BY source""")
 def coverage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = log(spark, sf_dir).groupBy((F.col("user_id") % 20).alias("source"), "day").agg(F.count_if(F.col("event_type") == "purchase").alias("accepted"))
-    s = leading_streak(d, ["source"], [F.desc("day")], F.col("accepted") > 0).withColumnRenamed("streak", "zero_streak")
+    s = leading_streak(d, ["source"], ["day"], F.col("accepted") > 0).withColumnRenamed("streak", "zero_streak")
     total = d.groupBy("source").agg(F.sum("accepted").alias("accepted"))
     rules = [("no_eligible", F.col("accepted") == 0), ("sparse", F.col("zero_streak") >= 3), ("low", F.col("accepted") < 20)]
     return total.join(s, "source").select("source", "accepted", "zero_streak", first_match(rules, "configured").alias("state"))
@@ -126,32 +125,31 @@ def health_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("ts") >= F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")).alias("last_48h"), ok.alias("ok"), first_match([("ready", ok), ("blocked", F.count_if(~fine) > 2)], "degraded").alias("readiness"))
 
 
-@query()
+_REPLAY_SQL = """a AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IN ('purchase', 'signup') OR event_type = 'error' AND k % 10 <> 0 THEN 1 WHEN event_type = 'click' THEN -1 ELSE 0 END AS step, event_type = 'error' AND k % 10 = 0 AS refused FROM log),
+ b AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS height FROM a), c AS (SELECT *, height - least(0, min(height) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) AS depth FROM b),
+ d AS (SELECT user_id, max_by(depth, event_id) AS depth, count(*) FILTER (WHERE refused) AS refused FROM c GROUP BY user_id),
+ t AS (SELECT c.user_id, max_by(event_type, event_id) AS event_type FROM c JOIN d ON c.user_id = d.user_id AND c.depth = d.depth WHERE step = 1 GROUP BY c.user_id)"""
+
+
+@query(f"""WITH {LOG_SQL}, {_REPLAY_SQL} SELECT d.user_id, CASE WHEN d.depth = 0 THEN 'inbox' WHEN event_type = 'purchase' THEN 'production' WHEN event_type = 'signup' THEN 'hold' ELSE 'trash' END AS state, CAST(d.depth AS BIGINT) AS changes, d.refused FROM d LEFT JOIN t USING (user_id)""")
 def triage_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's state after its whole action log: promote, hold, delete (with a reason) and undo, replayed in order.
 
-    An undo returns to the state before the last change, which no fixed window tells, so the log of one item is replayed
-    in its group; equal keys are as large as one item's log.
+    An undo takes back the last change that still stands, as from a stack. The stack's depth is the running sum of steps above its
+    running minimum, and what stands at the end is the last change that reached the final depth: windows and aggregates, no replay.
     """
     rows = log(spark, sf_dir).select("user_id", "event_id", "event_type", "k")
-
-    def replay(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        past, refused = ["inbox"], 0
-        for kind, k in group.sort_values("event_id")[["event_type", "k"]].itertuples(index=False):
-            if kind == "purchase":
-                past.append("production")
-            elif kind == "signup":
-                past.append("hold")
-            elif kind == "error":
-                if k % 10:
-                    past.append("trash")
-                else:
-                    refused += 1  # a deletion needs a reason
-            elif kind == "click" and len(past) > 1:
-                past.pop()
-        return pd.DataFrame({"user_id": [key[0]], "state": [past[-1]], "changes": [len(past) - 1], "refused": [refused]})
-
-    return rows.groupBy("user_id").applyInPandas(replay, "user_id long, state string, changes long, refused long")
+    refused = (F.col("event_type") == "error") & (F.col("k") % 10 == 0)  # a deletion needs a reason
+    change = F.col("event_type").isin("purchase", "signup") | (F.col("event_type") == "error") & ~refused
+    so_far = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", F.when(change, 1).when(F.col("event_type") == "click", -1).otherwise(0).alias("step"), refused.alias("refused"))
+    rows = rows.withColumn("height", F.sum("step").over(so_far))
+    rows = rows.withColumn("depth", F.col("height") - F.least(F.lit(0), F.min("height").over(so_far)))
+    last = rows.groupBy("user_id", "depth").agg(F.max("event_id").alias("event_id"), F.max(F.when(F.col("step") == 1, F.struct("event_id", "event_type"))).alias("change"), F.count_if("refused").alias("refused"))
+    end = last.groupBy("user_id").agg(F.max(F.struct("event_id", "depth", "change")).alias("end"), F.sum("refused").alias("refused"))
+    kind = F.col("end.change.event_type")
+    state = F.when(F.col("end.depth") == 0, "inbox").when(kind == "purchase", "production").when(kind == "signup", "hold").otherwise("trash")
+    return end.select("user_id", state.alias("state"), F.col("end.depth").alias("changes"), "refused")
 
 
 @query(f"""WITH {LOG_SQL}, s AS (SELECT event_type AS kind, user_id, max(day) AS last_run FROM log GROUP BY ALL) SELECT kind, user_id, last_run FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY last_run, user_id) AS r FROM s) WHERE r <= 10""")

@@ -26,12 +26,17 @@ def windowed(observations: DataFrame, day: str = "day", today: Column | None = N
 
 
 def aggregated(observations: DataFrame, keys: list[str]) -> DataFrame:
-    """Volume, independence, momentum and persistence of each selector and window, in one shuffle."""
+    """Volume, independence, momentum and persistence of each selector and window.
+
+    Equal (selector, day, unit, actor) rows are counted first, so that windows and distinct counts open few of them.
+    """
     now = lambda c: F.when(F.col("prior") == 0, c)
-    n = F.count_if(F.col("prior") == 0)
-    return windowed(observations).groupBy(*keys, "days").agg(
+    sums = lambda prior: F.coalesce(F.sum(F.when(F.col("prior") == prior, F.col("rows"))), F.lit(0))
+    n, before = sums(0), sums(1)
+    few = observations.groupBy(*keys, "day", "k", "user_id").agg(F.count("*").alias("rows"))
+    return windowed(few).groupBy(*keys, "days").agg(
         n.alias("n"), F.countDistinct(now(F.col("k"))).alias("units"), F.countDistinct(now(F.col("user_id"))).alias("actors"),
-        (n - F.count_if(F.col("prior") == 1)).alias("momentum"), F.min(now(F.col("day"))).alias("first_day"), F.max(now(F.col("day"))).alias("last_day"), F.countDistinct(now(F.col("day"))).alias("active_days"),
+        (n - before).alias("momentum"), F.min(now(F.col("day"))).alias("first_day"), F.max(now(F.col("day"))).alias("last_day"), F.countDistinct(now(F.col("day"))).alias("active_days"),
     ).where("n > 0")
 
 

@@ -126,25 +126,35 @@ def hashed_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-fold validation of the small model: each fold trains by seeded SGD in a task of its own on the bounded set of ratings."""
-    labels = load(spark, sf_dir, "labels").where("quality is not null").orderBy(F.xxhash64("doc_id")).limit(4_000)  # a bounded training set
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-    rows = _features(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")).join(labels, "doc_id")
-    rows = rows.withColumn("fold", F.explode(F.array(*(F.lit(i) for i in range(5))))).withColumn("test", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == F.col("fold"))
+    """Five-fold validation of the small model, and whether it may be activated."""
+    return _validated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def _validated(docs: DataFrame, labels: DataFrame, most: int = 4_000, epochs: int = 40, least: int = 30) -> DataFrame:
+    """(fold, n, accuracy, mae, active) of a logistic model over hashed words, trained by gradient steps in the order of the ids.
+
+    The ``i``-th rating is tested in fold ``i % 5``. Training takes the ratings one after the other, so a fold is one task, and
+    ``most`` bounds the ratings (the first by a hash of the id). A model may be active with ``least`` ratings and an accuracy that is not worse than
+    that of always answering the commoner label.
+    """
+    labels = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id")).limit(most)
+    rows = _features(docs.select("doc_id", "text").join(labels, "doc_id")).groupBy("doc_id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")).join(labels, "doc_id")
+    rows = rows.withColumn("fold", F.explode(F.array(*(F.lit(i) for i in range(5)))))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group, w = group.sort_values("doc_id"), np.zeros(BUCKETS + 1)
-        train = [(np.append(b, BUCKETS).astype(int), y) for b, y, t in group[["buckets", "quality", "test"]].itertuples(index=False) if not t]
-        for epoch in range(10):
+        group, w = group.sort_values("doc_id").reset_index(drop=True), np.zeros(BUCKETS + 1)
+        tested = group.index.to_numpy() % 5 == key[0]
+        x, y = [np.append(b, BUCKETS).astype(int) for b in group["buckets"]], group["quality"].to_numpy(float)
+        for epoch in range(epochs):
             rate = 0.2 / (1 + 0.2 * epoch)
-            for i in np.random.default_rng(epoch).permutation(len(train)):
-                b, y = train[i]
-                w[b] -= rate * (1 / (1 + np.exp(-w[b].sum())) - y + 0.001 * w[b])
-        test = [(1 / (1 + np.exp(-w[np.append(b, BUCKETS).astype(int)].sum())), y) for b, y, t in group[["buckets", "quality", "test"]].itertuples(index=False) if t]
-        p, y = (np.array(v, float) for v in zip(*test, strict=True)) if test else (np.zeros(0), np.zeros(0))
-        return pd.DataFrame({"fold": [key[0]], "n": [len(y)], "accuracy": [float(((p >= 0.5) == y).mean()) if len(y) else None], "mae": [float(np.abs(p - y).mean()) if len(y) else None]})
-
-    return rows.groupBy("fold").applyInPandas(run, "fold int, n long, accuracy double, mae double")
+            for i in np.flatnonzero(~tested):
+                w[x[i]] -= rate * (1 / (1 + np.exp(-w[x[i]].sum())) - y[i] + 0.001 * w[x[i]])
+        p, label = np.array([1 / (1 + np.exp(-w[x[i]].sum())) for i in np.flatnonzero(tested)]), y[tested]
+        some = len(label) > 0
+        accuracy, usual = (float(((p >= 0.5) == label).mean()), float(max(label.mean(), 1 - label.mean()))) if some else (None, None)
+        return pd.DataFrame({"fold": [key[0]], "n": [len(label)], "accuracy": [accuracy], "mae": [float(np.abs(p - label).mean()) if some else None], "active": [bool(some and len(y) >= least and accuracy >= usual)]})
+
+    return rows.groupBy("fold").applyInPandas(run, "fold int, n long, accuracy double, mae double, active boolean")
 
 
 @query()

@@ -2,42 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='newsloom-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import remove, shared_dir, written
 
 
 def weekly(events: DataFrame) -> DataFrame:
-    """Counts of each family in weeks from 2024-01-01, for a batch or a stream of (ts, event_type, user_id)."""
+    """Counts of each family and actor in weeks from 2024-01-01, for a batch or a stream of (ts, event_type, user_id)."""
     week = F.window(F.col("ts").cast("timestamp"), "7 days", startTime="4 days")  # 1970-01-05 was a Monday
-    return events.groupBy(week.alias("w"), F.col("event_type").alias("family")).agg(F.count("*").alias("n"), F.collect_set("user_id").alias("users"))
+    return events.groupBy(week.alias("w"), F.col("event_type").alias("family"), "user_id").agg(F.count("*").alias("n"))
 
 
 def weekly_signals(spark: SparkSession, path: str) -> DataFrame:
     """Run the weekly aggregate over a file stream until what is there has been read; the result is the complete state.
 
-    Actors are kept as sets of ids, because a stream cannot count distinct values; the sets grow with
-    the users of one week and family. Late rows are merged, never dropped, so there is no watermark.
+    A stream cannot count distinct values, so its state has one small row for each week, family and actor, dealt over the
+    cluster; the last step counts them. Late rows are merged, never dropped, so there is no watermark. The stream's own
+    folder is removed when its result is written down.
     """
     schema = spark.read.parquet(path).schema
-    # a stream reads folders or patterns: this one matches the table whether it is a file or a folder
-    stream = spark.readStream.schema(schema).parquet(path.removesuffix(".parquet") + "*.parquet")
-    folder = _folder(spark)
+    # a stream reads folders or patterns: this one matches the table's name alone, whether it is a file or a folder
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    stream = spark.readStream.schema(schema).parquet(f"{parent}/[{name[0]}]{name[1:]}")
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.select(F.lit(7).alias("days"), F.to_date("w.start").alias("window_start"), "family", "n", F.size("users").cast("long").alias("actors")).write.mode("overwrite").parquet(f"{folder}/state")
+        counts = batch.groupBy(F.to_date("w.start").alias("window_start"), "family").agg(F.sum("n").alias("n"), F.count("*").alias("actors"))
+        counts.select(F.lit(7).alias("days"), "window_start", "family", "n", "actors").write.mode("overwrite").parquet(f"{folder}/state")
 
     run = weekly(stream).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/state")
+    state = written(spark.read.parquet(f"{folder}/state"))
+    remove(spark, folder)
+    return state
 
 
 def deduplicated(stream: DataFrame, key: str, time: str, late: str = "7 days") -> DataFrame:

@@ -68,7 +68,7 @@ def test_latest_keeps_or_breaks_ties(spark):
 
 def test_streak_and_budget(spark):
     df = spark.createDataFrame([(1, t, ok) for t, ok in enumerate([1, 0, 0])] + [(2, 0, 1)], "k int, t int, ok int")
-    got = {r["k"]: r["streak"] for r in latest.leading_streak(df, ["k"], [F.desc("t")], F.col("ok") == 1).collect()}
+    got = {r["k"]: r["streak"] for r in latest.leading_streak(df, ["k"], ["t"], F.col("ok") == 1).collect()}
     assert got == {1: 2, 2: 0}
     assert latest.within_budget(df.withColumn("c", F.lit(2)), [F.col("t")], "c", 4, ["k"]).where("k = 1").count() == 2
 
@@ -132,7 +132,10 @@ def test_stream_equals_batch(spark, small):
     from newsloom.sources.tables import load
     from newsloom.streaming.signals import weekly
 
-    batch = {(str(r["w"]["start"].date()), r["family"]): r["n"] for r in weekly(load(spark, small, "events")).collect()}
+    batch = {}
+    for r in weekly(load(spark, small, "events")).collect():  # one row for each week, family and actor
+        key = (str(r["w"]["start"].date()), r["family"])
+        batch[key] = batch.get(key, 0) + r["n"]
     assert {(str(r["window_start"]), r["family"]): r["n"] for r in QUERIES["stream_signals"](spark, small).collect()} == batch
 
 
@@ -228,3 +231,28 @@ def test_keyword_gate(spark):
     gate = rules.keyword_gate(F.col("t"), [("event", ["congress"])], [("grant", ["scholarship", "grant"])])
     df = spark.createDataFrame([("a grant for all",), ("congress grant",), ("nothing",), (None,)], "t string")
     assert [r["x"] for r in df.select(gate.alias("x")).collect()] == ["accept:grant", "discard:event", "discard:no_signal", "discard:no_signal"]
+
+
+def test_repaired_windows_1252(spark):
+    for fine in ("don’t – “quoted” €5", "naïve café", "Çağrı"):
+        broken = fine.encode("utf-8").decode("cp1252", errors="replace")
+        if "\ufffd" not in broken:
+            assert one(spark, text.repaired(F.col("t")), t=broken) == fine
+    for plain in ("plain", "â alone", "5 € and ’ as they are"):
+        assert one(spark, text.repaired(F.col("t")), t=plain) == plain
+
+
+def test_long_merge_chains(spark):
+    """A chain longer than sixteen doublings of small steps would see, and a circle beside it."""
+    chain = spark.range(300).select("id", (F.col("id") + 1).alias("resolved_to")).unionAll(spark.createDataFrame([(1000, 1001), (1001, 1002), (1002, 1000)], "id long, resolved_to long"))
+    got = {r["id"]: r["survivor"] for r in graph.survivors(chain).collect()}
+    assert all(got[i] == 300 for i in range(300)) and got[1000] is got[1001] is got[1002] is None
+
+
+def test_stream_reads_its_table_alone(spark, tmp_path):
+    from newsloom.streaming.signals import weekly_signals
+
+    rows = spark.sql("select timestamp_ntz'2024-01-02 00:00:00' as ts, 'view' as event_type, id as user_id from range(3)")
+    for name in ("events", "events_old"):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [(r["n"], r["actors"]) for r in weekly_signals(spark, f"{tmp_path}/events.parquet").collect()] == [(3, 3)]
