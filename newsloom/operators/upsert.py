@@ -33,3 +33,31 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str])
 def conflicts(df: DataFrame, keys: Sequence[str], content: Sequence[str]) -> DataFrame:
     """Keys that occur with more than one content."""
     return df.groupBy(*keys).agg(F.countDistinct(F.struct(*content)).alias("contents")).where("contents > 1")
+
+
+def resolved(batch: DataFrame, store: DataFrame) -> DataFrame:
+    """(arrival, stored_id): the row of the store that each arriving row means, by dedupe key, else by work, else where the work is a dedupe key.
+
+    Three equi-joins and one aggregate; of several stored rows under one key the least id.
+    """
+    pair = lambda left, right, rank: batch.select("arrival", F.col(left).alias("__key")).join(store.select("stored_id", F.col(right).alias("__key")), "__key").select("arrival", F.struct(F.lit(rank).alias("r"), "stored_id").alias("hit"))
+    hits = pair("dedupe_key", "dedupe_key", 0).unionAll(pair("work_id", "work_id", 1)).unionAll(pair("work_id", "dedupe_key", 2))
+    return hits.groupBy("arrival").agg(F.min("hit").alias("hit")).select("arrival", "hit.stored_id")
+
+
+def planned(batch: DataFrame, store: DataFrame, *, refused: str) -> DataFrame:
+    """(arrival, stored_id, action, title, published, url) of every arriving row that decides something.
+
+    Of several rows that mean one stored row the first decides. Known rows: a changed title makes a ``full`` update, filled gaps a
+    ``meta`` update, else ``none``; rows that were enriched are compared by their original title and keep their wording; a day or URL, once
+    set, stays. Unknown rows are inserted, or refused where the SQL condition ``refused`` holds.
+    """
+    hits = resolved(batch, store)
+    first = hits.groupBy("stored_id").agg(F.min("arrival").alias("arrival"))
+    known = hits.select("arrival").join(first.select("arrival", "stored_id"), "arrival", "left").select("arrival", "stored_id", F.lit(True).alias("known"))
+    old = store.select("stored_id", F.col("title").alias("old_title"), "original_title", "enriched", F.col("published").alias("old_day"), F.col("url").alias("old_url"))
+    rows = batch.select("arrival", "title", "published", "url", F.expr(refused).alias("refused")).join(known, "arrival", "left").where("known is null or stored_id is not null").join(old, "stored_id", "left")
+    gap = lambda a, b: F.col(a).isNull() & F.col(b).isNotNull()
+    fresh = F.col("stored_id").isNull()
+    action = F.when(fresh & F.col("refused"), "refused").when(fresh, "insert").when(~F.col("title").eqNullSafe(F.col("original_title")), "full").when(gap("old_day", "published") | gap("old_url", "url"), "meta").otherwise("none")
+    return rows.select("arrival", "stored_id", action.alias("action"), F.when(F.coalesce("enriched", F.lit(False)), F.col("old_title")).otherwise(F.col("title")).alias("title"), F.coalesce("old_day", "published").alias("published"), F.coalesce("old_url", "url").alias("url"))

@@ -53,3 +53,23 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOG_SQL = "log AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
+
+
+#: What the desk adds to an item, as SQL over the items view: channel, how it was acquired, how it was archived, when it was fetched.
+DESK = {
+    "channel": "CASE item_id % 9 WHEN 0 THEN 'grant_abroad' WHEN 1 THEN 'grants' WHEN 2 THEN 'training' WHEN 3 THEN 'old@desk' ELSE 'general' END",
+    "acquisition": "CASE item_id % 6 WHEN 0 THEN 'EVERGREEN' WHEN 1 THEN 'TIME_SENSITIVE' END",
+    "archive_kind": "CASE item_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'deleted' WHEN 2 THEN '' END",
+    "fetched": "CASE WHEN item_id % 5 <> 0 THEN published + INTERVAL '2' DAY END",
+}
+#: Items that were taken into the evergreen collection: a table of its own.
+MEMBERS_SQL = "members AS (SELECT doc_id AS item_id, 'EVERGREEN' AS temporal_path FROM labels WHERE quality = 1 AND doc_id % 3 = 0)"
+DESK_SQL = f"{ITEMS_SQL}, {MEMBERS_SQL}, desk AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in DESK.items())} FROM items)"
+
+
+def desk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).selectExpr("*", *(f"{e} AS {n}" for n, e in DESK.items()))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "labels").where("quality = 1 AND doc_id % 3 = 0").select(F.col("doc_id").alias("item_id"), F.lit("EVERGREEN").alias("temporal_path"))
