@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from . import content, desk, extraction, gates, observations, operations, signals, texts  # noqa: E402, F401  they register themselves
+from . import content, desk, extraction, gates, health, observations, operations, policy, signals, texts  # noqa: E402, F401  they register themselves
