@@ -24,3 +24,32 @@ def decode_keys(series: DataFrame) -> DataFrame:
     """(coordinates, value) of rows (key, categories, value) whose key names positions as ``i:j:k``."""
     at = F.split("key", ":").cast("array<int>")
     return series.select(F.transform(F.arrays_zip("categories", at.alias("at")), lambda z: F.get(z["categories"], z["at"])).alias("coordinates"), "value")
+
+
+class CubeRefused(ValueError):
+    """A cube that does not say what it should."""
+
+
+def checked(cubes: DataFrame, most: int = 10_000) -> DataFrame:
+    """The rows (size, categories, value), refused as a whole if one has other category counts than sizes, too many cells, or values outside them.
+
+    A published cube is one document, so ``most`` cells are a contract with its source; larger ones are refused, never cut.
+    """
+    total = F.aggregate("size", F.lit(1).cast("long"), lambda a, x: a * x)
+    wrong = F.when(~F.forall(F.arrays_zip(F.transform("categories", lambda c: F.size(c)).alias("n"), F.col("size").alias("s")), lambda z: z["n"] == z["s"]), "sizes").when(total > most, "cells").when(F.exists(F.map_keys("value"), lambda p: (p < 0) | (p >= total)), "position")
+    found = cubes.select(wrong.alias("w")).where("w is not null").limit(1).collect()
+    if found:
+        raise CubeRefused(found[0]["w"])
+    return cubes
+
+
+def slice_of(cubes: DataFrame, fixed: dict[int, str]) -> DataFrame:
+    """Cells (coordinate, value, state) of the one dimension that ``fixed`` (dimension to category) leaves free; other numbers of free dimensions are refused."""
+    sizes = cubes.select(F.size("size").alias("n")).distinct().collect()
+    if any(r["n"] != len(fixed) + 1 for r in sizes):
+        raise CubeRefused("a slice leaves one dimension free")
+    rows = decode(cubes)
+    for i, name in fixed.items():
+        rows = rows.where(F.get("coordinates", F.lit(i)) == name)
+    free = F.filter("coordinates", lambda _, i: ~i.isin(*fixed))
+    return rows.select(F.get(free, F.lit(0)).alias("coordinate"), "value", "state")

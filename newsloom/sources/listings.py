@@ -67,3 +67,41 @@ def best_strategy(found: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     ranked = found.withColumn("__rank", rank).where("__rank > 0")
     best = ranked.groupBy(*keys).agg(F.min("__rank").alias("__best"))
     return ranked.join(best, list(keys)).where("__rank = __best").drop("__rank", "__best")
+
+
+def cards(pages: DataFrame, key: str, html: str = "html", *, card: str = "article", most: int = 30) -> DataFrame:
+    """(key, place, href, title, printed) of the first ``most`` cards of a listing: each card element's heading, first link and printed day.
+
+    Cards without a heading or a link are no items; an address counts once for each page.
+    """
+    parts = F.slice(F.regexp_extract_all(html, F.lit(rf"(?is)(<{card}\b[^>]*>.*?</{card}>)"), 1), 1, most)
+    rows = pages.select(key, F.posexplode(parts).alias("place", "part"))
+    title = plain(F.regexp_extract("part", r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", 1))
+    rows = rows.select(key, "place", F.regexp_extract("part", r"(?is)<a\b[^>]*href=[\"']([^\"'#]+)", 1).alias("href"), title.alias("title"), F.regexp_extract("part", _DATED + r"[-/.][0-9]{1,2}", 0).alias("printed"))
+    first = rows.where("href <> '' and title <> ''").groupBy(key, "href").agg(F.min(F.struct("place", "title", "printed")).alias("f"))
+    return first.select(key, "f.place", "href", "f.title", F.when(F.col("f.printed") != "", F.col("f.printed")).alias("printed"))
+
+
+def dated_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, place, printed, href, title) of table rows or list entries that print a day and hold a link."""
+    parts = F.regexp_extract_all(html, F.lit(r"(?is)(<tr\b[^>]*>.*?</tr>|<li\b[^>]*>.*?</li>)"), 1)
+    rows = pages.select(key, F.posexplode(parts).alias("place", "part"))
+    rows = rows.select(key, "place", F.regexp_extract("part", r"([0-9]{1,2}[./][0-9]{1,2}[./]20[0-9]{2}|20[0-9]{2}-[0-9]{2}-[0-9]{2})", 1).alias("printed"), F.regexp_extract("part", r"(?is)<a\b[^>]*href=[\"']([^\"'#]+)", 1).alias("href"), plain(F.regexp_extract("part", r"(?is)<a\b[^>]*>(.*?)</a>", 1)).alias("title"))
+    return rows.where("printed <> '' and href <> '' and title <> ''")
+
+
+def prime_jump(pool: DataFrame, key: str, *, run: int, size: int, jump: int = 7919) -> DataFrame:
+    """The rows of each source's pool that a deep run takes: ``size`` places from run times a prime on, around the end."""
+    w = Window.partitionBy("source")
+    ranked = pool.withColumn("__place", F.row_number().over(w.orderBy(key)) - 1).withColumn("__total", F.count("*").over(w))
+    return ranked.where(F.pmod(F.col("__place") - F.pmod(F.lit(run * jump), F.col("__total")), F.col("__total")) < size).drop("__place", "__total")
+
+
+def cascade(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, strategy, href, title): what the first strategy that finds anything finds: cards, dated rows, plain links, the page's title."""
+    title = plain(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1))
+    found = cards(pages, key, html).select(key, F.lit("cards").alias("strategy"), "href", "title")
+    found = found.unionAll(dated_rows(pages, key, html).select(key, F.lit("dated_rows"), "href", "title"))
+    found = found.unionAll(listing_links(pages, key, html).select(key, F.lit("links"), "href", "title"))
+    found = found.unionAll(pages.select(key, F.lit("title"), F.lit(None).cast("string"), title.alias("t")).where("t <> ''"))
+    return best_strategy(found, [key], ["cards", "dated_rows", "links", "title"])

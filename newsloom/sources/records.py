@@ -75,3 +75,62 @@ def enrich(candidates: DataFrame, metrics: DataFrame, key: str = "pmid") -> Data
     """Candidates with the columns of a metrics table by key; those without keep nulls, and equal keys of the metrics count once."""
     one = metrics.where(F.col(key).isNotNull()).dropDuplicates([key])
     return candidates.join(one, key, "left")
+
+
+def pubmed(answers: DataFrame, json: str = "json") -> DataFrame:
+    """Summaries of a literature search: a map by identifier, whose list of identifiers gives the order."""
+    uids = F.from_json(F.get_json_object(json, "$.result.uids"), "array<string>")
+    rows = answers.select(F.posexplode(uids).alias("position", "pmid"), F.from_json(F.get_json_object(json, "$.result"), "map<string,string>").alias("m")).withColumn("e", F.try_element_at("m", F.col("pmid")))
+    part = lambda name: F.get_json_object("e", f"$.{name}")
+    return _candidate(rows, "pubmed", F.col("pmid"), F.get_json_object("e", "$.elocationid"), F.col("pmid"), part("title"), part("fulljournalname"), F.try_to_date(F.left(part("sortpubdate"), F.lit(10)), "yyyy/MM/dd"))
+
+
+def icite(answers: DataFrame, json: str = "json") -> DataFrame:
+    """(pmid, citations, percentile) of a citation service's answer, for ``enrich``."""
+    rows = answers.select(F.explode(F.from_json(F.get_json_object(json, "$.data"), "array<struct<pmid:long,citation_count:long,nih_percentile:double>>")).alias("e"))
+    return rows.select(F.col("e.pmid").cast("string").alias("pmid"), F.col("e.citation_count").alias("citations"), F.col("e.nih_percentile").alias("percentile"))
+
+
+def gdelt(answers: DataFrame, json: str = "json") -> DataFrame:
+    rows = answers.select(F.posexplode(F.from_json(F.get_json_object(json, "$.articles"), "array<struct<url:string,title:string,domain:string,seendate:string>>")).alias("position", "e"))
+    e = F.col("e")
+    return _candidate(rows, "gdelt", e["url"], F.lit(None), F.lit(None), e["title"], e["domain"], F.try_to_date(F.left(e["seendate"], F.lit(8)), "yyyyMMdd"))
+
+
+def pmc_open(answers: DataFrame, xml: str = "xml") -> DataFrame:
+    """Records of an open-access list in XML."""
+    rows = answers.select(F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)(<record\b.*?</record>)"), 1)).alias("position", "r"))
+    attribute = lambda name: F.regexp_extract("r", rf'{name}="([^"]*)"', 1)
+    return _candidate(rows, "pmc_oa", attribute("id"), F.lit(None), F.lit(None), attribute("citation"), F.regexp_extract(attribute("citation"), r"^([^.]*)\.", 1), F.try_to_date(F.left(attribute("updated"), F.lit(10)), "yyyy-MM-dd"))
+
+
+def who_news(answers: DataFrame, json: str = "json") -> DataFrame:
+    rows = answers.select(F.posexplode(F.from_json(F.get_json_object(json, "$.value"), "array<struct<UrlName:string,Title:string,PublicationDateAndTime:string,NewsType:string>>")).alias("position", "e"))
+    e = F.col("e")
+    return _candidate(rows, "who", e["UrlName"], F.lit(None), F.lit(None), e["Title"], e["NewsType"], F.try_to_date(F.left(e["PublicationDateAndTime"], F.lit(10)), "yyyy-MM-dd"))
+
+
+def least_recent(apis: DataFrame) -> DataFrame:
+    """The one source (source, last_run) whose turn it is: never run before run, then the one that ran longest ago."""
+    return apis.orderBy(F.col("last_run").asc_nulls_first(), "source").limit(1)
+
+
+def journal_works(works: DataFrame, container: str, since: str, until: str) -> DataFrame:
+    """Candidates of exactly this journal (letters and digits alone) within a window of days: a search by name returns neighbours too."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    return works.where((bare(F.col("container")) == bare(F.lit(container))) & F.col("published").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
+
+
+def pushed(rows: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) rows of a push (key, title, url, published): JSON that can't be read, or lacks key or title, is refused with its reason."""
+    e = F.from_json(json, "struct<key:string,title:string,url:string,published:string>")
+    read = rows.select(F.col(json).alias("raw"), e.alias("e"))
+    reason = F.when(F.coalesce("e.key", F.lit("")) == "", "no_key").when(F.length(F.trim(F.coalesce("e.title", F.lit("")))) < 3, "no_title").when(F.col("e.published").isNotNull() & F.try_to_date(F.left("e.published", F.lit(10)), "yyyy-MM-dd").isNull(), "bad_day")
+    read = read.withColumn("reason", reason)
+    good = read.where("reason is null").groupBy("e.key").agg(F.min(F.struct("raw", "e")).alias("f"))
+    return good.select("key", "f.e.title", "f.e.url", F.try_to_date(F.left("f.e.published", F.lit(10)), "yyyy-MM-dd").alias("published")), read.where("reason is not null").select("raw", "reason")
+
+
+def connector_run(planned: DataFrame, normalise, most: int, valid: str) -> DataFrame:
+    """A connector's run: what it planned, normalised row by row, the first ``most`` by position (a run's cap is part of its plan), and only valid ones."""
+    return normalise(planned).orderBy("position").limit(most).where(valid)
