@@ -10,7 +10,9 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 
 def normalise(c: Column) -> Column:
-    """A printed date as a date: ISO with or without padding, ``2026 Sep 7``, ``2026 Sep``, ``2026-09``, ``2026``, ``7 Sep 2026``; else null."""
+    """A printed date as a date: ISO with or without padding, ``2026 Sep 7``, ``2026 Sep``, ``2026-09``, ``2026``, ``7 Sep 2026``; else null.
+
+    A day that its month does not have (31 February) is refused, not moved: years run from 1990 to 2100."""
     s = F.lower(F.trim(c))
     month = lambda m: F.when(m.rlike("^[0-9]+$"), m.try_cast("int")).otherwise(F.array_position(F.array(*(F.lit(x) for x in MONTHS)), F.substring(m, 1, 3)).cast("int"))
     forms = (

@@ -30,7 +30,15 @@ def link_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("page_id", "host", first_match(rules, "article").alias("quality"))
 
 
-@query()
+_STRIPPED = "html"
+for _tag in ("script", "style", "noscript"):
+    _STRIPPED = rf"regexp_replace({_STRIPPED}, '(?is)<{_tag}\b.*?</{_tag}>', ' ', 'g')"
+_STRIPPED = rf"regexp_replace(regexp_replace({_STRIPPED}, '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _sign in markup.ENTITIES.items():
+    _STRIPPED = f"replace({_STRIPPED}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_STRIPPED}, '\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text of each page without scripts and styles."""
     return load(spark, sf_dir, "pages").select("page_id", markup.body_text(F.col("html")).alias("text"))

@@ -120,7 +120,8 @@ def merge_survivor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.survivors(p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - 1).alias("resolved_to")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS u, b.l_suppkey AS v FROM lineitem a JOIN (SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1) b USING (l_partkey) UNION SELECT b.l_suppkey, a.l_suppkey FROM lineitem a JOIN (SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1) b USING (l_partkey)),
+ r AS (SELECT u AS node, u AS root FROM (SELECT DISTINCT u FROM e WHERE u <> v) UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def independence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that share an order's part with one another form one evidence group."""
     rows = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()

@@ -14,6 +14,8 @@ from ..sources.tables import load, log
 from .registry import query
 
 #: Topic names with their terms; a document has a topic if a term stands in it.
+_FOLDED = f"translate(lower(replace(%s, 'İ', 'i')), '{T.ACCENTED}', '{T.PLAIN}')"
+_TOKENS = f"list_filter(regexp_split_to_array({_FOLDED}, '[^a-z0-9]+'), lambda w: length(w) BETWEEN 3 AND 24 AND w NOT IN {T.STOP_WORDS} AND NOT regexp_matches(w, '^[0-9]+$'))"
 TOPICS = {"trade": ("tion", "ment"), "places": ("wh", "nd"), "people": ("der", "die"), "other": ("que", "qui")}
 BUCKETS = 4096
 
@@ -42,7 +44,12 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("n >= 20")
 
 
-@query()
+_STEM_SQL = """WITH w AS (SELECT DISTINCT unnest(%s) AS w FROM documents), c AS (SELECT CASE WHEN length(w) > 4 AND w LIKE '%%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 5 AND w LIKE '%%ing' THEN left(w, length(w) - 3) WHEN length(w) > 4 AND w LIKE '%%ed' THEN left(w, length(w) - 2)
+ WHEN length(w) > 4 AND regexp_matches(w, '(ss|sh|ch|x|z)es$') THEN left(w, length(w) - 2) WHEN length(w) > 3 AND regexp_matches(w, '[^sui]s$') THEN left(w, length(w) - 1) ELSE w END AS c FROM w)
+SELECT CASE WHEN length(c) > 3 AND right(c, 1) = substr(c, length(c) - 1, 1) AND contains('bcdghjkmnpqrtvwxy', right(c, 1)) THEN left(c, length(c) - 1) ELSE c END AS stem, count(*) AS words FROM c GROUP BY 1"""
+
+
+@query(_STEM_SQL % (_TOKENS % "text"))
 def token_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems with the number of words that share them."""
     w = load(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).distinct()
@@ -78,7 +85,8 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", k.alias("k"), (k > 50).alias("high"), F.coalesce(F.get_json_object("props", "$.note"), F.lit("none")).alias("note"))
 
 
-@query()
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%-m-%-d') WHEN 2 THEN strftime(o_orderdate, '%Y %b %-d') WHEN 3 THEN strftime(o_orderdate, '%-d %b %Y') WHEN 4 THEN strftime(o_orderdate, '%Y-%m') WHEN 5 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S') END AS printed,
+ CASE o_orderkey % 7 WHEN 4 THEN CAST(date_trunc('month', o_orderdate) AS DATE) WHEN 5 THEN CAST(date_trunc('year', o_orderdate) AS DATE) ELSE CAST(o_orderdate AS DATE) END AS read FROM orders""")
 def printed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates printed in seven ways, read back; the day they stand for is beside them."""
     o = load(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
@@ -96,9 +104,9 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(doc_id, bucket) of the hashed words and word pairs of whole texts, each bucket once."""
+    """(doc_id, bucket) of the hashed words and word pairs of whole texts, each bucket once; a bucket is the end of a word's MD5."""
     words = docs.select("doc_id", T.tokens(F.col("text")).alias("words"))
-    feats = F.array_distinct(F.transform(F.concat("words", T.bigrams(F.col("words"))), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))))
+    feats = F.array_distinct(F.transform(F.concat("words", T.bigrams(F.col("words"))), lambda w: F.conv(F.right(F.md5(w.cast("binary")), F.lit(3)), 16, 10).cast("long")))
     return words.select("doc_id", F.explode(feats).alias("bucket"))
 
 
@@ -109,14 +117,16 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", F.length("word").cast("long").alias("n"))
 
 
-@query()
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS w FROM part), h AS (SELECT w, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM w WHERE w <> '')
+SELECT w AS word, h AS hash, h % 4096 AS bucket FROM h""")
 def feature_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of names by their FNV-1a bucket, as models of the older form address them."""
     w = load(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z0-9]+")).alias("word")).where("word <> ''").distinct()
     return w.select("word", T.fnv1a(F.col("word")).alias("hash"), (T.fnv1a(F.col("word")) % BUCKETS).alias("bucket"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS % "text"} AS w FROM documents), f AS (SELECT doc_id, list_distinct(list_transform(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])), lambda x: CAST('0x' || right(md5(x), 3) AS BIGINT))) AS b FROM t), u AS (SELECT doc_id, unnest(b) AS b FROM f)
+SELECT doc_id, round(1 / (1 + exp(-sum(sin(b * 0.37) * 0.2))), 6) AS score FROM u GROUP BY doc_id""")
 def hashed_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic scores of all documents under fixed small weights: features joined with a table of 4,096 weights."""
     weights = spark.range(BUCKETS).select(F.col("id").alias("bucket"), (F.sin(F.col("id") * 0.37) * 0.2).alias("w"))
@@ -157,7 +167,9 @@ def _validated(docs: DataFrame, labels: DataFrame, most: int = 4_000, epochs: in
     return rows.groupBy("fold").applyInPandas(run, "fold int, n long, accuracy double, mae double, active boolean")
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, list_sort(list_distinct({_TOKENS % "split_part(text, chr(10), 1)"})) AS words FROM documents), c AS (SELECT min(doc_id) AS id, words, count(*) AS items, len(words) AS n FROM t WHERE len(words) > 0 GROUP BY words), w AS (SELECT id, n, items, unnest(words) AS word FROM c),
+ p AS (SELECT l.id AS left_id, r.id AS right_id, l.items AS left_items, r.items AS right_items, CAST(count(*) AS DOUBLE) / (l.n + r.n - count(*)) AS share FROM w l JOIN w r USING (word) WHERE l.id < r.id GROUP BY l.id, r.id, l.items, r.items, l.n, r.n)
+SELECT left_id, right_id, left_items, right_items, round(share, 4) AS similarity FROM p WHERE share >= 0.5""")
 def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different titles of which at least half the words are common: class representatives and how many items each stands for.
 
