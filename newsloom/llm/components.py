@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v: any ordered type, nulls absent); root is the least node reached.
 
     Each round is a few shuffles of the edges that are left and is written to the shared folder; only
-    a count and a checksum reach the driver. An empty table gives an empty one.
+    a count and a checksum reach the driver. Least neighbours combine on the map side; the rows of a hub (a node with very many
+    links) meet only in a join with one row, which adaptive execution splits. An empty table gives an empty one.
     """
     now, before = checkpoint(edges.select("u", "v").where("u <> v").distinct()), None
     for _ in range(rounds):

@@ -4,7 +4,8 @@ Fingerprints are the majority bits of the 64-bit hashes of all word shingles. Tw
 ``budget`` = 2 bits differ in at most two of six blocks of 10 or 11 bits, so they agree on four.
 For each of the 15 choices of four blocks a binary trie over the bits, the chosen blocks first, is
 cut below those blocks: pairs under different nodes there have spent their error budget on this
-trie, and another of the 15 has them. The subtrees (at most 2^22 fingerprints, as they are distinct)
+trie, and another of the 15 has them. (The cut is what distributes the tries: 42 to 44 bits are settled by the
+node's key, and the traversal of pairs decides the other 20 to 22.) The subtrees (at most 2^22 fingerprints, as they are distinct)
 are dealt over the cluster; in each, node pairs are traversed together, one bit a step, adding the
 bits in which they differ and dropping pairs over the budget. A subtree reports at most one link for
 each of its fingerprints, to the root of a local union, so that no group is expanded into pairs.
@@ -185,6 +186,7 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept = found.where(F.col("__order.row") == F.col("component_id.row")).select(F.col("__order.row").alias("__row"))
     counts = kept.groupBy("__row").count().agg(F.max("count")).first()[0]
     rows = keyed.join(kept.distinct(), "__row", "left_semi")
-    if counts and counts > 1:  # the same row occurs more than once
-        rows = rows.dropDuplicates(["__row"])
+    if counts and counts > 1:  # equal id and text more than once: the first by all its columns; elsewhere this would change nothing
+        whole = F.struct(*docs.columns)
+        return rows.groupBy("__row").agg(F.min_by(whole, F.to_json(whole)).alias("__one")).select("__one.*")
     return rows.select(*docs.columns)
