@@ -38,6 +38,11 @@ def leading_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], bro
     return rows.join(last, list(keys)).groupBy(*keys).agg(newer.alias("streak"))
 
 
+def with_first(df: DataFrame, key: str, value: str, name: str = "first") -> DataFrame:
+    """Rows with the least ``value`` of their key: an aggregate that combines on the map side and a join, so a key that very many rows share is not one window."""
+    return df.join(df.groupBy(key).agg(F.min(value).alias(name)), key, "left")
+
+
 def within_budget(df: DataFrame, order: Sequence[Column], cost: str, budget: float, keys: Sequence[str] = ()) -> DataFrame:
     """Rows whose running cost stays within the budget, in order, within their keys."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

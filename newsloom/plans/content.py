@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import first_match
 from ..functions.text import fingerprint, fold
 from ..operators import upsert
-from ..operators.latest import latest_by, leading_streak, top_per_group, winner, within_budget
+from ..operators.latest import latest_by, leading_streak, top_per_group, winner, with_first, within_budget
 from ..sources.tables import ITEMS_AS_OF, ITEMS_SQL, LOG_SQL, items, load, log
 from .registry import query
 
@@ -311,8 +311,7 @@ def work_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     doi = F.when(i % 3 == 0, F.concat(F.lit("doi:10.1000/"), (i % 97).cast("string")))
     pmid = F.when(i % 3 == 1, F.concat(F.lit("pmid:"), (i % 89 + 10_000).cast("string")))
     work = d.select("doc_id", F.coalesce(doi, pmid, F.concat(F.lit("title:"), F.md5("text"))).alias("work"))
-    first = F.min("doc_id").over(Window.partitionBy("work"))
-    return work.select("doc_id", "work", F.when(i != first, first).alias("duplicate_of"))
+    return with_first(work, "work", "doc_id").select("doc_id", "work", F.when(i != F.col("first"), F.col("first")).alias("duplicate_of"))
 
 
 @query("""WITH old AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS segment, c_acctbal FROM customer WHERE c_custkey % 5 <> 0),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import all_matches, first_match
 from ..functions.text import fold
+from ..operators.latest import with_first
 from ..sources.tables import EVENTS_AS_OF, ITEMS_AS_OF, ITEMS_SQL, LOG_SQL, items, load, log
 from .registry import query
 
@@ -166,9 +167,8 @@ def event_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT item_id, CASE WHEN copy > 1 THEN 'duplicate' WHEN toxic = 1 THEN 'integrity' WHEN quality IS NULL THEN 'no_evidence' WHEN route IS NULL THEN 'irrelevant' WHEN quality = 1 THEN 'eligible' ELSE 'refused' END AS status FROM d""")
 def research_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works by the first thing that keeps them out of the pool."""
-    first = F.min("item_id").over(Window.partitionBy("title"))
     rules = [("duplicate", F.col("item_id") > F.col("first")), ("integrity", F.col("toxic") == 1), ("no_evidence", F.col("quality").isNull()), ("irrelevant", F.col("route").isNull()), ("eligible", F.col("quality") == 1)]
-    return items(spark, sf_dir).withColumn("first", first).select("item_id", first_match(rules, "refused").alias("status"))
+    return with_first(items(spark, sf_dir).select("item_id", "title", "toxic", "quality", "route"), "title", "item_id").select("item_id", first_match(rules, "refused").alias("status"))
 
 
 @query(f"""WITH {ITEMS_SQL}, w AS (SELECT item_id, route, row_number() OVER (PARTITION BY route ORDER BY CASE WHEN quality = 1 THEN 0 ELSE 1 END, published DESC, item_id) AS place FROM items WHERE route IS NOT NULL)

@@ -61,10 +61,10 @@ def release_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT series_id, period, CASE WHEN count(DISTINCT (value, flag)) = 1 THEN 'measured' ELSE 'ambiguous' END AS state, CASE WHEN count(DISTINCT (value, flag)) = 1 THEN max(value) END AS value FROM t GROUP BY ALL""")
 def effective_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of the newest release; several different ones at once are ambiguous and give none."""
-    newest = F.max("release_rank").over(Window.partitionBy("series_id", "period"))
-    t = versions(spark, sf_dir).withColumn("newest", newest).where("release_rank = newest")
-    one = F.countDistinct(F.struct("value", "flag")) == 1
-    return t.groupBy("series_id", "period").agg(F.when(one, "measured").otherwise("ambiguous").alias("state"), F.when(one, F.max("value")).alias("value"))
+    r = versions(spark, sf_dir).groupBy("series_id", "period", "release_rank").agg(F.min(F.struct("value", "flag")).alias("low"), F.max(F.struct("value", "flag")).alias("high"))
+    t = r.groupBy("series_id", "period").agg(F.max(F.struct("release_rank", "low", "high")).alias("r"))
+    one = F.col("r.low") == F.col("r.high")
+    return t.select("series_id", "period", F.when(one, "measured").otherwise("ambiguous").alias("state"), F.when(one, F.col("r.low.value")).alias("value"))
 
 
 @query(f"""WITH {VERSIONS_SQL}, l AS (SELECT *, lag(value) OVER (PARTITION BY series_id, period ORDER BY {_ORDER_SQL}) AS before FROM versions), c AS (SELECT period, CASE WHEN abs(value - before) > 0.5 * abs(before) THEN 'major' WHEN value <> before THEN 'minor' ELSE 'confirmation' END AS severity, series_id FROM l WHERE before IS NOT NULL)
