@@ -76,7 +76,7 @@ def url_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", W.url_topic(F.col("url")).alias("topic"))
 
 
-@query("SELECT p_partkey, round(least(p_size, 40) * 1.0 + CASE WHEN length(p_name) > 8 THEN 15 ELSE 5 END + 2 * (p_partkey % 10), 4) AS score FROM part")
+@query("SELECT p_partkey, round(CAST(least(p_size, 40) AS DOUBLE) + CASE WHEN length(p_name) > 8 THEN 15 ELSE 5 END + 2 * (p_partkey % 10), 4) AS score FROM part")
 def editorial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density, description, and novelty twice."""
     score = F.least(F.col("p_size"), F.lit(40)) * 1.0 + F.when(F.length("p_name") > 8, 15).otherwise(5) + 2 * (F.col("p_partkey") % 10)

@@ -61,3 +61,17 @@ def meta_date(html: Column) -> Column:
 def body_text(html: Column) -> Column:
     """All text of a page without scripts and styles."""
     return plain(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", " "))
+
+
+def page_day(html: Column) -> Column:
+    """The day of a page: what its markup says (meta, time element, JSON-LD), else the first day that its text prints."""
+    from ..functions.wording import printed_days
+
+    return F.coalesce(meta_date(html), F.get(printed_days(body_text(html)), F.lit(0)))
+
+
+def unseen_entries(feeds: DataFrame, seen: DataFrame, xml: str = "xml", most: int = 30) -> DataFrame:
+    """Entries of paged feeds whose address is not among the seen ones (url): the first page that shows an entry has it."""
+    rows = feed_items(feeds, xml, most).where("url is not null and url <> ''")
+    first = rows.groupBy("url").agg(F.min(F.struct("page", "position", "title")).alias("f"))
+    return first.join(seen.select("url").distinct(), "url", "left_anti").select("url", F.col("f.page").alias("page"), F.col("f.title").alias("title"))
