@@ -182,9 +182,11 @@ def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = classes.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
     counts = w.groupBy("word").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    prefix = w.join(counts, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("word", "id", "n")
-    l, r = prefix.select("word", F.col("id").alias("left_id"), F.col("n").alias("ln")), prefix.select("word", F.col("id").alias("right_id"), F.col("n").alias("rn"))  # noqa: E741
+    prefix = w.join(counts, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("word", "id", "n", "place")
+    l, r = prefix.select("word", F.col("id").alias("left_id"), F.col("n").alias("ln"), F.col("place").alias("lp")), prefix.select("word", F.col("id").alias("right_id"), F.col("n").alias("rn"), F.col("place").alias("rp"))  # noqa: E741
     near = (F.col("left_id") < F.col("right_id")) & (F.least("ln", "rn") >= F.lit(least) * F.greatest("ln", "rn"))
+    # words are ordered alike on both sides, so what can be common is this word, those before, and the rest of the shorter side
+    near = near & (F.least("lp", "rp") + F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) >= F.ceil(F.lit(least / (1 + least)) * (F.col("ln") + F.col("rn"))))
     pairs = l.join(r, "word").where(near).select("left_id", "right_id").distinct()
     side = lambda s: classes.select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words"), F.col("items").alias(f"{s}_items"))
     both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")

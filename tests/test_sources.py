@@ -131,3 +131,12 @@ def test_duplicates_within_a_stream(spark, tmp_path):
     assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
     history = spark.range(10).select((F.col("id") % 4).alias("key"), "id")
     assert sorted(r["id"] for r in touched(rows.where("key = 1"), history, ["key"]).collect()) == [1, 5, 9]
+
+
+def test_table_functions(spark):
+    from newsloom.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame([(1, "<h2>A &amp; b</h2><a href='/x'><b>one</b></a><a href='/y'>two</a>"), (2, None)], "id int, html string").createOrReplaceTempView("some_pages")
+    assert [tuple(r) for r in spark.sql("SELECT id, l.* FROM some_pages, LATERAL page_links(html) l ORDER BY place").collect()] == [(1, 0, "/x", "one"), (1, 1, "/y", "two")]
+    assert [tuple(r) for r in spark.sql("SELECT id, h.* FROM some_pages, LATERAL page_headings(html) h").collect()] == [(1, 0, 2, "A & b")]
