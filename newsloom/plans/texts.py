@@ -106,7 +106,7 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features(docs: DataFrame) -> DataFrame:
     """(doc_id, bucket) of the hashed words and word pairs of whole texts, each bucket once; a bucket is the end of a word's MD5."""
     words = docs.select("doc_id", T.tokens(F.col("text")).alias("words"))
-    feats = F.array_distinct(F.transform(F.concat("words", T.bigrams(F.col("words"))), lambda w: F.conv(F.right(F.md5(w.cast("binary")), F.lit(3)), 16, 10).cast("long")))
+    feats = F.array_distinct(F.transform(F.array_distinct(F.concat("words", T.bigrams(F.col("words")))), lambda w: F.conv(F.right(F.md5(w.cast("binary")), F.lit(3)), 16, 10).cast("long")))
     return words.select("doc_id", F.explode(feats).alias("bucket"))
 
 
