@@ -44,10 +44,15 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", markup.body_text(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, 0 AS position, 'Item ' || CAST(doc_id AS VARCHAR) AS title, 'https://example.com/' || CAST(doc_id AS VARCHAR) AS url FROM documents UNION ALL SELECT doc_id, 1, 'A & B', 'https://example.org/x' FROM documents")
+@query("""SELECT doc_id, 0 AS position, concat('Item ', doc_id, ' – é') AS title, concat('https://example.com/f/', doc_id) AS url, concat('Summary of ', doc_id) AS summary FROM documents WHERE doc_id % 3 <> 2
+UNION ALL SELECT doc_id, 1, 'A & B', CASE doc_id % 3 WHEN 0 THEN 'https://example.org/x' WHEN 1 THEN 'https://example.com/root' ELSE 'https://cdn.example.com/y' END, NULL FROM documents
+UNION ALL SELECT doc_id, 3, 'By identity', concat('urn:', doc_id), NULL FROM documents""")
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of feeds in both dialects, written from the documents."""
-    i = F.col("doc_id").cast("string")
-    xml = F.concat(F.lit("<rss><item><title><![CDATA[Item "), i, F.lit("]]></title><link>https://example.com/"), i, F.lit("</link></item><entry><title>A &amp; B</title><link rel='alternate' href='https://example.org/x'/></entry></rss>"))
-    feeds = load(spark, sf_dir, "documents").select("doc_id", xml.alias("xml"))
-    return markup.feed_items(feeds).select("doc_id", "position", "title", "url")
+    """Entries of feeds in both dialects, written from the documents: links of every kind, entries without title or link, references by number."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    first = F.concat(F.lit("<item>"), F.when(k != 2, F.concat(F.lit("<title><![CDATA[Item "), i, F.lit(" &#8211; &#xe9;]]></title>"))).otherwise(""), F.lit("<link>"), i, F.lit("</link><description>Summary of <b>"), i, F.lit("</b></description></item>"))
+    href = F.when(k == 0, "https://example.org/x").when(k == 1, "/root").otherwise("//cdn.example.com/y")
+    second = F.concat(F.lit("<entry><title>A &amp; B</title><link rel='alternate' href='"), href, F.lit("'/><id>urn:no</id></entry><item><title>No link</title></item>"))
+    third = F.concat(F.lit("<item><title>By identity</title><guid>urn:"), i, F.lit("</guid></item>"))
+    feeds = load(spark, sf_dir, "documents").select("doc_id", F.lit("https://example.com/f/feed.xml?all=1").alias("base"), F.concat(F.lit("<rss>"), first, second, third, F.lit("</rss>")).alias("xml"))
+    return markup.feed_items(feeds, base="base").select("doc_id", "position", "title", "url", "summary")

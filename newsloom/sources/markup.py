@@ -9,10 +9,25 @@ from pyspark.sql import functions as F
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
+def numbered(c: Column) -> Column:
+    """Numeric character references decoded, in either base; numbers that name no character stay as they are."""
+
+    def one(part: Column) -> Column:
+        digits, base16 = F.regexp_extract(part, "^([0-9]{1,7});", 1), F.regexp_extract(part, "^[xX]([0-9a-fA-F]{1,6});", 1)
+        n = F.when(digits != "", digits.cast("int")).when(base16 != "", F.conv(base16, 16, 10).cast("int"))
+        sign = F.when(n == 38, "&amp;").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        named = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        return F.when(named, F.concat(sign, F.regexp_replace(part, "^[0-9a-fA-FxX]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(c, "&#")
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    return F.when(F.contains(c, F.lit("&#")), decoded).otherwise(c)
+
+
 def plain(c: Column) -> Column:
-    """Markup to text: CDATA opened, tags to spaces, common references decoded, white space single."""
+    """Markup to text: CDATA opened, tags to spaces, references by number and the common ones by name decoded once, white space single."""
     out = F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    out = numbered(F.regexp_replace(out, r"(?s)<[^>]*>", " "))
     for name, sign in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
@@ -24,19 +39,40 @@ def _first(block: Column, *tags: str) -> Column:
     return F.coalesce(*(F.when(f != "", f) for f in found))
 
 
-def feed_items(feeds: DataFrame, xml: str = "xml", most: int = 30) -> DataFrame:
-    """(other columns, position, title, url, summary, published) of the first ``most`` entries of RSS and Atom feeds."""
+def absolute(base: Column, href: Column) -> Column:
+    """A link as an absolute address; null without a link, and where neither it nor the base has a scheme."""
+    root = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<![:/])/[^/]*$", "")
+    found = (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(root == "", None)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(root, "^([a-zA-Z]+:)", 1), href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .otherwise(F.concat(folder, F.lit("/"), href))
+    )
+    return F.when(href != "", found)
+
+
+def feed_items(feeds: DataFrame, xml: str = "xml", most: int = 30, base: str | None = None) -> DataFrame:
+    """(other columns, position, title, url, summary, published) of the first ``most`` entries of RSS and Atom feeds.
+
+    The address is a link's href, else its text, else the entry's identity; with ``base`` (a column), relative ones are
+    completed. Entries without a title or an address are no items. 30 entries and 500 characters are fixed values.
+    """
     entries = F.slice(F.regexp_extract_all(xml, F.lit(r"(?is)(<(?:item|entry)\b.*?</(?:item|entry)>)"), 1), 1, most)
     rows = feeds.select(*(c for c in feeds.columns if c != xml), F.posexplode(entries).alias("position", "block"))
     b = F.col("block")
     href = F.regexp_extract(b, r"""(?is)<link\b[^>]*href=["']([^"']+)["']""", 1)
-    url = F.coalesce(_first(b, "link"), F.when(href != "", href), _first(b, "guid", "id"))
-    return rows.select(*(c for c in rows.columns if c != "block"), _first(b, "title").alias("title"), url.alias("url"), F.substring(_first(b, "description", "summary", "content"), 1, 500).alias("summary"), _first(b, "pubDate", "published", "updated", "dc:date").alias("published"))
+    url = F.coalesce(F.when(href != "", href), _first(b, "link"), _first(b, "guid", "id"))
+    url = absolute(F.col(base), url) if base else url
+    out = rows.select(*(c for c in rows.columns if c != "block"), _first(b, "title").alias("title"), url.alias("url"), F.substring(_first(b, "description", "summary", "content"), 1, 500).alias("summary"), _first(b, "pubDate", "published", "updated", "dc:date").alias("published"))
+    return out.where("title is not null and url is not null")
 
 
-def sitemap_urls(maps: DataFrame, xml: str = "xml") -> DataFrame:
-    """(other columns, url, last_modified, news_title) of the entries of sitemaps, news sitemaps too."""
-    rows = maps.select(*(c for c in maps.columns if c != xml), F.explode(F.regexp_extract_all(xml, F.lit(r"(?is)(<url>.*?</url>)"), 1)).alias("block"))
+def sitemap_urls(maps: DataFrame, xml: str = "xml", most: int | None = None) -> DataFrame:
+    """(other columns, url, last_modified, news_title) of the entries of sitemaps; of news sitemaps the first ``most`` are wanted (40 as a rule)."""
+    blocks = F.regexp_extract_all(xml, F.lit(r"(?is)(<url>.*?</url>)"), 1)
+    rows = maps.select(*(c for c in maps.columns if c != xml), F.explode(F.slice(blocks, 1, most) if most else blocks).alias("block"))
     b = F.col("block")
     return rows.select(*(c for c in rows.columns if c != "block"), _first(b, "loc").alias("url"), F.to_date(F.substring(_first(b, "lastmod", "news:publication_date"), 1, 10)).alias("last_modified"), _first(b, "news:title").alias("news_title"))
 

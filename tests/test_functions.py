@@ -117,6 +117,10 @@ def test_markup(spark):
     rss = "<rss><item><title><![CDATA[A <b>x</b>]]></title><link>http://a/1</link><description>d &amp; e</description><pubDate>Mon</pubDate></item><item><title>B</title><guid>http://a/2</guid></item></rss>"
     got = markup.feed_items(spark.createDataFrame([(1, rss), (2, None), (3, "")], "id int, xml string")).orderBy("position").collect()
     assert [(r["title"], r["url"], r["summary"]) for r in got] == [("A x", "http://a/1", "d & e"), ("B", "http://a/2", None)]
+    feeds = spark.createDataFrame([("https://a.org/x/feed?p=1", "<item><title>t</title><link>y</link></item>"), ("https://a.org", "<item><title>t</title><link>/y</link></item>"), ("https://a.org/x/", "<entry><title>t</title><link href='//b.org/y'/></entry>"), ("", "<item><title>t</title><link>y</link></item>"), ("https://a.org", "<item><link>y</link></item><item><title>t</title></item>")], "base string, xml string")
+    assert sorted(r["url"] for r in markup.feed_items(feeds, base="base").collect()) == ["https://a.org/x/y", "https://a.org/y", "https://b.org/y"]
+    for text, out in (("&#65;&#x42;c", "ABc"), ("&#38;lt; &#38;", "&lt; &"), ("&#0; &#xD800; &#99999999; &#; &#12", "&#0; &#xD800; &#99999999; &#; &#12"), ("&#x1F600;", "😀"), ("&#1114112;", "&#1114112;"), ("", ""), (None, None)):
+        assert spark.createDataFrame([(text,)], "t string").select(markup.plain(F.col("t"))).first()[0] == out
     site = "<urlset><url><loc>http://a/x</loc><lastmod>2024-01-02T00:00:00Z</lastmod></url></urlset>"
     assert markup.sitemap_urls(spark.createDataFrame([(site,)], "xml string")).first()["last_modified"] == datetime.date(2024, 1, 2)
     page = '<html><head><title>T &amp; U</title><meta property="article:published_time" content="2024-03-04"></head><script>x<y</script><p>Hi <a href="/l">link</a></p></html>'
