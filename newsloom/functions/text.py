@@ -86,6 +86,23 @@ def pmid(c: Column) -> Column:
     return F.when(found != "", found)
 
 
+def article_doi(url: Column) -> Column:
+    """The DOI that an article's address names or, at one publisher, implies; null if none."""
+    own = F.regexp_extract(F.lower(url), r"^https?://(?:www\.)?nature\.com/articles/(s[0-9]{5}-[0-9]{3}-[0-9]{4,6}-[0-9a-z]|d[0-9]{5}-[0-9]{3}-[0-9]{5}-[0-9])(?:[/?#]|$)", 1)
+    return F.coalesce(doi(F.coalesce(F.try_url_decode(url), url)), F.when(own != "", F.concat(F.lit("10.1038/"), own)))
+
+
+def original_study(html: Column) -> Column:
+    """(doi, link) of the study that a page reports on: its metadata, then a labelled DOI, then a link to one, then a link to the literature service."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda m: m.rlike("""(?i)(?:name|property)=["'](?:citation_doi|dc\\.identifier)["']"""))
+    meta = F.get(F.filter(F.transform(tags, lambda m: doi(F.regexp_extract(m, """(?i)content=["']([^"']+)["']""", 1))), lambda d: d.isNotNull()), F.lit(0))
+    labelled = doi(F.regexp_extract(html, r"(?i)(?:\bDOI\b|Journal reference|Journal information)[^<]{0,40}(?:<[^>]+>\s*){0,3}[^<]{0,40}?(10\.[0-9]{4,9}/[^\s\"'<>]+)", 1))
+    linked = doi(F.regexp_extract(html, r"""(?i)href=["']https?://(?:dx\.)?doi\.org/(10\.[0-9]{4,9}/[^"'<>\s]+)["']""", 1))
+    service = F.regexp_extract(html, r"""(?i)href=["'](https?://pubmed\.ncbi\.nlm\.nih\.gov/[0-9]{1,9}/?)["']""", 1)
+    found = F.coalesce(meta, labelled, linked)
+    return F.struct(found.alias("doi"), F.coalesce(F.concat(F.lit("https://doi.org/"), found), F.when(service != "", service)).alias("link"))
+
+
 def work_key(doi_: Column, pmid_: Column, title: Column) -> Column:
     """One key a work: its DOI, else its PMID, else its folded title."""
     return F.coalesce(F.concat(F.lit("doi:"), doi_), F.concat(F.lit("pmid:"), pmid_), F.concat(F.lit("title:"), F.regexp_replace(fold(title), "[^a-z0-9]+", " ")))

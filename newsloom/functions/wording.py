@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import MONTHS
+from .dates import MONTHS, TURKISH_MONTHS
 from .text import fold
 
-#: Words that tell Turkish and English apart, titles that go before names, months as they are printed in Turkish.
+#: Words that tell Turkish and English apart, titles that go before names.
 TURKISH = ("ve", "bir", "için", "ile", "olarak", "bu", "da", "de")
 ENGLISH = ("the", "and", "of", "for", "with", "in", "to", "is")
 HONORIFICS = "^((prof|dr|doc|assoc|mr|mrs|ms)[. ]+)+"
-TURKISH_MONTHS = ("ocak", "subat", "mart", "nisan", "mayis", "haziran", "temmuz", "agustos", "eylul", "ekim", "kasim", "aralik")
 
 
 def actor_name(c: Column) -> Column:

@@ -143,12 +143,32 @@ def test_stream_equals_batch(spark, small):
     assert {(str(r["window_start"]), r["family"]): r["n"] for r in QUERIES["stream_signals"](spark, small).collect()} == batch
 
 
-@pytest.mark.parametrize("said, day", [("Deadline: 5.3.2026 and due 7/4/2026", "2026-04-07"), ("apply by 3 March", "2026-03-03"), ("closes 1 Jan", "2027-01-01"), ("closes 1 Jan 2030", "2030-01-01"), ("held on 3 March 2026", None), ("due 31.2.2026", None), ("", None)])
+@pytest.mark.parametrize("said, day", [("Deadline: 5.3.2026 and due 7/4/2026", "2026-04-07"), ("apply by 3 March", "2026-03-03"), ("closes 1 Jan", "2027-01-01"), ("closes 1 Jan 2030", "2030-01-01"), ("held on 3 March 2026", None), ("due 31.2.2026", None), ("", None),
+    ("5 Mart 2026 tarihine kadar başvurun", "2026-03-05"), ("Son başvuru: Eylül 7", "2026-09-07"), ("Deadline is March 15th, 2026", "2026-03-15"), ("Until " + "x" * 38 + " 5.3.2026", "2026-03-05"), ("Until " + "x" * 39 + " 5.3.2026", None), ("5.3.2026 " + "x" * 18 + " until then", "2026-03-05"), ("5.3.2026 " + "x" * 19 + " until then", None), ("deadline 5.3.1999", None)])
 def test_deadline(spark, said, day):
     row = spark.createDataFrame([(said, datetime.date(2026, 2, 1))], "t string, p date")
     assert row.select(dates.deadline(F.col("t"), F.col("p"))).first()[0] == (day and datetime.date.fromisoformat(day))
 
 
+def test_original_study(spark):
+    pages = [("<meta property='og:title' content='10.1/x'>", (None, None)), ("<meta name='dc.identifier' content='none'><p>DOI <i>10.5555/Ab.</i></p>", ("10.5555/ab", "https://doi.org/10.5555/ab")), ("", (None, None)), (None, (None, None))]
+    for page, found in pages:
+        row = spark.createDataFrame([(page,)], "h string").select(text.original_study(F.col("h")).alias("s")).first()["s"]
+        assert tuple(row) == found
+
+
+def test_constraints_on_odd_rows(spark):
+    from newsloom.operators import constraints as C
+
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "i int, k string")
+    assert [(r["k"], r["rows"]) for r in C.repeated(df, ["k"]).collect()] == [(None, 2)]
+    assert sorted(r["i"] for r in C.orphans(df, df.where("i <> 2"), ["k"]).collect()) == [1, 2]
+    nothing = spark.createDataFrame([], "value_state string, numeric_value double, text_value string, lower_bound double, upper_bound double, interval_type string, status_flag string")
+    assert C.violations(nothing, C.VALUE_RULES).count() == 0
+    empty = spark.createDataFrame([(None,) * 7, ("PRESENT", float("nan"), None, None, None, None, None)], nothing.schema)
+    assert sorted(r["broken"] for r in C.violations(empty, C.VALUE_RULES).collect()) == ["not_finite", "state"]
+
+
 def test_records(spark):
     from newsloom.sources import records
 
