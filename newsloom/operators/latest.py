@@ -52,3 +52,25 @@ def within_budget(df: DataFrame, order: Sequence[Column], cost: str, budget: flo
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group with their rank."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col(rank) <= n)
+
+
+def spread(df: DataFrame, target: str, family: str, unit: str, rank: Column, families: Sequence[str], cap: int, values: Sequence[str] = ()) -> DataFrame:
+    """(target, family, unit, values) of the rows that a pass over each target's rows by ``rank`` takes: no unit twice, at most ``cap`` of a family.
+
+    A row whose family is full leaves its unit free for another family, so the pass is one fold. It reads few rows: the first
+    of each (family, unit), and of these the first cap x families of a family, as no more than that many units can be taken.
+    Both cuts are exact and made before the shuffle, so a hot target sends each task's few best rows. Rows of other families
+    take no part; null units are one unit.
+    """
+    rows = df.where(F.col(family).isin(*families)).groupBy(target, family, unit).agg(F.min(F.struct(rank.alias("rank"), *values)).alias("first"))
+    place = F.row_number().over(Window.partitionBy(target, family).orderBy("first.rank"))
+    few = rows.withColumn("__place", place).where(F.col("__place") <= cap * len(families))
+    one = F.struct(F.col("first.rank").alias("rank"), F.col(family).alias("family"), F.col(unit).alias("unit"), F.struct(*(F.col(f"first.{v}").alias(v) for v in values), F.lit(True).alias("__taken")).alias("values"))
+    listed = few.groupBy(target).agg(F.array_sort(F.collect_list(one)).alias("rows"))
+
+    def step(taken: Column, x: Column) -> Column:
+        room = F.size(F.filter(taken, lambda t: t["family"] == x["family"])) < cap
+        return F.when(room & ~F.exists(taken, lambda t: t["unit"].eqNullSafe(x["unit"])), F.array_append(taken, x)).otherwise(taken)
+
+    taken = F.aggregate("rows", F.slice("rows", 1, 0), step)
+    return listed.select(target, F.explode(taken).alias("t")).select(target, F.col("t.family").alias(family), F.col("t.unit").alias(unit), *(F.col(f"t.values.{v}").alias(v) for v in values))

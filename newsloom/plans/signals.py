@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import all_matches, first_match
+from ..operators.latest import spread
 from ..sources.tables import EVENTS_AS_OF, ITEMS_SQL, LOG_SQL, items, log
 from .registry import query
 
@@ -108,6 +109,15 @@ def family_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(units, ["user_id", "event_type"], order, 2).select("user_id", F.col("event_type").alias("family"), "event_id")
 
 
+@query(f"""WITH {LOG_SQL}, l AS (SELECT user_id % 40 AS concept, list([{{'family': event_type, 'unit': k, 'event_id': event_id}}] ORDER BY day DESC, event_id) AS rows FROM log GROUP BY 1),
+t AS (SELECT concept, unnest(list_reduce(rows, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.family = x[1].family)) < 3 AND len(list_filter(a, lambda y: y.unit = x[1].unit)) = 0 THEN list_concat(a, x) ELSE a END, list_filter(rows[1], lambda y: false))) AS r FROM l)
+SELECT concept, r.family AS family, r.unit AS unit, r.event_id AS event_id FROM t""")
+def spread_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three representatives of each family, newest first, none of them from an origin unit that another one has."""
+    rows = log(spark, sf_dir).select((F.col("user_id") % 40).alias("concept"), F.col("event_type").alias("family"), F.col("k").alias("unit"), "day", "event_id")
+    return spread(rows, "concept", "family", "unit", F.struct((-F.unix_date("day")).alias("age"), "event_id"), ("view", "signup", "click", "error", "purchase"), 3, ["event_id"])
+
+
 @query(f"""WITH {LOG_SQL} SELECT CAST(7 AS INTEGER) AS days, day_start AS window_start, event_type AS family, count(*) AS n, count(DISTINCT user_id) AS actors FROM (SELECT *, DATE '2024-01-01' + CAST(7 * floor(date_diff('day', DATE '2024-01-01', day) / 7.0) AS INTEGER) AS day_start FROM log) GROUP BY ALL""")
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly aggregate as a stream reads it: all files at once, then to the end."""

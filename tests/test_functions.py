@@ -157,6 +157,24 @@ def test_original_study(spark):
         assert tuple(row) == found
 
 
+def test_spread_is_the_greedy_pass(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.choice("abcd"), rng.choice([None, *range(9)]), i) for i in range(400)]
+    families, cap = ("a", "b", "c"), 2
+    expected = set()
+    for target in range(3):
+        units, full = set(), dict.fromkeys(families, 0)
+        for _, f, u, i in sorted((r for r in rows if r[0] == target), key=lambda r: r[3]):
+            if f in full and full[f] < cap and u not in units:
+                units.add(u)
+                full[f] += 1
+                expected.add((target, f, u, i))
+    df = spark.createDataFrame(rows, "target int, family string, unit int, i int")
+    got = latest.spread(df.repartition(5), "target", "family", "unit", F.col("i"), families, cap, ["i"])
+    assert {tuple(r) for r in got.collect()} == expected and got.count() == len(expected)
+    assert latest.spread(df.where("false"), "target", "family", "unit", F.col("i"), families, cap, ["i"]).count() == 0
+
+
 def test_constraints_on_odd_rows(spark):
     from newsloom.operators import constraints as C
 
