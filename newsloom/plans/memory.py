@@ -142,7 +142,8 @@ def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, other_id, ratio) in both directions: titles of other sources whose sequences are alike to 0.8 and more.
 
     Equal titles of a source are one representative. Titles of nearly the same length that share their first or last twelve characters meet;
-    the ratio, which has no native form, is taken in Arrow batches of those pairs alone.
+    the ratio, which has no native form, is taken in Arrow batches of those pairs alone. A pair that differs at both ends is not found:
+    at sf0.001 there is none, at sf0.01 one of 620.
     """
     t = items(spark, sf_dir).where(F.length("title") >= 24).groupBy("source_id", "title").agg(F.min("item_id").alias("item_id"))
     ends = F.array(F.concat(F.lit("<"), F.left("title", F.lit(12))), F.concat(F.lit(">"), F.right("title", F.lit(12))))

@@ -298,3 +298,51 @@ def test_stream_reads_its_table_alone(spark, tmp_path):
     for name in ("events", "events_old"):
         rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     assert [(r["n"], r["actors"]) for r in weekly_signals(spark, f"{tmp_path}/events.parquet").collect()] == [(3, 3)]
+
+
+def test_cross_links_against_all_pairs(spark, small):
+    import difflib
+
+    from newsloom.plans.registry import QUERIES
+    from newsloom.sources.tables import items
+
+    first: dict[tuple, int] = {}
+    for r in items(spark, small).select("source_id", "title", "item_id").collect():
+        if len(r["title"]) >= 24:
+            key = (r["source_id"], r["title"])
+            first[key] = min(first.get(key, r["item_id"]), r["item_id"])
+    rows, expected = sorted((i, *key) for key, i in first.items()), set()
+    for n, (i, source, title) in enumerate(rows):
+        for j, other_source, other in rows[n + 1 :]:
+            if source != other_source and min(len(title), len(other)) >= 0.66 * max(len(title), len(other)):
+                match = difflib.SequenceMatcher(None, title, other)
+                if match.quick_ratio() >= 0.8 and match.ratio() >= 0.8:
+                    expected |= {(i, j), (j, i)}
+    assert expected and {(r["item_id"], r["other_id"]) for r in QUERIES["cross_links"](spark, small).collect()} == expected
+
+
+def test_training_against_plain_steps(spark):
+    """The model's folds, by the same gradient steps written out over sets of words."""
+    import math
+
+    from newsloom.plans import texts
+
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma"]
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.sample(words, 3)), rng.randrange(2)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality int")
+    buckets = {r["doc_id"]: r["b"] for r in texts._features(df.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list("bucket").alias("b")).collect()}
+    got = {r["fold"]: r for r in texts._validated(df.select("doc_id", "text"), df.select("doc_id", "quality"), epochs=7).collect()}
+    for fold in range(5):
+        w: dict = {}
+        score = lambda i, w=w: 1 / (1 + math.exp(-sum(w.get(b, 0.0) for b in [*buckets[i], "bias"])))
+        for epoch in range(7):
+            for i, _, label in docs:
+                if i % 5 != fold:
+                    error = score(i) - label
+                    for b in [*buckets[i], "bias"]:
+                        w[b] = w.get(b, 0.0) - 0.2 / (1 + 0.2 * epoch) * (error + 0.001 * w.get(b, 0.0))
+        tested = [(score(i), label) for i, _, label in docs if i % 5 == fold]
+        assert got[fold]["n"] == len(tested) == 8
+        assert got[fold]["mae"] == pytest.approx(sum(abs(p - label) for p, label in tested) / 8)
+        assert got[fold]["accuracy"] == pytest.approx(sum((p >= 0.5) == label for p, label in tested) / 8)
