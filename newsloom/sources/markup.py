@@ -19,9 +19,12 @@ def numbered(c: Column) -> Column:
         named = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
         return F.when(named, F.concat(sign, F.regexp_replace(part, "^[0-9a-fA-FxX]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
 
-    parts = F.split(c, "&#")
-    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
-    return F.when(F.contains(c, F.lit("&#")), decoded).otherwise(c)
+    def whole(text: Column) -> Column:
+        parts = F.split(text, "&#")
+        decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+        return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+
+    return F.get(F.transform(F.array(c), whole), F.lit(0))  # the text stands in the plan once
 
 
 def plain(c: Column) -> Column:
@@ -36,7 +39,7 @@ def plain(c: Column) -> Column:
 def _first(block: Column, *tags: str) -> Column:
     """Content of the first of the tags that is there and not empty."""
     found = [plain(F.regexp_extract(block, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)) for t in tags]
-    return F.coalesce(*(F.when(f != "", f) for f in found))
+    return F.get(F.filter(F.array(*found), lambda f: f != ""), F.lit(0))
 
 
 def absolute(base: Column, href: Column) -> Column:
