@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, extraction, langid, packing, quality, secrets, simhash, tokens
+from . import ann, chat, decontaminate, divergence, extraction, langid, packing, quality, secrets, simhash, tokens
 from .common import held_out, table
 
 
@@ -80,5 +80,33 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_simhash, op5_token_counts, op6_packing, op7_extraction, op8_chat, op9_secrets, op10_neighbours)}
-SQL: dict[str, str] = {"op8_chat": _OP8_SQL}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+_OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), words AS (SELECT d, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS total FROM kept GROUP BY lang),
+groups_ AS (SELECT DISTINCT lang, source FROM docs),
+held AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM held GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(h.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // (l.total + 5 * l.v) AS q
+  FROM groups_ g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+), distances AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_simhash, op5_token_counts, op6_packing, op7_extraction, op8_chat, op9_secrets, op10_neighbours, op12_divergence)}
+SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op12_divergence": _OP12_SQL}

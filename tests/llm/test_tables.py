@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, chat, extraction, langid, queries, secrets, simhash, tokens
+from newsloom.llm import ann, chat, divergence, extraction, langid, queries, secrets, simhash, terms, tokens
 
 
 def table(spark, folder, name):
@@ -424,3 +424,53 @@ def test_language_fit_ignores_held_out(spark, medium):
     taught = docs.where(~held_out())
     noisy = taught.unionByName(docs.where(held_out()).withColumn("lang", F.lit(None).cast("string")))
     assert np.allclose(langid.fit(taught).prototypes, langid.fit(noisy).prototypes)
+
+
+# --- source divergence
+
+
+def test_divergence(spark, duck, medium):
+    """All rows against plain SQL over all (source, term) pairs."""
+    cols = ["lang", "source", "part", "item", "value", "rank"]
+    got = sorted(map(tuple, queries.op12_divergence(spark, medium).select(cols).collect()))
+    assert got == sorted(duck.execute(queries.SQL["op12_divergence"]).df()[cols].itertuples(index=False, name=None))
+
+
+def test_divergence_odd(spark):
+    """Null languages, sources and texts, groups without terms, a lone source, clashing columns, letters outside ASCII, an empty table."""
+    rows = [("en", "a", "Été été THE the x1y")] * 3 + [("en", "b", "the THE")] * 2 + [("en", "c", None), (None, None, "été"), ("de", "lone", "die die"), ("de", "lone", "die")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").withColumns({"term": F.lit(1), "n": F.lit("x"), "doc_id": F.lit(None)})
+    got = {(r["lang"], r["source"], r["part"], r["item"]): (r["value"], r["rank"]) for r in divergence.audit(docs, least=2).collect()}
+    n = {"a": {"été": 3, "Été": 0, "the": 6, "x": 3, "y": 3}, "b": {"the": 4}, "c": {}}
+    terms = ["the", "x", "y", "été", "Été"]
+    n["a"] = {"the": 6, "x": 3, "y": 3, "été": 3, "Été": 3}  # only A-Z are lower-cased
+    share = lambda c, total: 1 + 10**9 * (c + 5) // (total + 5 * len(terms))
+    p = {s: {t: share(c.get(t, 0), sum(c.values())) for t in terms} for s, c in n.items()}
+    for s in n:
+        others = sorted(((-sum(abs(p[s][t] - p[o][t]) for t in terms), o) for o in n if o != s))
+        for rank, (value, o) in enumerate(others, 1):
+            assert got["en", s, "pair", o] == (-value, rank)
+        total = {t: sum(c.get(t, 0) for c in n.values()) for t in terms}
+        q = {t: share(total[t], sum(total.values())) for t in terms}
+        marked = sorted(((q[t] - p[s][t], t.encode(), t) for t in terms if n[s].get(t) and p[s][t] > q[t]))
+        assert [(k[3], v) for k, v in sorted(got.items(), key=lambda x: x[1][1]) if k[:3] == ("en", s, "term")] == [(t, (-f, i)) for i, (f, _, t) in enumerate(marked, 1)]
+    assert not [k for k in got if k[0] != "en" and k[2] == "pair"]
+    assert divergence.audit(docs.limit(0)).count() == 0
+
+
+def test_divergence_bounds(spark, medium, monkeypatch):
+    """Small bounds on what tasks hold change nothing."""
+    docs = table(spark, medium, "documents").limit(300)
+    whole = sorted(map(tuple, divergence.audit(docs, least=5).collect()))
+    monkeypatch.setattr(divergence, "HELD_TERMS", 50)
+    monkeypatch.setattr(divergence, "HELD_PAIRS", 20)
+    monkeypatch.setattr(divergence, "LOT", 40)
+    assert sorted(map(tuple, divergence.audit(docs, least=5).collect())) == whole
+
+
+def test_long_texts_are_cut_between_terms(monkeypatch):
+    text = "Ab1 c'dé  x-YZ ".encode() * 40
+    whole = [t for part in terms.lists(text, terms.WORDS) for t in part]
+    monkeypatch.setattr(terms, "PIECE", 7)
+    assert [t for part in terms.lists(text, terms.WORDS) for t in part] == whole
+    assert whole[:6] == [b"ab1", b"c", "dé".encode(), b"x", b"yz", b"ab1"]
