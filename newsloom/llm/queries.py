@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, divergence, extraction, langid, packing, quality, secrets, simhash, tokens
+from . import ann, chat, decontaminate, divergence, extraction, langid, lexical, packing, quality, secrets, simhash, tokens
 from .common import held_out, table
 
 
@@ -108,5 +108,26 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORD
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_simhash, op5_token_counts, op6_packing, op7_extraction, op8_chat, op9_secrets, op10_neighbours, op12_divergence)}
-SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op12_divergence": _OP12_SQL}
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), totals AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS n, CAST(sum(len(words)) AS BIGINT) AS l FROM docs),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(words) AS term FROM docs) GROUP BY d, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, n),
+asked AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, * FROM benchmark)
+), scored AS (
+  SELECT i, item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(words) * n) // l)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (d), totals GROUP BY i, item_id, d, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_simhash, op5_token_counts, op6_packing, op7_extraction, op8_chat, op9_secrets, op10_neighbours, op12_divergence, op13_lexical)}
+SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op12_divergence": _OP12_SQL, "op13_lexical": _OP13_SQL}

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, chat, divergence, extraction, langid, queries, secrets, simhash, terms, tokens
+from newsloom.llm import ann, chat, divergence, extraction, langid, lexical, queries, secrets, simhash, terms, tokens
 
 
 def table(spark, folder, name):
@@ -474,3 +474,79 @@ def test_long_texts_are_cut_between_terms(monkeypatch):
     monkeypatch.setattr(terms, "PIECE", 7)
     assert [t for part in terms.lists(text, terms.WORDS) for t in part] == whole
     assert whole[:6] == [b"ab1", b"c", "dé".encode(), b"x", b"yz", b"ab1"]
+
+
+# --- ranked lexical search
+
+
+def lexical_by_hand(docs, items, k=50):
+    """Every document scored against every item."""
+    import math
+    from collections import Counter
+
+    words = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    bags = [(i, Counter(words(t))) for i, t in docs]
+    n_docs, n_terms = sum(bool(b) for _, b in bags), sum(b.total() for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, b in bags:
+            score = 0
+            for t in set(words(text)) & b.keys():
+                m = 50 + 50 * b.total() * n_docs // n_terms
+                score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * b[t] // (1000 * b[t] + 20 * m))
+            if score > 0:
+                scores.append((-score, i is None, i))
+        out += [(item, rank, i, -s) for rank, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return sorted(out, key=str)
+
+
+def test_lexical(spark, duck, medium):
+    cols = ["item_id", "rank", "doc_id", "score"]
+    got = sorted(map(tuple, queries.op13_lexical(spark, medium).select(cols).collect()))
+    assert got == sorted(duck.execute(queries.SQL["op13_lexical"]).df()[cols].itertuples(index=False, name=None))
+
+
+@pytest.mark.parametrize("lot", [1, 4000])
+def test_lexical_odd(spark, lot, monkeypatch):
+    """Nulls, ties, repeated rows and items, missing ids, very long texts, clashing columns, small shards, several lots."""
+    monkeypatch.setattr(lexical, "SHARD_ROWS", 7)
+    monkeypatch.setattr(lexical, "SHARD_PARTS", 2)
+    rng = np.random.default_rng(5)
+    vocabulary = ["Éa", "b", "c1", "7", "straße", "the", "x"]
+    docs = [(i % 40, " ".join(rng.choice(vocabulary, rng.integers(0, 12)))) for i in range(120)]
+    docs += [(None, "b c1 the"), (None, None), (500, None), (501, ""), (502, "B-c1\x00THE"), (502, "b c1 the"), (-3, "b c1 the"), (600, "the " * 500_000 + "x")]
+    items = [(1, "b the The éa ÉA"), (1, "b the The éa ÉA"), (2, None), (3, ""), (4, "nowhere"), (None, "x 7 straße"), (5, "c1, b; the...")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"rank": F.lit("r"), "item": F.lit(1), "task": F.lit(2), "score": F.lit(None)})
+    asked = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit(1))
+    got = sorted(map(tuple, lexical.search(frame, asked, k=9, lot=lot).collect()), key=str)
+    assert got == lexical_by_hand(docs, items, 9)
+    assert lexical.search(frame.limit(0), asked).count() == lexical.search(frame, asked.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 12))
+def test_wand_equals_all_scores(seed, k):
+    """The heap holds the best of all documents, and documents are skipped."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 300))
+    postings, whole = [], np.zeros(n, int)
+    for _ in range(int(rng.integers(1, 9))):
+        own = np.flatnonzero(rng.random(n) < rng.random() ** 2)
+        impact = rng.integers(1, int(rng.integers(2, 50)), len(own))
+        whole[own] += impact
+        if len(own):
+            postings.append((own.tolist(), impact.tolist(), int(impact.max())))
+    ids, heap = rng.permutation(n).tolist(), []
+    scored = lexical.walk(postings, ids, heap, k)
+    expected = sorted(((s, -i) for s, i in zip(whole.tolist(), ids) if s), reverse=True)[:k]
+    assert sorted(heap, reverse=True) == expected
+    assert scored <= np.count_nonzero(whole)
+
+
+def test_wand_skips():
+    common, rare = list(range(10_000)), list(range(0, 10_000, 500))
+    heap = []
+    assert lexical.walk([(common, [1] * 10_000, 1), (rare, [50] * 20, 50)], common, heap, 3) < 1_050  # up to the third rare one, then rare ones only
+    assert sorted(heap) == [(51, -1000), (51, -500), (51, 0)]
