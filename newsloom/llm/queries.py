@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, divergence, extraction, langid, lexical, packing, quality, secrets, simhash, tokens
+from . import ann, chat, decontaminate, divergence, extraction, langid, lexical, mtree, packing, quality, secrets, simhash, tokens
 from .common import held_out, table
 
 
@@ -80,6 +80,17 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+_OP11_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -129,5 +140,5 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_simhash, op5_token_counts, op6_packing, op7_extraction, op8_chat, op9_secrets, op10_neighbours, op12_divergence, op13_lexical)}
-SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op12_divergence": _OP12_SQL, "op13_lexical": _OP13_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_simhash, op5_token_counts, op6_packing, op7_extraction, op8_chat, op9_secrets, op10_neighbours, op11_exact, op12_divergence, op13_lexical)}
+SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op11_exact": _OP11_SQL, "op12_divergence": _OP12_SQL, "op13_lexical": _OP13_SQL}

@@ -2,8 +2,10 @@
 
 import hashlib
 import html
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, chat, divergence, extraction, langid, lexical, queries, secrets, simhash, terms, tokens
+from newsloom.llm import ann, chat, divergence, extraction, langid, lexical, mtree, queries, secrets, simhash, terms, tokens
 
 
 def table(spark, folder, name):
@@ -550,3 +552,80 @@ def test_wand_skips():
     heap = []
     assert lexical.walk([(common, [1] * 10_000, 1), (rare, [50] * 20, 50)], common, heap, 3) < 1_050  # up to the third rare one, then rare ones only
     assert sorted(heap) == [(51, -1000), (51, -500), (51, 0)]
+
+
+# --- exact search with M-trees
+
+
+def exact_by_hand(rows, k=5, every=50):
+    """Integer products of all pairs; an id's best vector counts."""
+    whole = {(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    size = Counter(len(v) for _, v in whole).most_common(1)[0][0] if whole else 0
+    whole = [(i, v) for i, v in whole if len(v) == size]
+    out = []
+    for q in {i for i, _ in whole if i % every == 0}:
+        best = {}
+        for i, v in whole:
+            if i != q:
+                best[i] = max(best.get(i, -(10**18)), *(sum(a * b for a, b in zip(u, v)) for j, u in whole if j == q))
+        out += [(q, rank, i, s) for rank, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1)]
+    return sorted(out)
+
+
+def test_exact_search(spark, duck, medium):
+    cols = ["query_id", "rank", "vec_id", "score"]
+    got = sorted(map(tuple, queries.op11_exact(spark, medium).select(cols).collect()))
+    assert got == sorted(duck.execute(queries.SQL["op11_exact"]).df()[cols].itertuples(index=False, name=None))
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_exact_search_odd(spark, few):
+    """Nulls, no numbers, another length, zero and equal vectors, repeated rows and ids, one vector in a third of the rows, many small trees."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(5, 6)) * 4
+    rows = [(int(i), (centres[i % 5] + rng.normal(size=6) * 0.2).tolist()) for i in range(200)]
+    rows += [(1000 + i, rows[7][1]) for i in range(120)] + [(50, rows[9][1]), (50, rows[9][1]), (3, rows[4][1]), (400, [0.0] * 6), (401, [-x for x in rows[0][1]])]
+    rows += [(None, rows[1][1]), (500, None), (550, []), (600, [1.0] * 5), (650, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (700, [math.nan] * 6), (750, [math.inf] + [0.0] * 5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "tree": F.lit("t"), "score": F.lit(0), "ids": F.lit(None)})
+    s = mtree.Settings(page=4, tree_rows=20, root_block=3, query_block=2) if few else mtree.Settings()
+    got = mtree.search(frame, F.col("vec_id") % 50 == 0, settings=s)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == exact_by_hand(rows)
+    assert mtree.search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == mtree.search(frame, F.lit(False)).count() == 0
+    lone = mtree.search(frame.where("vec_id = 0 or vec_id = 1"), F.col("vec_id") == 0).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in lone] == [(0, 1)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 9), st.integers(1, 6))
+def test_tree_bounds_hold(seed, page, dim):
+    """Radii cover the subtrees, stored distances are right, and the search equals all products."""
+    rng = np.random.default_rng(seed)
+    v = np.unique(rng.integers(-30, 30, (int(rng.integers(1, 200)), dim)), axis=0)
+    space = mtree.Space(dim, float((v * v).sum(1).max()))
+    pages = mtree.build(space, v, [[i] for i in range(len(v))], page)
+
+    def below(at):
+        p = pages[at]
+        own = p.vectors if p.level == 0 else np.concatenate([below(c) for c in p.children])
+        away = np.sqrt(((space.lifted(own) - space.lifted(p.centre[None])) ** 2).sum(1))
+        assert np.isclose(away.max(), p.cover) and len(p.vectors) <= page
+        assert np.allclose(np.sqrt(((space.lifted(p.vectors) - space.lifted(p.centre[None])) ** 2).sum(1)), p.apart)
+        assert all(np.isclose(p.reach[i], pages[c].cover) for i, c in enumerate(p.children))
+        return own
+
+    assert sorted(map(tuple, below(len(pages) - 1))) == sorted(map(tuple, v))
+    q, k = rng.integers(-40, 40, dim), int(rng.integers(1, 8))
+    found, computed = mtree.best_first(space, pages, q, k)
+    assert found == sorted(((int(x @ q), i) for i, x in enumerate(v)), key=lambda x: (-x[0], x[1]))[:k]
+    floor = found[-1][0]
+    assert mtree.best_first(space, pages, q, k, floor)[0] == found
+
+
+def test_tree_saves_products():
+    """Clustered vectors: most are never multiplied."""
+    rng = np.random.default_rng(0)
+    v = np.unique((rng.normal(size=(80, 16))[rng.integers(0, 80, 8000)] * 100 + rng.normal(size=(8000, 16)) * 5).astype(int), axis=0)
+    space = mtree.Space(16, float((v * v).sum(1).max()))
+    pages = mtree.build(space, v, [[i] for i in range(len(v))], 64)
+    computed = [mtree.best_first(space, pages, q, 5)[1] for q in v[::400]]
+    assert np.mean(computed) < 0.2 * len(v)
