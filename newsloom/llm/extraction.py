@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,10 @@ RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of the same group.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STEP = re.compile(r"""=\s*(["'])|>""")
+#: Elements around a block whose names are kept, the innermost ones.
+DEEPEST = 64
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
@@ -55,6 +59,45 @@ class Block:
     linked: float  # share of its characters inside links
 
 
+class Tags:
+    """Tags of a page in order, each character read a bounded number of times.
+
+    A quote opens a value only after an equals sign, and only if it is closed somewhere; once a tag has no end under this rule,
+    tags end at the next ``>`` up to the end of the page. A tag or comment without any end reaches to the end of the page.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends, before ``>``; -1 if nowhere."""
+        start = at
+        while self.quoted:
+            m = _STEP.search(self.page, at)
+            if m is None:
+                self.quoted = False
+            elif not m[1]:
+                return m.start()
+            else:
+                close = self.page.find(m[1], m.end())
+                at = close + 1 if close >= 0 else m.end()
+        return self.page.find(">", start)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closes, name, attributes) of the first tag from ``at`` on; comments and declarations have no name."""
+        m = _OPEN.search(self.page, at)
+        if m is None:
+            return None
+        if m[1] or m[2]:
+            mark = "-->" if m[1] else ">"
+            end = self.page.find(mark, m.end())
+            return m.start(), end + len(mark) if end >= 0 else len(self.page), False, "", ""
+        end = self._end(m.end())
+        if end < 0:
+            return m.start(), len(self.page), False, "", ""
+        return m.start(), end + 1, bool(m[3]), m[4].lower(), self.page[m.end() : end]
+
+
 def blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order, with white space made single."""
     out: list[Block] = []
@@ -62,25 +105,28 @@ def blocks(page: str | None) -> list[Block]:
     text: list[str] = []
     links = hidden = linked = at = 0
     page = page or ""
+    tags, opened = Tags(page), Counter()
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
-                out.append(Block(tuple(n for _, names in stack for n in names), whole, min(1.0, linked / len(whole))))
+                out.append(Block(tuple(n for _, names in stack[-DEEPEST:] for n in names), whole, min(1.0, linked / len(whole))))
         text.clear()
         linked = 0
 
     def close(i: int) -> None:
         nonlocal hidden, links
         for tag, _ in stack[i:]:
+            opened[tag] -= 1
             hidden -= tag in HIDDEN_TAGS
             links -= tag == "a"
         del stack[i:]
 
     def end_head() -> None:
-        close(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
+        if opened["head"]:
+            close(next(i for i, x in enumerate(stack) if x[0] == "head"))
 
     def put(piece: str) -> None:
         nonlocal linked
@@ -93,26 +139,23 @@ def blocks(page: str | None) -> list[Block]:
                 linked += len(piece)
 
     while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[/!?a-zA-Z]", rest)
-            put(rest[: cut.start()] if cut else rest)
+        found = tags.next(at)
+        if found is None:
+            put(page[at:])
             break
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, end, closes, tag, attributes = found
+        if start > at:
+            put(page[at:start])
+        at = end
         if not tag:
             continue
-        if not m[1] and tag not in HEAD_TAGS:
+        if not closes and tag not in HEAD_TAGS:
             end_head()
         if tag in BLOCK_TAGS:
             flush()
-        if m[1]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if i is not None:
-                close(i)
+        if closes:
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag == "br":
             put(" ")
@@ -127,10 +170,11 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[i][0] in BLOCK_TAGS:
                     break
         names = [tag]
-        if m[3]:
-            for q in _NAMES.finditer(m[3]):
+        if attributes:
+            for q in _NAMES.finditer(attributes):
                 names += [f".{w}" for w in re.split(r"[\s_-]+", (q[1] or q[2] or q[3] or "").lower()) if w]
         stack.append((tag, tuple(names)))
+        opened[tag] += 1
         hidden += tag in HIDDEN_TAGS
         links += tag == "a"
         if tag in RAW_TAGS:
