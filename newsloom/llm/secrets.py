@@ -162,12 +162,23 @@ def text_log_bound(run: str, alphabet: str) -> float:
 def parts(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Spans of runs outside ``taken``, whole and between separators."""
     out = set()
+    closed: list[list[int]] = []  # what is taken, in order and without overlaps
+    for a, b, _ in sorted(taken):
+        if closed and a <= closed[-1][1]:
+            closed[-1][1] = max(closed[-1][1], b)
+        else:
+            closed.append([a, b])
+    first = 0
     for m in _PART.finditer(text):
         free, at = [], m.start()
-        for a, b, _ in taken:
-            if a < m.end() and b > at:
-                free.append((at, a))
-                at = max(at, b)
+        while first < len(closed) and closed[first][1] <= at:
+            first += 1
+        for i in range(first, len(closed)):
+            a, b = closed[i]
+            if a >= m.end():
+                break
+            free.append((at, a))
+            at = max(at, b)
         for a, b in [*free, (at, m.end())]:
             if b - a >= LEAST:
                 out.add((a, b))
@@ -242,8 +253,10 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], passed: Limit | N
     if passed is None:
         passed = Limit.of(Counter(_class(p, b - a) for p, a, b in found), sum(b - a for _, a, b in found))
     out: list[tuple[int, int, str]] = []
+    covered = bytearray(len(text))
     for p, a, b in sorted(found):
-        if max(_class(p, b - a), -100_000) <= passed.last and not any(a < e and s < b for s, e, _ in out):
+        if max(_class(p, b - a), -100_000) <= passed.last and covered.find(1, a, b) < 0:
+            covered[a:b] = b"\1" * (b - a)
             out.append((a, b, "random"))
     return sorted(out)
 
