@@ -11,7 +11,7 @@ about 1 / sqrt(DIM) with any prototype by chance, so a text whose cosine with ev
 Texts of fewer than ``BRIEF`` distinct trigrams (a few words) tell too little to be refused.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text when nothing was
-learnt. Rows with a null label are not learnt from; of more than ``most`` labels the most frequent are learnt. Equal cosines go to the first language by name.
+learnt. Rows with a null label are not learnt from. Equal cosines go to the first language by name.
 Texts are read whole, in pieces; repeated rows and further columns change nothing.
 """
 
@@ -30,7 +30,7 @@ from .common import pieces, small_batches
 
 DIM = 1024
 PIECE = 1_000_000
-LABELS = 1_000
+HELD = 4_096  # sums by language that a task holds before it hands them on
 BRIEF = 50
 
 
@@ -130,16 +130,19 @@ class Profiles:
     plain: np.ndarray  # of length one
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", most: int = LABELS) -> Profiles:
-    """Prototypes from all rows with a label; one vector for each language reaches the driver."""
+def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang") -> Profiles:
+    """Prototypes from all rows with a label; one vector of 1,024 numbers for each language reaches the driver and every task."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("name"), F.col(text_col).alias("text"))
-    labels = [r["name"] for r in rows.groupBy("name").count().orderBy(F.desc("count"), "name").limit(most + 1).collect()]
-    if len(labels) > most:
-        rows = rows.where(F.col("name").isin(labels[:most]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["name", "v"])
+            sums.clear()
+
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             known = sorted(set(names))
@@ -149,8 +152,9 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang",
                 got = bundle(trigram_counts([texts[i] for i in picked], np.array([some[names[i]] for i in picked]), len(some)))
                 for x, i in some.items():
                     sums[x] = sums.get(x, 0) + got[i].astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["name", "v"])
+                if len(sums) > HELD:
+                    yield from emitted()
+        yield from emitted()
 
     sums = rows.mapInArrow(add, "name string, v array<double>")
     got = sums.select("name", F.posexplode("v").alias("i", "x")).groupBy("name", "i").agg(F.sum("x").alias("x"))
