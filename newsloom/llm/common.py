@@ -60,6 +60,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.md5(F.concat(named, held).cast("binary"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have; Spark reads names without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sampled(df: DataFrame, key: str | Column, bound: int) -> DataFrame:
     """About ``bound`` rows, chosen by a hash of ``key``; all rows if there are no more than that."""
     rows = df.count()

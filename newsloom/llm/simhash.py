@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_key, small_batches
+from .common import checkpoint, row_key, small_batches, unused
 from .components import components
 
 SEED = 42
@@ -180,13 +180,14 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row of each group with all columns: the one with the least id, one without an id only where the group has no other."""
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    found = groups(keyed.select(order.alias("__order"), F.col(text_col)), id_col="__order", text_col=text_col, words=words)
-    kept = found.where(F.col("__order.row") == F.col("component_id.row")).select(F.col("__order.row").alias("__row"))
-    counts = kept.groupBy("__row").count().agg(F.max("count")).first()[0]
-    rows = keyed.join(kept.distinct(), "__row", "left_semi")
+    name = unused(docs, "row_key")
+    keyed = docs.withColumn(name, row_key(id_col, text_col))
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(name).alias("row"))
+    found = groups(keyed.select(order.alias("order_key"), F.col(text_col).alias("whole")), id_col="order_key", text_col="whole", words=words)
+    kept = found.where(F.col("order_key.row") == F.col("component_id.row")).select(F.col("order_key.row").alias(name))
+    counts = kept.groupBy(name).count().agg(F.max("count")).first()[0]
+    rows = keyed.join(kept.distinct(), name, "left_semi")
     if counts and counts > 1:  # equal id and text more than once: the first by all its columns; elsewhere this would change nothing
         whole = F.struct(*docs.columns)
-        return rows.groupBy("__row").agg(F.min_by(whole, F.to_json(whole)).alias("__one")).select("__one.*")
+        return rows.groupBy(name).agg(F.min_by(whole, F.to_json(whole)).alias("one")).select("one.*")
     return rows.select(*docs.columns)

@@ -145,7 +145,12 @@ def test_language_of_other_scripts(spark):
     p = langid.fit(taught)
     got = langid.predict(taught.select(F.col("lang").alias("doc_id"), "text"), p).collect()
     assert all(r["doc_id"] == r["lang_pred"] for r in got)
-    assert langid.fit(taught, most=2).names == ("el", "ru")
+
+
+def test_language_learns_every_label(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 100)
+    rows = spark.range(1500).select(F.concat(F.lit("l"), "id").alias("lang"), F.concat_ws(" ", F.lit("text of"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    assert len(langid.fit(rows).names) == 1500
 
 
 def test_language_bundle_by_hand():
@@ -240,6 +245,22 @@ def test_representatives_by_rows(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([rows[i] for i in (0, 1, 3, 5)])
 
 
+def test_rows_with_clashing_columns(spark):
+    """Columns named as the operators name their own keep their values."""
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "p", "q"), (2, "a b c d e f", "y", "p", "q"), (3, "some other words stand here now", "z", "p", "q")], "doc_id long, text string, __row string, Row_Key string, order_key string")
+    assert sorted(map(tuple, simhash.representatives(docs).collect())) == sorted(map(tuple, docs.where("doc_id <> 2").collect()))
+    items = spark.createDataFrame([(0, "some other words stand here now")], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.clean(docs, items).collect())) == sorted(map(tuple, docs.where("doc_id < 3").collect()))
+
+
+def test_sample_of_rows_without_ids(spark):
+    """The bound holds where all rows share an id or have none."""
+    from newsloom.llm.common import sampled
+
+    rows = spark.range(0, 20_000, numPartitions=4).select(F.lit(None).cast("long").alias("id"))
+    assert 800 < sampled(rows, F.rand(7), 1_000).count() < 1_200
+
+
 @pytest.mark.parametrize("seed, spread", [(0, 64), (1, 6), (2, 12), (3, 1)])
 def test_trie_links_brute_force(seed, spread):
     rng = np.random.default_rng(seed)
@@ -477,6 +498,24 @@ def test_limit_over_the_corpus(spark):
     assert exact - 5 <= passed <= exact
 
 
+def test_many_spans_of_one_text():
+    """10 MB of hex lines in seconds; spans equal those of the plain overlap test."""
+    import time
+
+    rng = np.random.default_rng(0)
+    lines = rng.integers(0, 16, (300_000, 32))
+    text = "\n".join("".join(x) for x in np.array(list("0123456789abcdef"))[lines])
+    began = time.perf_counter()
+    base, more = secrets.scan_text(text)
+    assert len(base) == 300_000 and not more and time.perf_counter() - began < 30
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    text = " ".join("".join(x) for x in alphabet[rng.integers(0, 62, (200, 30))]) + " token=abcdefghijkl/" + "".join(alphabet[rng.integers(0, 62, 40)])
+    base, more = secrets.scan_text(text)
+    found = secrets.tested(text, base)
+    assert len(more) > 190 and all(not any(a < e and s < b for s, e, _ in base) for a, b, _ in more)
+    assert all(not any(a < e and s < b for s, e, _ in more if (s, e) != (a, b)) for a, b, _ in more) and {(a, b) for a, b, _ in more} <= {(a, b) for _, a, b in found}
+
+
 def test_secrets_odd(spark, odd, none):
     more = odd.select("doc_id", "text", "id").unionAll(spark.createDataFrame([(30, "x token = abcdefghijkl y", "z")], "doc_id long, text string, id string"))
     got = {r["doc_id"]: r for r in secrets.scan(more).collect()}

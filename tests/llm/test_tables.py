@@ -160,6 +160,27 @@ def test_blocks():
     assert b[0].path == ("ul", "li") and b[3].path == ("div",)
 
 
+def test_quotes_in_tags():
+    """A quote opens a value only after an equals sign and if it is closed; nothing else is lost."""
+    words = lambda page: [b.text for b in extraction.blocks(page)]
+    assert words("<p class=it's>Hello world here.</p><p>We don't stop now.</p><p>Third.</p>") == ["Hello world here.", "We don't stop now.", "Third."]
+    assert words('<a href=x title=5">Link five</a><p>next</p>') == ["Link five", "next"]
+    assert words('<p title = "a > b">one</p><p title=\'c>"d\'>two</p>') == ["one", "two"]
+    assert words('<p title="open>one</p><p>two</p>') == ["one", "two"]
+    assert words("<p>a <!-- <p>no</p> --> b <!DOCTYPE x> c</p><!-- open <p>no</p>") == ["a b c"]
+    assert words("one <b") == ["one"] and words("<p>1 < 2 and 3 > 2</p>") == ["1 < 2 and 3 > 2"]
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<a ='", '<a ="x', "<a =\"'>", "<!-- ", "<b ", "<b>", "<div>x", "</i><b>", "<b></i>", "<script>", "<p>it's <q x='>", "&lt "])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    extraction.blocks(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_invented_layouts(weights):
     rng = np.random.default_rng(1234)  # another seed than the training layouts'
     model, make = extraction.Labeller(weights), extraction.Features()
@@ -413,7 +434,7 @@ def test_pipeline_odd(spark, tmp_path):
 def test_stages_keep_columns(spark, small):
     import corpus_pipeline
 
-    docs = table(spark, small, "documents")
+    docs = table(spark, small, "documents").withColumns({"__row": F.lit("own"), "row_key": F.col("doc_id") + 1, "cell": F.lit(1)})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, small)
         assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
