@@ -313,41 +313,68 @@ def test_neighbours_with_many_copies(spark):
     assert got == [v for v, _ in nearest(np.arange(900), x.astype(float), 300, 20)]
 
 
-def test_neighbours_probe_little(spark, medium):
-    """Queries find enough in a part of the table, with bounded probes, at each of two sizes."""
+def searched(df, how):
+    """Result and hash functions of a search."""
+    hashing = []
+    real = ann.fit
+    ann.fit = lambda *a: hashing.append(real(*a)) or hashing[-1]
+    try:
+        return ann.search(df, F.col("vec_id") % 20 == 0, settings=how).toPandas(), hashing[0]
+    finally:
+        ann.fit = real
+
+
+def test_neighbours_visit_little(spark, medium):
+    """Queries find enough in part of the table, a part that falls with its size; ``visited`` counts all rows of the buckets that are named."""
     rows = table(spark, medium.replace("sf0.01", "sf0.1"), "embeddings").orderBy("vec_id").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    rng = np.random.default_rng(0)
+    more = rng.normal(size=(12_000, 64))
+    more /= np.linalg.norm(more, axis=1)[:, None]
     shares = []
-    for n, how in ((len(ids) // 2, ann.Settings()), (len(ids), ann.Settings()), (len(ids), ann.Settings(cell_rows=500, chunk_rows=100))):
-        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids[:n], x[:n])], "vec_id long, embedding array<double>")
-        hashing = []
-        real = ann.fit
-        ann.fit = lambda *a: hashing.append(real(*a)) or hashing[-1]
-        try:
-            got = ann.search(df, F.col("vec_id") % 20 == 0, settings=how).toPandas()
-        finally:
-            ann.fit = real
-        hit = sum(len(set(g["vec_id"]) & {v for v, _ in nearest(ids[:n], x[:n], int(np.flatnonzero(ids == q)[0]), 20)}) for q, g in got.groupby("query_id"))
-        assert hit >= 0.9 * 20 * got["query_id"].nunique()
-        shares.append(got.drop_duplicates("query_id")["scored"].mean() / n)
-        assert hashing[0].probed(x[:3]).shape[1] == 4 * hashing[0].probes <= 4 * how.most_probes
-    assert hashing[0].lead > 0 and shares[1] < shares[0] < 0.5 and shares[1] < 0.3
-
-
-@pytest.mark.parametrize("lead", [0, 1, 3])
-def test_probe_sequence_brute_force(lead):
-    """The first cells of the sequence are those of least cost among all steps."""
+    for some, how in ((x, ann.Settings()), (x, ann.Settings(cell_rows=500, chunk_rows=100)), (more, ann.Settings())):
+        n = len(some)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some)], "vec_id long, embedding array<double>")
+        got, hashing = searched(df, how)
+        hit = sum(len(set(g["vec_id"]) & {v for v, _ in nearest(np.arange(n), some, int(q), 20)}) for q, g in got.groupby("query_id"))
+        assert hit >= 0.9 * 20 * got["query_id"].nunique() and got["query_id"].nunique() == n // 20
+        shares.append(got.drop_duplicates("query_id")["visited"].mean() / n)
+        buckets = hashing.buckets(some)
+        for q in (0, 20, 400):
+            asked = hashing.probed(some[q : q + 1])[0]
+            assert len(asked) == hashing.tables and all(0 < len(set(a.tolist())) == len(a) <= how.most_probes for a in asked)
+            assert got[got["query_id"] == q]["visited"].iloc[0] == sum(np.isin(buckets[:, t], a).sum() for t, a in enumerate(asked))
+    assert shares[0] < 0.65 and abs(shares[1] - shares[0]) < 0.02 and shares[2] < 0.45
+
+
+@pytest.mark.parametrize("functions", [1, 2, 4])
+def test_probe_sequence_brute_force(functions):
+    """The first buckets of the sequence are those of most success among all."""
     from itertools import product
 
-    own = ann.Hashing(ann.Settings(), 6, 1.0, lead)
-    p = own.projected(0, np.random.default_rng(lead).normal(size=(4, 6)), True)
-    low = np.floor(p)
-    got = own.sequence(0, p, 9)
+    rng = np.random.default_rng(functions)
+    success = rng.normal(size=(4, functions, ann.CELLS))
+    own = ann.Hashing(ann.Settings(), 6, 1.0, 1, functions)
+    names, total = own.sequence(success, 9)
     for i in range(4):
-        steps = list(product((0, -1, 1), repeat=lead))
-        cost = [sum(0 if s == 0 else (p[i, j] - low[i, j]) ** 2 if s < 0 else (low[i, j] + 1 - p[i, j]) ** 2 for j, s in enumerate(step)) for step in steps]
-        cells = [int(own._cell(0, (low[i] + np.array([*step, *[0] * (32 - lead)]))[None]).view(np.int64)[0]) for step in steps]
-        assert got[i].tolist() == [cells[j] for j in np.argsort(cost, kind="stable")[:9]]
+        every = sorted(((-sum(success[i, j, c] for j, c in enumerate(cells)), sum(c * ann.CELLS**j for j, c in enumerate(cells))) for cells in product(range(ann.CELLS), repeat=functions)))[:9]
+        assert names[i].tolist() == [n for _, n in every] and np.allclose(total[i], [-c for c, _ in every])
+
+
+def test_success_is_a_chance():
+    """Over a function's cells, chances add up to one, and follow where neighbours fall."""
+    rng = np.random.default_rng(2)
+    q = rng.normal(size=(200, 16))
+    near = [(0.6 * v / np.linalg.norm(v) + rng.normal(size=(20, 16)) * 0.2) for v in q]
+    near = [v / np.linalg.norm(v, axis=1)[:, None] for v in near]
+    sample = rng.normal(size=(2000, 16))
+    sample /= np.linalg.norm(sample, axis=1)[:, None]
+    h = ann._fitted(ann.Hashing(ann.Settings(), 16, 1.0, middle=np.zeros(0), width=np.zeros(0)), q, near, sample, 2000)
+    chance = np.exp(h.success(q))
+    assert np.allclose(chance.sum(3), 1, atol=1e-6)
+    cells = np.stack([h.cells(h.projected(v, False)) for v in near])
+    for c in (1, 2):
+        assert abs((cells == c).mean() - chance[..., c].mean()) < 0.03
 
 
 def test_neighbours_with_repeated_rows(spark):
@@ -358,12 +385,12 @@ def test_neighbours_with_repeated_rows(spark):
     rows = [(i, x[i].tolist()) for i in range(60) for _ in range(3)] + [(7, x[7].tolist())] * 30 + [(i, second[i].tolist()) for i in range(30, 60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     score = np.maximum(x.astype(float) @ x[:30].T.astype(float), np.where(np.arange(60)[:, None] >= 30, second.astype(float) @ x[:30].T.astype(float), -np.inf))
-    for how in (ann.Settings(), ann.Settings(tables=1, width=0.05), ann.Settings(width=1e6, target=1.0), ann.Settings(chunk_rows=50, cell_rows=10)):
+    for how in (ann.Settings(), ann.Settings(most_tables=1, width=0.05), ann.Settings(target=1.0), ann.Settings(chunk_rows=50, cell_rows=10)):
         got = {}
         for r in ann.search(df, F.col("vec_id") < 30, settings=how).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append(r["vec_id"])
         assert set(got) == set(range(30)) and all(len(set(v)) == len(v) == 20 for v in got.values())
-        if how.width == 1e6:  # all rows meet in one bucket
+        if how.target == 1.0:  # the sample holds all queries, so the buckets of all their neighbours are visited
             assert got == {q: [i for i in np.argsort(-score[:, q], kind="stable").tolist() if i != q][:20] for q in range(30)}
 
 
