@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,17 +33,6 @@ def stem(w: Column) -> Column:
     return F.regexp_replace(cut, DOUBLED, "$1$2")
 
 
-def near(words: Column, stems: Sequence[str]) -> Column:
-    """True if all stems stand, in any order, in some run of words that is two longer than their number."""
-    kinds = list(dict.fromkeys(stems))
-    if not kinds:
-        return F.lit(False)
-    wanted, width = F.array(*(F.lit(s) for s in kinds)), len(stems) + 2
-    runs = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-    together = F.exists(runs, lambda i: F.size(F.array_intersect(wanted, F.slice(words, i, width))) == len(kinds))
-    return (F.size(F.array_intersect(wanted, words)) == len(kinds)) & together
-
-
 def bigrams(words: Column) -> Column:
     """Neighbouring words joined by an underscore."""
     return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit("_"), F.coalesce(b, F.lit(""))))).otherwise(F.array().cast("array<string>"))

@@ -110,28 +110,6 @@ def four_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("doc_id", *(F.round(h, 6).alias(h) for h in HEADS), F.round(doubt, 6).alias("uncertainty"))
 
 
-#: Units with their anchors: a unit is there if all stems of one of its anchors stand close together.
-UNITS = {"order": (("der", "die"), ("und",)), "place": (("los", "una"), ("del", "las")), "talk": (("les", "des"), ("que", "qui")), "time": (("onner",), ("thatth", "ing"))}
-
-
-def _near_sql(stems: tuple[str, ...]) -> str:
-    n, width = len(stems), len(stems) + 2
-    wanted = "[" + ", ".join(f"'{s}'" for s in stems) + "]"
-    return f"len(list_filter(range(1, greatest(len(w) - {width} + 1, 1) + 1), lambda i: len(list_intersect({wanted}, w[i:i + {width - 1}])) = {n})) > 0"
-
-
-_UNIT_SQL = " UNION ALL ".join(f"SELECT doc_id, '{u}' AS unit FROM t WHERE {' OR '.join(map(_near_sql, anchors))}" for u, anchors in UNITS.items())
-
-
-@query(f"""WITH t AS (SELECT doc_id, {_TOKENS % "substr(text, 1, 400)"} AS w FROM documents), h AS ({_UNIT_SQL}) SELECT t.doc_id, coalesce(unit, 'unassigned') AS unit FROM t LEFT JOIN h ON h.doc_id = t.doc_id""")
-def topic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each unit whose anchor stands in an item's opening (what is tagged at ingest), or one that says there is none."""
-    t = load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.substring("text", 1, 400)).alias("w"))
-    hit = lambda anchors: F.greatest(F.lit(False), *(T.near(F.col("w"), a) for a in anchors))
-    found = F.array_compact(F.array(*(F.when(hit(anchors), F.lit(u)) for u, anchors in UNITS.items())))
-    return t.select("doc_id", F.explode_outer(F.when(F.size(found) > 0, found)).alias("unit")).select("doc_id", F.coalesce("unit", F.lit("unassigned")).alias("unit"))
-
-
 #: Flags of a text, and the gates that stop it, in order.
 FLAGS = tuple((n, f"text LIKE '{p}'") for n, p in (
     ("link", "%http%"), ("mail", "%@%"), ("table", "%|%|%"), ("shout", "%!!%"), ("question", "%?%"), ("quote", "%\"%"), ("bracket", "%(%)%"), ("percent", "%\\%%"), ("money", "%$%"), ("colon", "%:%"), ("semicolon", "%;%"), ("dash", "% - %"), ("slash", "%/%"),

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from . import arrivals, constraints, content, desk, evaluation, extraction, gates, health, intake, lineage, memory, observations, operations, policy, signals, snapshots, texts, wording  # noqa: E402, F401  they register themselves
+from . import arrivals, constraints, content, desk, evaluation, extraction, gates, health, intake, lineage, memory, observations, operations, policy, signals, snapshots, texts, topics, wording  # noqa: E402, F401  they register themselves

@@ -27,11 +27,6 @@ def test_stem(spark, word, stem):
     assert one(spark, text.stem(F.col("w")), w=word) == stem
 
 
-@pytest.mark.parametrize("words, found", [("quality of sleep", True), ("sleep quality", True), ("sleep a b c d e quality", False), ("sleep", False), ("", False)])
-def test_near(spark, words, found):
-    assert one(spark, text.near(F.split(F.col("w"), " "), ["sleep", "quality"]), w=words) is found
-
-
 def test_fnv(spark):
     h = 2_166_136_261
     for c in "hello":
