@@ -87,7 +87,7 @@ def test_tags_brute_force(spark):
 def test_tags_of_language(spark):
     """Stems, accents, possessives, other senses, a long text."""
     plan = [Topic("S", ("sleep", "nap"), (Unit("S-1", ("sleep pressure", "high-intensity interval training sleep"), cluster="c1", tier="A"), Unit("S-2", ("~alzheimer",))), ("sleeping cell",))]
-    rows = [(1, "Quality of Sleep and Alzheimer's", None), (2, "Sleeping cells in cancer", "x"), (3, "Nappíng: high intensity work of interval training", "and sleep pressures"), (4, "nothing", None), (5, "naps", "naps"), (6, "continuous positive airway pressure in people with bad sleep", None), (7, "word " * 300_000 + "sleep", "pressure")]
+    rows = [(1, "Quality of Sleep and Alzheimer's", None), (2, "Sleeping cells in cancer", "x"), (3, "Nappíng: high intensity work of interval training", "and sleep pressures"), (4, "nothing", None), (5, "naps", "naps"), (6, "continuous positive airway pressure devices for people with very bad sleep", None), (7, "word " * 300_000 + "sleep", "pressure")]
     items = spark.createDataFrame(rows, "item_id long, title string, abstract string")
     got = {(r["item_id"], r["unit_id"]): r["matched_terms"] for r in tagged(items, plan, "v").collect()}
     assert got == {(1, "S-2"): ["sleep", "~alzheimer"], (3, "S-1"): ["sleep", "nap", "sleep pressure", "high-intensity interval training sleep"], (5, "S-?"): ["nap"], (6, "S-?"): ["sleep"], (7, "S-1"): ["sleep", "sleep pressure"]}
