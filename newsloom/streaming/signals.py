@@ -16,6 +16,12 @@ def weekly(events: DataFrame) -> DataFrame:
     return events.groupBy(week.alias("w"), F.col("event_type").alias("family"), "user_id").agg(F.count("*").alias("n"))
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, one file or a folder, as a stream: streams read folders or patterns, so this pattern matches the table's name alone."""
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{parent}/[{name[0]}]{name[1:]}")
+
+
 def weekly_signals(spark: SparkSession, path: str) -> DataFrame:
     """Run the weekly aggregate over a file stream until what is there has been read; the result is the complete state.
 
@@ -23,10 +29,7 @@ def weekly_signals(spark: SparkSession, path: str) -> DataFrame:
     cluster; the last step counts them. Late rows are merged, never dropped, so there is no watermark. The stream's own
     folder is removed when its result is written down.
     """
-    schema = spark.read.parquet(path).schema
-    # a stream reads folders or patterns: this one matches the table's name alone, whether it is a file or a folder
-    parent, name = path.rstrip("/").rsplit("/", 1)
-    stream = spark.readStream.schema(schema).parquet(f"{parent}/[{name[0]}]{name[1:]}")
+    stream = table_stream(spark, path)
     folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
