@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import all_matches, first_match
 from ..operators.latest import spread
+from ..operators.windows import WindowStore
+from ..sources.shared import shared_dir, written
 from ..sources.tables import EVENTS_AS_OF, ITEMS_SQL, LOG_SQL, items, log
 from .registry import query
 
@@ -124,3 +129,24 @@ def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.signals import weekly_signals
 
     return weekly_signals(spark, f"{sf_dir}/events.parquet")
+
+
+_SELECTOR_SQL = "user_id % 40 AS concept, event_type AS family, k % 5 AS sub, CASE user_id % 3 WHEN 0 THEN 'TR' WHEN 1 THEN 'EU' ELSE '' END AS geo, CASE WHEN k % 2 = 0 THEN 'MEASURED' ELSE 'REPORTED' END AS provenance"
+
+
+@query(f"""WITH {LOG_SQL}, s AS (SELECT {_SELECTOR_SQL}, day, k AS units, user_id AS actors FROM log), w AS (SELECT s.*, d.days, day > DATE '{EVENTS_AS_OF}' - d.days AS now FROM s CROSS JOIN (VALUES (7), (30), (90)) d(days) WHERE day > DATE '{EVENTS_AS_OF}' - 2 * d.days AND day <= DATE '{EVENTS_AS_OF}')
+SELECT concept, family, sub, geo, provenance, CAST(days AS INTEGER) AS days, count(*) FILTER (WHERE now) AS n, count(DISTINCT units) FILTER (WHERE now) AS units, count(DISTINCT actors) FILTER (WHERE now) AS actors, count(*) FILTER (WHERE now) - count(*) FILTER (WHERE NOT now) AS momentum,
+ min(day) FILTER (WHERE now) AS first_day, max(day) FILTER (WHERE now) AS last_day, count(DISTINCT day) FILTER (WHERE now) AS active_days FROM w GROUP BY ALL HAVING count(*) FILTER (WHERE now) > 0""")
+def incremental_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by selector with geography and provenance, kept up to date over three batches of the log whose reference day moves on."""
+    rows = log(spark, sf_dir).selectExpr(*_SELECTOR_SQL.split(", "), "day", "k AS units", "user_id AS actors", "event_id")
+    folder = f"{shared_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    store = WindowStore(spark, folder, ("concept", "family", "sub", "geo", "provenance"), ("units", "actors"))
+    days = [(datetime.date.fromisoformat(EVENTS_AS_OF) - datetime.timedelta(days=d)).isoformat() for d in (12, 3, 0)]
+    # what arrives late is in the last batch
+    which = F.when((F.col("day") <= days[0]) & (F.col("event_id") % 9 > 0), 0).when((F.col("day") <= days[1]) & (F.col("event_id") % 9 > 0), 1).otherwise(2)
+    for i, day in enumerate(days):
+        store.apply(i, rows.where(which == i), day, days[i - 1] if i else None)
+    out = written(store.current())
+    store.clear()
+    return out
