@@ -6,17 +6,10 @@ Conditions keep to SQL that every engine reads alike; a null condition does not
 
 from __future__ import annotations
 
-#: title: who a health bulletin is for.
-AUDIENCE = (
-    ("event_notice", "title LIKE '%webinar%' OR title LIKE '%conference%'"), ("vacancy", "title LIKE '%vacancy%' OR title LIKE '%job%'"),
-    ("internal", "title LIKE '%committee%' OR title LIKE '%board%'"), ("procurement", "title LIKE '%tender%' OR title LIKE '%bid%'"),
-)
 #: native, strong (terms), weak (terms), system (layer): whether an item concerns the profession.
 PROFESSION = (("accept:native", "native"), ("accept:strong", "strong >= 1"), ("accept:weak_pair", "weak >= 2"), ("accept:system", "weak = 1 AND system"), ("discard:weak", "weak = 1"))
 #: congress, excluded, included, opportunity, native, strong, weak, system: the item classifier's five steps.
 TIP_ITEM = (("discard:congress", "congress"), ("discard:excluded", "excluded"), ("accept:included", "included"), ("accept:opportunity", "opportunity"), ("accept:audience", "native OR strong >= 1 OR weak >= 2"))
-#: title rules before text rules: tier of a student item.
-STUDENT_TIER = (("A", "title LIKE '%student%'"), ("B", "title LIKE '%intern%' OR title LIKE '%exam%'"), ("OUT", "title LIKE '%professor%'"), ("C", "body LIKE '%student%'"), ("D", "body LIKE '%young%' OR body LIKE '%faculty%'"))
 #: agency items are never published without review: path, excluded, family, official_queued.
 AGENCY = (("discard:path", "path LIKE '/sport%'"), ("discard:keyword", "excluded"), ("discard:family", "family NOT IN ('health', 'education', 'career')"), ("merge:official", "official_queued"))
 #: claim, url, stage, country, watch, named, eligibility, deadline, object_type.

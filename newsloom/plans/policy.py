@@ -46,10 +46,8 @@ def _gate(name: str, rules: Sequence[tuple[str, str]], otherwise: str, doc: str)
     return query(f"WITH {_CASES_SQL} SELECT i, {case_sql(rules, otherwise)} AS decision FROM c")(run)
 
 
-audience_gate = _gate("audience_gate", P.AUDIENCE, "public", "Whom a health bulletin is for.")
 profession_gate = _gate("profession_gate", P.PROFESSION, "discard:none", "Whether an item concerns the profession: native sources, strong or several weak terms, or a weak one in the system layer.")
 tip_item_gate = _gate("tip_item_gate", P.TIP_ITEM, "discard:no_signal", "Congress, exclusion, inclusion, opportunity and audience, in this order.")
-student_tiers = _gate("student_tiers", P.STUDENT_TIER, "OUT", "Tier of a student item: title rules before text rules.")
 agency_gate = _gate("agency_gate", P.AGENCY, "review", "News agencies: dropped, merged with a queued official item, or reviewed; never published by rule.")
 abroad_gate = _gate("abroad_gate", P.ABROAD, "review", "Pathways abroad: claims, link, stage, jurisdiction, then what a named opportunity must state.")
 opportunity_gate = _gate("opportunity_gate", P.OPPORTUNITY, "review", "Calls: ceremonies and expired ones go, curators need an official link.")
