@@ -75,19 +75,45 @@ def pmid(c: Column) -> Column:
 
 def article_doi(url: Column) -> Column:
     """The DOI that an article's address names or, at one publisher, implies; null if none."""
+    # fixed value: the forms of that publisher's article identifiers
     own = F.regexp_extract(F.lower(url), r"^https?://(?:www\.)?nature\.com/articles/(s[0-9]{5}-[0-9]{3}-[0-9]{4,6}-[0-9a-z]|d[0-9]{5}-[0-9]{3}-[0-9]{5}-[0-9])(?:[/?#]|$)", 1)
     return F.coalesce(doi(F.coalesce(F.try_url_decode(url), url)), F.when(own != "", F.concat(F.lit("10.1038/"), own)))
 
 
+#: Names of metadata that identify a work, words that announce its identifier, hosts that resolve it or hold its record.
+WORK_METADATA = ("citation_doi", "dc.identifier")
+WORK_LABELS = ("doi", "journal reference", "journal information")
+RESOLVER = r"^https?://(dx\.)?doi\.org/"
+RECORD = r"^https?://pubmed\.ncbi\.nlm\.nih\.gov/[0-9]{1,9}/?$"
+#: Characters after a label in which its identifier is looked for.
+LABEL_REACH = 100
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The quoted value of an attribute in a start tag's text; empty if it has none."""
+    return F.regexp_extract(tag, rf"""(?i)[\s"']{name}\s*=\s*(["'])(.*?)\1""", 2)
+
+
 def original_study(html: Column) -> Column:
-    """(doi, link) of the study that a page reports on: its metadata, then a labelled DOI, then a link to one, then a link to the literature service."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda m: m.rlike("""(?i)(?:name|property)=["'](?:citation_doi|dc\\.identifier)["']"""))
-    meta = F.get(F.filter(F.transform(tags, lambda m: doi(F.regexp_extract(m, """(?i)content=["']([^"']+)["']""", 1))), lambda d: d.isNotNull()), F.lit(0))
-    labelled = doi(F.regexp_extract(html, r"(?i)(?:\bDOI\b|Journal reference|Journal information)[^<]{0,40}(?:<[^>]+>\s*){0,3}[^<]{0,40}?(10\.[0-9]{4,9}/[^\s\"'<>]+)", 1))
-    linked = doi(F.regexp_extract(html, r"""(?i)href=["']https?://(?:dx\.)?doi\.org/(10\.[0-9]{4,9}/[^"'<>\s]+)["']""", 1))
-    service = F.regexp_extract(html, r"""(?i)href=["'](https?://pubmed\.ncbi\.nlm\.nih\.gov/[0-9]{1,9}/?)["']""", 1)
-    found = F.coalesce(meta, labelled, linked)
-    return F.struct(found.alias("doi"), F.coalesce(F.concat(F.lit("https://doi.org/"), found), F.when(service != "", service)).alias("link"))
+    """(doi, link) of the study that a page reports on.
+
+    Candidates come in four kinds, each in the order of the page: metadata, identifiers soon after a label in the page's text, links to
+    the resolver, links to a record of the literature service; the first kind that has one decides.
+    """
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)(<{name}\s[^>]*>)"), 1)
+    named = lambda t: F.lower(attribute(t, "name")).isin(*WORK_METADATA) | F.lower(attribute(t, "property")).isin(*WORK_METADATA)
+    first = lambda found: F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
+    plain = F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " ")
+    after = F.slice(F.split(plain, rf"(?i)\b({'|'.join(WORK_LABELS)})\b"), 2, 1_000_000)
+    links = F.transform(tags("a"), lambda t: F.trim(attribute(t, "href")))
+    kinds = (
+        F.transform(F.filter(tags("meta"), named), lambda t: doi(attribute(t, "content"))),
+        F.transform(after, lambda piece: doi(F.left(piece, F.lit(LABEL_REACH)))),
+        F.transform(F.filter(links, lambda u: u.rlike(RESOLVER)), doi),
+    )
+    found = F.coalesce(*map(first, kinds))
+    record = F.get(F.filter(links, lambda u: u.rlike(RECORD)), F.lit(0))
+    return F.struct(found.alias("doi"), F.coalesce(F.concat(F.lit("https://doi.org/"), found), record).alias("link"))
 
 
 def work_key(doi_: Column, pmid_: Column, title: Column) -> Column:

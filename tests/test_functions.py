@@ -341,3 +341,12 @@ def test_training_against_plain_steps(spark):
         assert got[fold]["n"] == len(tested) == 8
         assert got[fold]["mae"] == pytest.approx(sum(abs(p - label) for p, label in tested) / 8)
         assert got[fold]["accuracy"] == pytest.approx(sum((p >= 0.5) == label for p, label in tested) / 8)
+
+
+@pytest.mark.parametrize("page, found", [
+    ('<meta content="doi:10.1234/meta" name="citation_doi"><p>DOI 10.9/x</p>', "10.1234/meta"), ("<a class='x' href='https://dx.doi.org/10.1000/Link'>y</a>", "10.1000/link"), ("<p>Journal reference: Nature <b>4</b>, DOI: 10.1038/s41586</p><a href='https://doi.org/10.1/2'>z</a>", "10.1038/s41586"),
+    ("<p>DOI " + "word " * 60 + "10.5555/far</p>", None), ("<a href='https://example.org/10.5555/no'>z</a>", None),
+])
+def test_original_study_by_kind(spark, page, found):
+    row = spark.createDataFrame([(page,)], "h string").select(text.original_study(F.col("h")).alias("s")).first()["s"]
+    assert row["doi"] == found and row["link"] == (found and f"https://doi.org/{found}")
