@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from . import arrivals, circuits, constraints, content, cubes, cursors, desk, evaluation, extraction, gates, health, intake, lineage, memory, observations, operations, policy, signals, snapshots, text_gates, texts, topics, wording  # noqa: E402, F401  they register themselves
+from . import arrivals, circuits, constraints, content, cubes, cursors, desk, evaluation, extraction, gates, health, intake, lineage, memory, observations, operations, policy, registries, signals, snapshots, text_gates, texts, topics, wording  # noqa: E402, F401  they register themselves
