@@ -75,8 +75,8 @@ def pmid(c: Column) -> Column:
 
 def article_doi(url: Column) -> Column:
     """The DOI that an article's address names or, at one publisher, implies; null if none."""
-    # fixed value: the forms of that publisher's article identifiers
-    own = F.regexp_extract(F.lower(url), r"^https?://(?:www\.)?nature\.com/articles/(s[0-9]{5}-[0-9]{3}-[0-9]{4,6}-[0-9a-z]|d[0-9]{5}-[0-9]{3}-[0-9]{5}-[0-9])(?:[/?#]|$)", 1)
+    # fixed value: the forms of that publisher's article identifiers; the running number has no upper bound
+    own = F.regexp_extract(F.lower(url), r"^https?://(?:www\.)?nature\.com/articles/(s[0-9]{5}-[0-9]{3}-[0-9]{4,}-[0-9a-z]|d[0-9]{5}-[0-9]{3}-[0-9]{5}-[0-9])(?:[/?#]|$)", 1)
     return F.coalesce(doi(F.coalesce(F.try_url_decode(url), url)), F.when(own != "", F.concat(F.lit("10.1038/"), own)))
 
 

@@ -350,3 +350,10 @@ def test_training_against_plain_steps(spark):
 def test_original_study_by_kind(spark, page, found):
     row = spark.createDataFrame([(page,)], "h string").select(text.original_study(F.col("h")).alias("s")).first()["s"]
     assert row["doi"] == found and row["link"] == (found and f"https://doi.org/{found}")
+
+
+@pytest.mark.parametrize("number, found", [("123", None), ("7051", "7051"), ("989999", "989999"), ("1000000", "1000000"), ("12345678901", "12345678901")])
+def test_article_numbers_of_any_length(spark, number, found):
+    url = f"https://www.nature.com/articles/S41586-024-{number}-x?a=1"
+    got = spark.createDataFrame([(url,)], "u string").select(text.article_doi(F.col("u")).alias("d")).first()["d"]
+    assert got == (found and f"10.1038/s41586-024-{found}-x")
