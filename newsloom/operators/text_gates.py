@@ -111,12 +111,17 @@ STUDENT_WORDS = TierWords(
 
 
 def student_tier(title: Column, body: Column, words: TierWords = STUDENT_WORDS) -> Column:
-    """(tier, reason, terms): for whom an item is among students, and the markers that decided it.
+    """(tier, reason, terms): for whom an item is among students, and the markers that decided it; the whole text is title and body."""
+    return text_tier(title, F.concat_ws(" ", _empty(title), _empty(body)), words)
+
+
+def text_tier(title: Column, whole: Column, words: TierWords = STUDENT_WORDS) -> Column:
+    """(tier, reason, terms) of a whole text that has its title in it: no marker is made by putting the two together.
 
     Rules are tried in order: titles, licences elsewhere (unless the exam is named), what is not for students alone, the intern's context, the
     student's agenda, noise of administration.
     """
-    head, text = normalized(title), normalized(F.concat_ws(" ", _empty(title), _empty(body)))
+    head, text = normalized(title), normalized(whole)
     of = lambda where, markers: F.filter(F.array(*map(F.lit, markers)).cast("array<string>"), lambda m: F.contains(where, m))
     shaped = F.concat(F.array().cast("array<string>"), *(F.slice(F.regexp_extract_all(text, F.lit(f"({s})"), 1), 1, 1) for s in words.shapes))
     student = F.concat(of(text, words.student), shaped)

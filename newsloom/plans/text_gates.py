@@ -38,7 +38,7 @@ SELECT doc_id, CASE WHEN trim(t) = '' OR contains(h, 'erst') THEN 'out' WHEN con
  WHEN (contains(t, 'andand') OR contains(t, 'lele') OR contains(t, 'wast')) AND NOT (len(student) > 0 OR named OR ed) THEN 'non_student_cadre' WHEN contains(t, 'enen') OR contains(t, 'lich') THEN 'intern_context' WHEN len(student) > 0 OR named OR ed THEN 'student_agenda' WHEN contains(t, 'ouou') OR contains(t, 'rr') THEN 'admin_noise' ELSE 'no_student_signal' END AS reason FROM e""")
 def student_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier and reason of every text: titles before whole texts, licences elsewhere, cadres, the intern's context, the student's agenda, noise."""
-    x = G.student_tier(F.split_part("text", F.lit("."), F.lit(1)), F.col("text"), WORDS)
+    x = G.text_tier(F.split_part("text", F.lit("."), F.lit(1)), F.col("text"), WORDS)
     return load(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", "x.tier", "x.reason")
 
 

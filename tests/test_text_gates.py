@@ -32,6 +32,17 @@ def test_student_tiers(spark):
     assert [tuple(r) for r in got] == [e for *_, e in TIERS]
 
 
+def test_tier_of_a_whole_text(spark, tmp_path):
+    """The end of a title and the beginning of its own text make no marker together."""
+    from newsloom.plans.registry import QUERIES
+
+    texts = ["der haus und.\nMehr", "der haus und der.\nMehr", "", "wast.", "wast que. la"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["student_tiers"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [("out", "no_student_signal"), ("A", "student_agenda"), ("out", "empty"), ("out", "non_student_cadre"), ("out", "non_student_cadre")]
+    assert spark.range(1).select(G.student_tier(F.lit("akademik"), F.lit("takvim")).alias("x")).first()["x"]["reason"] == "student_agenda"
+
+
 def test_relevance(spark):
     df = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(RELEVANT)], "i int, t string, s string")
     got = df.select("i", G.relevant(F.col("t"), F.col("s")).alias("x")).orderBy("i").select("x.*").collect()
