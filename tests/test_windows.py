@@ -51,3 +51,15 @@ def test_no_expand_in_the_plan(spark):
     df = spark.createDataFrame([(1, "TR", datetime.date(2024, 1, 1), 1, 1)], "concept long, geo string, day date, units long, actors long")
     plan = merged(partials(df, KEYS, SETS), KEYS, SETS, F.lit("2024-01-03").cast("date"))._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "bitmap_or_agg" in plan
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    """More rows are dealt to more tasks, and what is grouped is narrow: no row carries a bitmap of a whole range."""
+    from newsloom.operators import windows
+
+    monkeypatch.setattr(windows, "PART", 100)
+    rows = spark.range(2_000).select((F.col("id") % 50).alias("concept"), F.concat(F.lit("g"), F.col("id") % 2).alias("geo"), F.lit("2024-01-01").cast("date").alias("day"), (F.col("id") * 1000 - 5).alias("units"), F.col("id").alias("actors"))
+    parts = partials(rows, KEYS, SETS)
+    assert parts.rdd.getNumPartitions() == 60 and dict(parts.dtypes)["bits"] == "bigint"
+    out = merged(parts, KEYS, SETS, F.lit("2024-01-02").cast("date")).where("days = 7").collect()
+    assert len(out) == 50 and all((r["n"], r["units"], r["actors"], r["active_days"]) == (40, 40, 40, 1) for r in out)
