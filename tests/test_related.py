@@ -81,3 +81,9 @@ def test_related_by_title_and_cycle(spark):
     one_way = {(1, 2): "title", (2, 4): "title", (1, 8): "title", (2, 8): "title", (4, 8): "title", (1, 5): "cycle", (1, 6): "cycle"}
     assert got == one_way | {(b, a): by for (a, b), by in one_way.items()}
     assert R.related(spark.createDataFrame([], "item_id long, source_id string, title string")).count() == 0
+
+
+def test_pairs_are_judged_where_they_meet(spark, small):
+    """Candidates of related_pairs are neither kept nor shuffled: no step over pairs follows the join that makes them."""
+    plan = QUERIES["related_pairs"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(left_id" not in plan and "hashpartitioning(right_id" not in plan and "Aggregate(keys=[left_id" not in plan
