@@ -87,3 +87,15 @@ def test_pairs_are_judged_where_they_meet(spark, small):
     """Candidates of related_pairs are neither kept nor shuffled: no step over pairs follows the join that makes them."""
     plan = QUERIES["related_pairs"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(left_id" not in plan and "hashpartitioning(right_id" not in plan and "Aggregate(keys=[left_id" not in plan
+
+
+def test_packs_find_what_single_texts_do():
+    """Common subsequences with many texts at once, texts of one character and carries over whole texts among them."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é😀") for _ in range(rng.choice([1, 2, 63, 64, 65, 200]))) for _ in range(150)] + ["a" * 64, "a" * 65]
+    pack = R.Pack(texts)
+    for other in [*texts[:20], "a" * 300, "zz"]:
+        masks = R.places_of(other)
+        assert pack.common(other, range(len(texts))) == [R.common_subsequence(masks, len(other), t) for t in texts]
+    cuts = R._packs([*texts, "x" * 100_000, "y"])
+    assert cuts[0] == 0 and cuts[-1] == 154 and all(0 < b - a <= R.PACK for a, b in zip(cuts, cuts[1:], strict=False))
