@@ -616,3 +616,17 @@ def test_packing_near_the_optimum(seed):
     put(0, [])
     *_, size = packing.pack_lengths(lengths)
     assert best[0] <= cost_of(size) <= 1.08 * best[0]
+
+
+def test_repeated_runs_are_counted_over_all(spark, monkeypatch):
+    """Only the directions are fitted on a sample; counts of runs and frequencies are those of all documents."""
+    from newsloom.llm import decontaminate as D
+
+    seen = {}
+    for name in ("repeated_runs", "inverse_frequencies", "latent_terms"):
+        monkeypatch.setattr(D, name, lambda words, *rest, real=getattr(D, name), name=name: seen.update({name: words.count()}) or real(words, *rest))
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 60), i -> concat('w', (i * 7 + id * 13) % 97))) AS text")
+    bench = spark.createDataFrame([(1, " ".join(f"w{(i * 7 + 26) % 97}" for i in range(12)))], "item_id long, text string")
+    got = D.find(docs, bench, settings=D.Settings(fit_documents=50)).select("doc_id").distinct().collect()
+    assert {2} <= {r["doc_id"] for r in got}
+    assert seen["repeated_runs"] == seen["inverse_frequencies"] == 600 and 0 < seen["latent_terms"] < 200
