@@ -99,3 +99,44 @@ def test_packs_find_what_single_texts_do():
         assert pack.common(other, range(len(texts))) == [R.common_subsequence(masks, len(other), t) for t in texts]
     cuts = R._packs([*texts, "x" * 100_000, "y"])
     assert cuts[0] == 0 and cuts[-1] == 154 and all(0 < b - a <= R.PACK for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def syllables(rng, size, words=("th", "the", "ing", "er", "on", "and", "re", "ha", "st", "ou", "ly", "wh", "tion", "ble")):
+    out = ""
+    while len(out) < size:
+        out += rng.choice(words) + rng.choice(["", "", " ", ", "])
+    return out[:size]
+
+
+def test_bounds_hold_for_long_texts():
+    """From 200 characters on frequent characters start no block; pairs about the ratio, of few and of many kinds of characters, on either side of that length."""
+    rng, near = random.Random(11), 0
+    for k in range(400):
+        size = rng.choice([190, 199, 200, 205, 300, 420, 900])
+        base = syllables(rng, size) if k % 4 else "".join(chr(0x4E00 + rng.randrange(rng.choice([5, 60, 3000]))) for _ in range(size))
+        other = list(base)
+        for _ in range(int(size * rng.choice([0.02, 0.1, 0.18, 0.22]))):
+            at = rng.randrange(len(other))
+            other[at : at + 1] = rng.choice(["", "x", "e", "qz"])
+        if k % 3 == 0:  # pieces in one go: few blocks
+            cut = int(size * rng.choice([0.15, 0.19, 0.2, 0.21]))
+            other = list(base[:-cut] + syllables(rng, cut))
+        other = "".join(other)
+        for a, b in ((base, other), (other, base)):
+            real = R.ratio_of(a, b)
+            near += 0.75 < real < 0.85
+            for side in (None, [True, False]):
+                assert [r for *_, r in R.compared([1, 2], [a, b], side, 0.8)] == ([real] if real >= 0.8 else [])
+                assert [r for *_, r in R.compared([2, 1], [b, a], side, 0.8)] == ([real] if real >= 0.8 else [])
+    assert near > 60
+
+
+def test_few_long_pairs_reach_the_common_subsequence(monkeypatch):
+    """Unlike texts of one language go by counts of runs; all 19,900 pairs went on before."""
+    rng, seen = random.Random(5), []
+    texts = [syllables(rng, rng.randrange(300, 340)) for _ in range(200)]
+    texts[7] = texts[3][:150] + "?" + texts[3][150:]
+    single, pack = R.common_subsequence, R.Pack.common
+    monkeypatch.setattr(R, "common_subsequence", lambda *a: seen.append(1) or single(*a))
+    monkeypatch.setattr(R.Pack, "common", lambda self, other, which: seen.extend(which) or pack(self, other, which))
+    assert [(a, b) for a, b, _ in R.compared(list(range(200)), texts, None, 0.8)] == [(3, 7)] and 1 <= len(seen) < 200
