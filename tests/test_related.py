@@ -140,3 +140,30 @@ def test_few_long_pairs_reach_the_common_subsequence(monkeypatch):
     monkeypatch.setattr(R, "common_subsequence", lambda *a: seen.append(1) or single(*a))
     monkeypatch.setattr(R.Pack, "common", lambda self, other, which: seen.extend(which) or pack(self, other, which))
     assert [(a, b) for a, b, _ in R.compared(list(range(200)), texts, None, 0.8)] == [(3, 7)] and 1 <= len(seen) < 200
+
+
+def test_large_blocks_are_split(spark, tmp_path):
+    """Pairs of word sets against all pairs, with words that many sets have, near copies of one title and sets of one and two words; large blocks leave few pairs."""
+    from pyspark.sql import functions as F
+
+    from newsloom.plans import texts
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("bcdfgklm") + rng.choice("aiou") for _ in range(3)) for _ in range(60)]
+    sets = [set(rng.sample(vocabulary, rng.choice([1, 2, 2, 3, 4, 5, 8, 8, 12, 20]))) for _ in range(600)]
+    base = set(vocabulary[:25])
+    sets += [base - set(rng.sample(sorted(base), 2)) | {rng.choice(vocabulary)} for _ in range(50)]
+    spark.createDataFrame([(i, " ".join(sorted(s)) + "\nrest") for i, s in enumerate(sets)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first: dict[frozenset, int] = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    expected = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and len(a & b) / len(a | b) >= 0.5}
+    got = [(r["left_id"], r["right_id"]) for r in texts.related_pairs(spark, str(tmp_path)).collect()]
+    assert len(expected) > 1_000 and len(got) == len(set(got)) and set(got) == expected
+
+    # words 0 to 19 are in a third of the sets each, beside words of their own
+    rows = [(i, sorted({1_000 + 7 * i + k for k in range(4)}) + sorted(rng.sample(range(20), 7))) for i in range(500)]
+    ordered = spark.createDataFrame([(i, ws, len(ws)) for i, ws in rows], "id long, ws array<long>, n int")
+    blocks = texts._title_blocks(ordered, 0.5).groupBy("word", "second").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
+    unsplit = texts._title_blocks(ordered, 0.5, most=1_000).groupBy("word", "second").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
+    assert 0 < blocks < unsplit / 2
